@@ -6,12 +6,9 @@ import functools
 import tempfile
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word of the quality, mixing, secret and near-duplicate contracts: a run without ASCII white space.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -37,68 +34,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches_of(column: str, size: int):
-    """Splits Arrow batches so that ``column`` holds about ``size`` bytes in each; a longer value stands alone."""
+def buckets(rows: int) -> int:
+    """Number of hash buckets of about a thousand rows: a power of two that depends on the number of rows alone."""
+    return 1 << max(4, (max(rows, 1) // 1000).bit_length())
 
-    def split(batches):
-        for batch in batches:
-            lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
-            if not len(lengths):
-                continue
-            ends = np.cumsum(lengths, dtype=np.int64)
-            start = 0
-            while start < len(lengths):
-                done = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
-                yield batch.slice(start, stop - start)
-                start = stop
 
-    return split
+def running_before(df: DataFrame, totals_of: DataFrame, n_buckets: int, size: str | None, group: str | None = None) -> DataFrame:
+    """``df`` with ``before``: the sum of ``size`` (1 if None) over the rows that precede each one, in its ``group``.
 
-
-def global_offsets(df: DataFrame, order: list[str], size: str | None, group: str | None = None) -> DataFrame:
-    """``df`` with ``before``: the sum of ``size`` (1 if None) over the rows before each one, in its ``group``.
-
-    Rows are range-partitioned by (group, order) and summed within partitions as a stream; only one total per
-    (partition, group) goes through a window. Nothing larger than a partition's totals meets in one task.
-    Rows equal in all of ``order`` take an arbitrary but fixed order, as the ranged rows are materialised.
+    The order is that of (hash bucket of doc_id, doc_id, text hash ``_tag``), so it depends on the rows alone and not on
+    how they are partitioned; rows equal in all of these take any order. A window never holds more than a bucket of a
+    group, or one total per bucket: no group, however large, meets in one task. ``totals_of`` has the same rows as
+    ``df``, and may be a narrow, materialised form of it.
     """
-    spark = df.sparkSession
-    keys = ([F.col(group).asc_nulls_last()] if group else []) + [F.col(c).asc_nulls_first() for c in order]
-    ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    schema = T.StructType([*ranged.schema.fields, T.StructField("_before", T.LongType())])
-
-    def run(batches):
-        carried, last = 0, object()
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            amounts = np.ones(n, np.int64) if size is None else np.asarray(batch.column(size).fill_null(0), dtype=np.int64)
-            sums = np.cumsum(amounts)
-            if group is None:
-                before = carried + sums - amounts
-                carried += int(sums[-1])
-            else:
-                # Positions at which a new group begins; the first row is compared with the batch before.
-                column = batch.column(group)
-                same = pc.fill_null(pc.equal(column[1:], column[:-1]), False)
-                nulls = np.asarray(column.is_null())
-                fresh = np.r_[column[0].as_py() != last, ~(np.asarray(same, dtype=bool) | (nulls[1:] & nulls[:-1]))]
-                starts = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
-                base = np.where(starts >= 0, (sums - amounts)[np.maximum(starts, 0)], -carried)
-                before = sums - amounts - base
-                carried, last = int(before[-1] + amounts[-1]), column[n - 1].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], names=[*batch.schema.names, "_before"])
-
-    parted = materialise(ranged.mapInArrow(run, schema))
-    amount = F.col(size) if size else F.lit(1)
-    group_key = [F.col(group).alias("_group")] if group else [F.lit(None).cast("string").alias("_group")]
-    totals = parted.groupBy("_part", *group_key).agg(F.sum(F.coalesce(amount, F.lit(0))).alias("_total"))
-    w = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_part").alias("_p"), "_group", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_base"))
-    same_group = F.col(group).eqNullSafe(F.col("_group")) if group else F.lit(True)
-    return parted.join(totals, (F.col("_part") == F.col("_p")) & same_group).withColumn("before", F.col("_before") + F.col("_base")).drop("_part", "_p", "_group", "_base", "_before")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).alias("_bucket")
+    amount = F.coalesce(F.col(size), F.lit(0)) if size else F.lit(1)
+    name = F.col(group) if group else F.lit(None).cast("string")
+    totals = totals_of.groupBy(name.alias("_group"), bucket.alias("_b")).agg(F.sum(amount).alias("_total"))
+    preceding = Window.partitionBy("_group").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_group", "_b", F.coalesce(F.sum("_total").over(preceding), F.lit(0)).alias("_base"))
+    parts = ["_bucket", group] if group else ["_bucket"]
+    inside = Window.partitionBy(*parts).orderBy("doc_id", "_tag").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_bucket", bucket).withColumn("_within", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    same = (F.col("_bucket") == F.col("_b")) & (name.eqNullSafe(F.col("_group")) if group else F.lit(True))
+    return df.join(totals, same).withColumn("before", (F.col("_within") + F.col("_base")).cast("long")).drop("_bucket", "_within", "_b", "_group", "_base")
 
 
 #: Of the Feistel round function: a prime below 2^31, so that products stay in 64 bits.

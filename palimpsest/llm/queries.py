@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import quality, sql
+from palimpsest.llm import mixing, quality, sharding, simhash, sql
 from palimpsest.llm.common import table
 
 
@@ -13,5 +14,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.drop(*quality.RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_feistel_shards, op5_source_mix, op10_simhash_links)}
 ORACLES = {"op1_quality_rules": sql.QUALITY}
