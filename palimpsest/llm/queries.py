@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, quality, sharding, simhash, sql
+from palimpsest.llm import decontam, idfile, mixing, quality, sharding, simhash, sql
 from palimpsest.llm.common import table
 
 
@@ -22,10 +22,20 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.written_and_read(table(spark, sf_dir, "documents"))
+
+
+def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_feistel_shards, op5_source_mix, op10_simhash_links)}
-ORACLES = {"op1_quality_rules": sql.QUALITY}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_feistel_shards, op5_source_mix, op6_elias_fano_ids, op9_wu_manber, op10_simhash_links)}
+ORACLES = {"op1_quality_rules": sql.QUALITY, "op9_wu_manber": sql.DECONTAMINATION}

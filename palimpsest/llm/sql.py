@@ -1,6 +1,6 @@
 """DuckDB SQL with the results of the registered queries that SQL can express."""
 
-from palimpsest.llm import quality
+from palimpsest.llm import decontam, quality
 
 _LEVELS = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(quality.CUTOFFS))
 _RATIOS = " UNION ALL ".join(
@@ -48,3 +48,22 @@ rejected AS (SELECT DISTINCT rid FROM ratios JOIN best USING (stratum, rule) WHE
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.rid IS NULL AS kept
 FROM counts LEFT JOIN rejected USING (rid)
 """
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_N = decontam.WINDOW
+
+#: All windows of documents joined to all windows of items; the words inside those found are counted once.
+DECONTAMINATION = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, w[i:i + {_N - 1}] AS win FROM items, unnest(range(1, greatest(len(w) - {_N - 2}, 2))) AS t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT len(win) AS n FROM wins),
+found AS (
+  SELECT rid, i, n, item_id
+  FROM (SELECT rid, i, n, w[i:i + n - 1] AS win FROM docs, lengths, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n) JOIN wins USING (win)),
+hits AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n)) AS t(k) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
+"""
