@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, idfile, mixing, quality, sharding, simhash, sql
+from palimpsest.llm import decontam, html, idfile, mixing, quality, secret_scan, sharding, simhash, sql
 from palimpsest.llm.common import table
 
 
@@ -14,6 +14,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.drop(*quality.RULES)
 
 
+def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,11 @@ def op6_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.written_and_read(table(spark, sf_dir, "documents"))
 
 
+def op8_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extracted(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -37,5 +48,5 @@ def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_feistel_shards, op5_source_mix, op6_elias_fano_ids, op9_wu_manber, op10_simhash_links)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_battery, op3_feistel_shards, op5_source_mix, op6_elias_fano_ids, op8_site_templates, op9_wu_manber, op10_simhash_links)}
 ORACLES = {"op1_quality_rules": sql.QUALITY, "op9_wu_manber": sql.DECONTAMINATION}
