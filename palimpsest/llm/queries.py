@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, html, idfile, mixing, quality, secret_scan, sharding, simhash, sql
+from palimpsest.llm import decontam, html, idfile, mixing, quality, secret_scan, sharding, simhash, sql, suffix
 from palimpsest.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op6_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.written_and_read(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extracted(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -48,5 +53,5 @@ def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_battery, op3_feistel_shards, op5_source_mix, op6_elias_fano_ids, op8_site_templates, op9_wu_manber, op10_simhash_links)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_battery, op3_feistel_shards, op5_source_mix, op6_elias_fano_ids, op7_suffix_dedup, op8_site_templates, op9_wu_manber, op10_simhash_links)}
 ORACLES = {"op1_quality_rules": sql.QUALITY, "op9_wu_manber": sql.DECONTAMINATION}
