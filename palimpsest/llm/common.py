@@ -37,6 +37,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Stands for a null id, before all others.
+NULL_ID = -(2**63)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``rid``, ``tag`` and ``text``: rid is the id (null: the least long); tag tells apart the texts that
+    share an id, by their hash, and is 0 if no two rows share one. Rows equal in all are one document."""
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count("doc_id").alias("known")).first()
+    tag = F.lit(0).cast("long") if ids.n == ids.known == ids.ids else F.xxhash64("text")
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), tag.alias("tag"), "text")
+
+
 def buckets(rows: int) -> int:
     """Number of hash buckets of about a thousand rows: a power of two that depends on the number of rows alone."""
     return 1 << max(4, (max(rows, 1) // 1000).bit_length())

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import bounded, partitions, shared_folder
+from palimpsest.llm.common import bounded, identified, partitions, shared_folder
 
 LENGTH, LEAD = 100, 32
 SPAN = LENGTH - LEAD + 1
@@ -46,7 +46,6 @@ HOT = 20_000
 MAX_HOT = 1_000_000
 WINDOWS_AT_ONCE = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-NULL_ID = -(2**63)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -318,10 +317,7 @@ def kept_bytes(body: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) and removed (the spans) of each document."""
-    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count("doc_id").alias("known")).first()
-    unique = ids.n == ids.known == ids.ids
-    tag = F.lit(0).cast("long") if unique else F.xxhash64("text")
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), tag.alias("tag"), "text")
+    texts = identified(docs)
     found = repeated(texts.select("rid", "tag", "text"))
     listed = found.groupBy("rid", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     rows = texts.join(listed, ["rid", "tag"], "left").select("doc_id", "text", "spans")
