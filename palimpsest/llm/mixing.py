@@ -102,6 +102,26 @@ def chosen(before: int, size: int, blocks: int, quota: int, place: int, block: i
         yield starts, ends, times
 
 
+def taken_words(before, size, blocks, quota, place, block: int, seed: int) -> np.ndarray:
+    """Words taken of each of many documents: their blocks side by side, a limited number at once."""
+    first = before // block
+    counts = np.where(size > 0, (before + size - 1) // block - first + 1, 0)
+    out, done, at = np.zeros(len(size), np.int64), np.cumsum(counts), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(done, done[at] - counts[at] + BLOCKS_AT_ONCE, side="right")))
+        if counts[at] > BLOCKS_AT_ONCE:
+            chunks = chosen(*(int(x[at]) for x in (before, size, blocks, quota, place)), block, seed)
+            out[at], stop = sum(int(((e - s) * t).sum()) for s, e, t in chunks), at + 1
+        else:
+            doc = np.repeat(np.arange(at, stop), counts[at:stop])
+            number = first[doc] + np.arange(len(doc)) - (done - counts)[doc] + (done[at] - counts[at])
+            times = quota[doc] // blocks[doc] + (feistel(number, blocks[doc], seed, place[doc]) < quota[doc] % blocks[doc])
+            words = np.minimum((number + 1) * block, before[doc] + size[doc]) - np.maximum(number * block, before[doc])
+            out += np.bincount(doc, weights=words * times, minlength=len(size)).astype(np.int64)
+        at = stop
+    return out
+
+
 def with_offsets(docs: DataFrame, sizes: DataFrame, rows: int, per: DataFrame) -> DataFrame:
     """``docs`` (doc_id, source, size, _tag and others) with the words of its source before it, and the source's plan."""
     return running_before(docs, sizes, buckets(rows), "size", "source").join(per, F.col("source").eqNullSafe(F.col("_source")))
@@ -114,9 +134,9 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("before", "size", "blocks", "quota", "place")]
-            taken = [sum(int(((e - s) * t).sum()) for s, e, t in chosen(b, n, k, q, p, block, seed)) if n else 0 for b, n, k, q, p in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "size", "source_size", "target")], pa.array(taken, pa.int64())], names=["doc_id", "size", "source_size", "target", "taken"])
+            columns = [np.asarray(batch.column(c)) for c in ("before", "size", "blocks", "quota", "place")]
+            taken = pa.array(taken_words(*columns, block, seed), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "size", "source_size", "target")], taken], names=["doc_id", "size", "source_size", "target", "taken"])
 
     schema = T.StructType([*[rows.schema[c] for c in ("doc_id", "size", "source_size", "target")], T.StructField("taken", T.LongType())])
     return rows.mapInArrow(run, schema)
