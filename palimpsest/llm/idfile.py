@@ -9,8 +9,9 @@ which gives the select structure: end i is found by reading on from a stored pla
 a Parquet table in the shared folder, so that any store works and lost executors' files never count; what a segment
 must know of others is one number, the ids before its partition.
 
-A text is cut before a space that precedes a plain character: byte-level BPE never joins tokens there, so pieces are
-encoded one by one, and equal pieces once for each Python process (up to ``PIECES`` of them).
+A text is cut before a space that precedes a plain character, and such pieces into words, digits and signs, where the
+vocabulary's own pattern cuts them: byte-level BPE never joins tokens there, so words are encoded one by one, and
+equal ones once for each Python process (up to ``PIECES`` of them are kept). Whatever isn't plain is encoded whole.
 
 Nulls: a null text is empty (its end id alone), a null doc_id sorts first; rows of equal ids follow each other in any
 order. Repeated rows are documents of their own. An empty table gives an empty result; extra columns aren't read.
@@ -18,12 +19,16 @@ order. Repeated rows are documents of their own. An empty table gives an empty r
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import struct
 import sys
 import types
 import uuid
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +45,20 @@ SEGMENT_IDS = 1 << 20
 MAGIC = b"EFIDS\x01"
 HEADER = "<6sBBIQ"  # magic, bytes of an id, low bits, documents, ids
 SAMPLE = 64
-PIECES = 600_000
+PIECES = 500_000
+TOGETHER = 64
+#: How a byte-level vocabulary writes a space.
+SPACE_SIGN = "\u0120"
 LONGEST_PIECE = 48
 MAX_PARTS = 1_000_000
 PLAIN = "!-~À-ɏ"
 ODD = re.compile(f" (?![{PLAIN}])")
 CUT = re.compile(f"(?= [{PLAIN}])")
+#: Pieces that can be cut further, and the vocabulary's pattern for them: letters, digits or other characters, each
+#: with a space before it, or one white space alone. Apostrophes (contractions) and runs of white space stay whole.
+SIMPLE = re.compile("[ ]?[!-&(-~À-ÖØ-öø-ɏ]+(?:\n[!-&(-~À-ÖØ-öø-ɏ]+)*")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+WORDS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\n")
 
 
 class EliasFano:
@@ -123,9 +136,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.id_bytes == 2 else "I"
         self.dtype = np.dtype(f"<u{self.id_bytes}")
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[i for name, i in names.items() if name.startswith(SPACE_SIGN)]] = True
+        self.words: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}
 
     @classmethod
     def here(cls, vocabulary: str) -> Encoder:
@@ -135,26 +154,65 @@ class Encoder:
             setattr(process, key, cls(vocabulary))
         return getattr(process, key)
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, self.dtype).tobytes() for p, e in zip(pieces, encoded, strict=True)}
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def one_by_one(self, words: list[str]) -> list[bytes]:
+        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters with a space before each: encoded many in a row, and told apart by the tokens
+        that begin with the space, of which each word has one."""
+        texts = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            some, ids = words[i * TOGETHER : (i + 1) * TOGETHER], np.array(e.ids)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(some) and (not len(ids) or starts[0] == 0):
+                data, edges = ids.astype(self.dtype).tobytes(), [*(starts * self.id_bytes).tolist(), len(ids) * self.id_bytes]
+                out += [data[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            else:
+                out += self.one_by_one(some)
+        return out
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. A piece of plain characters is cut where the vocabulary's own pattern cuts it."""
+        cut = [WORDS.findall(p) if SIMPLE.fullmatch(p) and not any(x in p for x in self.special) else [p] for p in pieces]
+        words = self.words
+        fresh = list(set(chain.from_iterable(cut)).difference(words))
+        spaced = [w for w in fresh if w[:1] == " " and w[1:].isalpha()]
+        words.update(zip(spaced, self.spaced(spaced), strict=True))
+        others = [w for w in fresh if w[:1] != " " or not w[1:].isalpha()]
+        words.update(zip(others, self.one_by_one(others), strict=True))
+        out = [b"".join(map(words.__getitem__, c)) for c in cut]
+        for word in fresh:
+            if len(word) > LONGEST_PIECE:
+                del words[word]
+        if len(words) > PIECES:
+            words.clear()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the end id, as bytes."""
-        if len(self.known) > PIECES:
-            self.known = {}
-        cut = []
-        for text in texts:
-            if ODD.search(text):
-                cut.append(CUT.split(text))
-            else:
-                parts = text.split(" ")
-                cut.append([parts[0], *[" " + p for p in parts[1:]]])
-        known = self.known
-        fresh = {p for pieces in cut for p in pieces if p not in known}
-        rare = self.learn([p for p in fresh if len(p) > LONGEST_PIECE])
-        known.update(self.learn([p for p in fresh if len(p) <= LONGEST_PIECE]))
-        return [b"".join([known[p] if p in known else rare[p] for p in pieces]) + self.end for pieces in cut]
+        known = self.after_space
+        if len(known) > PIECES:
+            known.clear()
+        parts = [CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
+        heads = self.pieces([p[0] for p in parts])
+        tails = [[q[1:] for q in p[1:]] if ODD.search(t) else p[1:] for t, p in zip(texts, parts, strict=True)]
+        fresh = list(set(chain.from_iterable(tails)).difference(known))
+        plain = [p for p in fresh if p.isalpha()]
+        known.update(zip(plain, self.spaced([" " + p for p in plain]), strict=True))
+        mixed = [p for p in fresh if not p.isalpha()]
+        known.update(zip(mixed, self.pieces([" " + p for p in mixed]), strict=True))
+        out = [head + b"".join(map(known.__getitem__, tail)) + self.end for head, tail in zip(heads, tails, strict=True)]
+        for piece in fresh:
+            if len(piece) > LONGEST_PIECE:
+                del known[piece]
+        return out
 
 
 def default_vocabulary() -> str:
@@ -174,6 +232,14 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None) -> Non
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        gc.disable()  # nothing here is cyclic, and the remembered pieces are many to visit
+        try:
+            yield from segments(batches)
+        finally:
+            gc.enable()
+
+    def segments(batches):
         encoder = Encoder.here(vocabulary.value)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []

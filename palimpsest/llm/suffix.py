@@ -39,7 +39,7 @@ from palimpsest.llm.common import bounded, identified, partitions, shared_folder
 LENGTH, LEAD = 100, 32
 SPAN = LENGTH - LEAD + 1
 #: Bytes that are hashed at once; a longer text is read in pieces that overlap by a window.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 PLACE_BITS = 23
 SMALL = 4096
 HOT = 20_000
