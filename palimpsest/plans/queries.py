@@ -1,6 +1,6 @@
 """All registered queries of the library itself."""
 
-from palimpsest.plans import store_queries  # noqa: F401
+from palimpsest.plans import retrieval_queries, store_queries  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
