@@ -32,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ MAGIC = b"EFIDS\x01"
 HEADER = "<6sBBIQ"  # magic, bytes of an id, low bits, documents, ids
 SAMPLE = 64
 PIECES = 500_000
+AT_ONCE = 1 << 23
 TOGETHER = 64
 #: How a byte-level vocabulary writes a space.
 SPACE_SIGN = "\u0120"
@@ -196,23 +198,43 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, with the end id, as bytes."""
+        """The ids of each text, with the end id, as bytes. Equal pieces of the texts are looked up once."""
         known = self.after_space
         if len(known) > PIECES:
             known.clear()
-        parts = [CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
-        heads = self.pieces([p[0] for p in parts])
-        tails = [[q[1:] for q in p[1:]] if ODD.search(t) else p[1:] for t, p in zip(texts, parts, strict=True)]
-        fresh = list(set(chain.from_iterable(tails)).difference(known))
-        plain = [p for p in fresh if p.isalpha()]
-        known.update(zip(plain, self.spaced([" " + p for p in plain]), strict=True))
-        mixed = [p for p in fresh if not p.isalpha()]
-        known.update(zip(mixed, self.pieces([" " + p for p in mixed]), strict=True))
-        out = [head + b"".join(map(known.__getitem__, tail)) + self.end for head, tail in zip(heads, tails, strict=True)]
-        for piece in fresh:
-            if len(piece) > LONGEST_PIECE:
-                del known[piece]
-        return out
+        # A text with odd spaces is one piece to the rest, and is cut by its own pattern.
+        odd = {i for i, t in enumerate(texts) if ODD.search(t)}
+        parts = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        first, coded = np.asarray(parts.offsets)[:-1], parts.values.dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        ids = list(map(known.get, pieces))
+        missing = [p for p, x in zip(pieces, ids, strict=True) if x is None]
+        plain = [p for p in missing if p.isalpha()]
+        mixed = [p for p in missing if not p.isalpha()]
+        fresh = dict(zip(plain, self.spaced([" " + p for p in plain]), strict=True))
+        fresh.update(zip(mixed, self.pieces([" " + p for p in mixed]), strict=True))
+        ids = [fresh[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+        known.update(item for item in fresh.items() if len(item[0]) <= LONGEST_PIECE)
+        # What begins a text has no space before it: each text's first piece is an entry of its own.
+        heads = [b"".join(self.pieces(CUT.split(t))) if i in odd else None for i, t in enumerate(texts)]
+        usual = iter(self.pieces([t.partition(" ")[0] for i, t in enumerate(texts) if i not in odd]))
+        ids += [next(usual) if h is None else h for h in heads]
+        at[first] = len(pieces) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.id_bytes
+        starts, values, lengths = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), self.dtype), sizes[at]
+        ends = np.cumsum(lengths)
+        out = values[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        edges = np.r_[0, ends[np.r_[first[1:], len(at)] - 1]] * self.id_bytes if len(texts) else np.zeros(1, np.int64)
+        return [out[s:e] + self.end for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def chunks(batch: pa.RecordBatch):
+    """Slices of a batch with about ``AT_ONCE`` bytes of text each; a longer text stands alone."""
+    ends, start = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)), 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def default_vocabulary() -> str:
@@ -253,8 +275,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None) -> Non
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in chunks(batch):
                 ids = encoder.encode([x or "" for x in some.column("text").to_pylist()])
                 for doc_id, data in zip(some.column("doc_id").to_pylist(), ids, strict=True):
                     doc_ids.append(doc_id)
