@@ -54,11 +54,13 @@ SPACE_SIGN = "\u0120"
 LONGEST_PIECE = 48
 MAX_PARTS = 1_000_000
 PLAIN = "!-~À-ɏ"
-ODD = re.compile(f" (?![{PLAIN}])")
+ODD = f" (?:[^{PLAIN}]|$)"
 CUT = re.compile(f"(?= [{PLAIN}])")
 #: Pieces that can be cut further, and the vocabulary's pattern for them: letters, digits or other characters, each
-#: with a space before it, or one white space alone. Apostrophes (contractions) and runs of white space stay whole.
-SIMPLE = re.compile("[ ]?[!-&(-~À-ÖØ-öø-ɏ]+(?:\n[!-&(-~À-ÖØ-öø-ɏ]+)*")
+#: with a space before it, or one white space alone. Apostrophes (contractions), < and [ (special tokens) and
+#: runs of white space stay whole.
+PLAIN_SIGNS = "!-&(-;=-Z\\\\-~À-ÖØ-öø-ɏ"
+SIMPLE = re.compile(f" ?[{PLAIN_SIGNS}]+(?:\n[{PLAIN_SIGNS}]+)*")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 WORDS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\n")
 
@@ -141,7 +143,8 @@ class Encoder:
         self.code = "H" if self.id_bytes == 2 else "I"
         self.dtype = np.dtype(f"<u{self.id_bytes}")
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Pieces with < or [ stay whole, so that special tokens are never cut.
+        self.cuts = all("<" in t.content or "[" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         names = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(names.values()) + 1, bool)
         self.begins[[i for name, i in names.items() if name.startswith(SPACE_SIGN)]] = True
@@ -182,49 +185,57 @@ class Encoder:
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece. A piece of plain characters is cut where the vocabulary's own pattern cuts it."""
-        cut = [WORDS.findall(p) if SIMPLE.fullmatch(p) and not any(x in p for x in self.special) else [p] for p in pieces]
-        words = self.words
-        fresh = list(set(chain.from_iterable(cut)).difference(words))
-        spaced = [w for w in fresh if w[:1] == " " and w[1:].isalpha()]
+        simple, find = SIMPLE.fullmatch if self.cuts else lambda p: None, WORDS.findall
+        cut = [find(p) if simple(p) else [p] for p in pieces]
+        words, spaced, others = self.words, [], []
+        for w in set(chain.from_iterable(cut)).difference(words):
+            (spaced if w[:1] == " " and w[1:].isalpha() else others).append(w)
         words.update(zip(spaced, self.spaced(spaced), strict=True))
-        others = [w for w in fresh if w[:1] != " " or not w[1:].isalpha()]
         words.update(zip(others, self.one_by_one(others), strict=True))
-        out = [b"".join(map(words.__getitem__, c)) for c in cut]
-        for word in fresh:
-            if len(word) > LONGEST_PIECE:
-                del words[word]
+        out = [words[c[0]] if len(c) == 1 else b"".join([words[w] for w in c]) for c in cut]
+        for word in [w for w in chain(spaced, others) if len(w) > LONGEST_PIECE]:
+            del words[word]
         if len(words) > PIECES:
             words.clear()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, with the end id, as bytes. Equal pieces of the texts are looked up once."""
         known = self.after_space
         if len(known) > PIECES:
             known.clear()
-        # A text with odd spaces is one piece to the rest, and is cut by its own pattern.
-        odd = {i for i, t in enumerate(texts) if ODD.search(t)}
-        parts = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        # A text with odd spaces is cut by its own pattern, one piece at a time.
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, ODD)))
+        whole = {int(i): b"".join(self.pieces(CUT.split(texts[int(i)].as_py()))) for i in odd}
+        if whole:
+            texts = pa.array([None if i in whole else t for i, t in enumerate(texts.to_pylist())], texts.type).fill_null("")
+        parts = pc.split_pattern(texts, " ")
         first, coded = np.asarray(parts.offsets)[:-1], parts.values.dictionary_encode()
-        pieces, at = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        pieces, at = coded.dictionary.to_pylist(), np.asarray(coded.indices).copy()
         ids = list(map(known.get, pieces))
-        missing = [p for p, x in zip(pieces, ids, strict=True) if x is None]
-        plain = [p for p in missing if p.isalpha()]
-        mixed = [p for p in missing if not p.isalpha()]
+        plain, mixed = [], []
+        for p, x in zip(pieces, ids, strict=True):
+            if x is None:
+                (plain if p.isalpha() else mixed).append(p)
         fresh = dict(zip(plain, self.spaced([" " + p for p in plain]), strict=True))
         fresh.update(zip(mixed, self.pieces([" " + p for p in mixed]), strict=True))
         ids = [fresh[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
-        known.update(item for item in fresh.items() if len(item[0]) <= LONGEST_PIECE)
+        known.update(fresh)
+        for p in [p for p in fresh if len(p) > LONGEST_PIECE]:
+            del known[p]
         # What begins a text has no space before it: each text's first piece is an entry of its own.
-        heads = [b"".join(self.pieces(CUT.split(t))) if i in odd else None for i, t in enumerate(texts)]
-        usual = iter(self.pieces([t.partition(" ")[0] for i, t in enumerate(texts) if i not in odd]))
-        ids += [next(usual) if h is None else h for h in heads]
+        heads = self.pieces(parts.values.take(pa.array(first)).to_pylist())
+        for i, x in whole.items():
+            heads[i] = x
+        ids += heads
         at[first] = len(pieces) + np.arange(len(texts))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.id_bytes
-        starts, values, lengths = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), self.dtype), sizes[at]
-        ends = np.cumsum(lengths)
-        out = values[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-        edges = np.r_[0, ends[np.r_[first[1:], len(at)] - 1]] * self.id_bytes if len(texts) else np.zeros(1, np.int64)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.id_bytes
+        starts, values, lengths = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(ids), self.dtype), sizes[at]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        place = np.repeat(starts[at] - ends + lengths, lengths)
+        place += np.arange(len(place), dtype=np.int32)
+        out = values[place].tobytes()
+        edges = np.r_[0, ends[np.r_[first[1:], len(at)] - 1].astype(np.int64)] * self.id_bytes
         return [out[s:e] + self.end for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
@@ -276,7 +287,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None) -> Non
 
         for batch in batches:
             for some in chunks(batch):
-                ids = encoder.encode([x or "" for x in some.column("text").to_pylist()])
+                ids = encoder.encode(some.column("text").fill_null(""))
                 for doc_id, data in zip(some.column("doc_id").to_pylist(), ids, strict=True):
                     doc_ids.append(doc_id)
                     held.append(data)
