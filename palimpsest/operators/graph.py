@@ -134,3 +134,27 @@ def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
         frontier = step.join(seen, ["without", "node"], "left_anti")
         seen = seen.unionByName(frontier)
     return seen
+
+
+def walk_weights(edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """Weights of a random walk over passages and entities: src, dst, weight.
+
+    ``edges`` have kind (contains, synonym, relation), src, dst and confidence. Containment leads from the passage with a
+    quarter of its weight and back with all of it; synonyms lead both ways; a relation leads on with its confidence over
+    the root of both degrees, back with half of that, and with half again where a hub (column node) is an end. Of
+    parallel edges the strongest counts, self loops don't.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    du, dv = ends.select(F.col("node").alias("src"), F.col("degree").alias("_du")), ends.select(F.col("node").alias("dst"), F.col("degree").alias("_dv"))
+    df = edges.join(du, "src").join(dv, "dst").where("src <> dst")
+    if hubs is None:
+        df = df.withColumn("_hub", F.lit(1.0))
+    else:
+        a, b = hubs.select(F.col("node").alias("src"), F.lit(True).alias("_a")).distinct(), hubs.select(F.col("node").alias("dst"), F.lit(True).alias("_b")).distinct()
+        df = df.join(a, "src", "left").join(b, "dst", "left").withColumn("_hub", F.when(F.col("_a") | F.col("_b"), 0.5).otherwise(1.0))
+    c = F.col("confidence")
+    relation = c / F.sqrt(F.col("_du") * F.col("_dv").cast("double")) * F.col("_hub")
+    on = F.when(F.col("kind") == "contains", 0.25 * c).when(F.col("kind") == "synonym", c).otherwise(relation)
+    back = F.when(F.col("kind") == "relation", 0.5 * relation).otherwise(c)
+    both = df.select("src", "dst", on.alias("weight")).unionByName(df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), back.alias("weight")))
+    return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +82,6 @@ def upsert_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(old, "key", "left").withColumn("status", status).drop("_old")
 
 
-def chain(entries: DataFrame, by: list[str]) -> DataFrame:
-    """Ledger entries with value_hash, and the hash of the entry before each one (``by``: chains, in order of seq)."""
-    hashed = entries.withColumn("value_hash", F.sha2(F.col("value").cast("string"), 256))
-    return hashed.withColumn("prev_hash", F.coalesce(F.lag("value_hash").over(Window.partitionBy(*by).orderBy("seq")), F.lit(GENESIS)))
-
-
 def entry_hash() -> Column:
     return F.sha2(F.concat_ws(":", F.col("seq").cast("string"), F.col("stamp"), F.col("key"), F.col("value_hash"), F.col("prev_hash")), 256)
 
@@ -126,3 +123,21 @@ def turn_facts(turns: DataFrame) -> DataFrame:
     head = F.regexp_replace(F.lower(F.array_join(F.slice("_w", 1, 4), "_")), r"[^\p{L}\p{N}_]", "")
     confidence = F.when(F.col("role") == "user", 0.9).otherwise(0.6)
     return kept.select("conv_id", "turn", "line_no", F.concat(F.lit("turn:"), head).alias("key"), F.col("line").alias("value"), confidence.alias("confidence"))
+
+
+def healed(entries: DataFrame, by: str) -> DataFrame:
+    """``entries`` (by, seq, stamp, key, value) with value, previous and entry hashes computed anew from the first of
+    each chain on. Each hash needs the one before, so a chain is folded in one group."""
+    kind = entries.schema[by].dataType.simpleString()
+    columns = [by, "seq", "stamp", "key", "value"]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, before, out = rows.sort_values("seq"), GENESIS, []
+        for r in rows[columns].itertuples(index=False):
+            value_hash = hashlib.sha256(("" if r[4] is None else r[4]).encode()).hexdigest()
+            entry = hashlib.sha256(f"{r[1]}:{r[2]}:{r[3]}:{value_hash}:{before}".encode()).hexdigest()
+            out.append((*r, value_hash, before, entry))
+            before = entry
+        return pd.DataFrame(out, columns=[*columns, "value_hash", "prev_hash", "entry_hash"])
+
+    return entries.select(*columns).groupBy(by).applyInPandas(fold, f"{by} {kind}, seq long, stamp string, key string, value string, value_hash string, prev_hash string, entry_hash string")

@@ -129,3 +129,27 @@ WHERE round((reachable - 1 - coalesce(n, 0)) / CAST(reachable AS DOUBLE), 6) >=
 )
 def critical_points(spark: SparkSession, d: str) -> DataFrame:
     return graph.cut_points(tables.hops(spark, d).select("src", "dst"), "n1", 5, 0.1)
+
+
+_WALK = """e AS (SELECT 'relation' AS kind, src, dst, confidence FROM edges UNION ALL SELECT 'contains', 'doc' || o_orderkey, 's' || (o_custkey % 100), 0.5e0 + (o_orderkey % 5) / 10e0 FROM orders
+  UNION ALL SELECT 'synonym', 's' || s_suppkey, 's' || (s_suppkey + 1), 0.9e0 FROM supplier UNION ALL SELECT 'relation', 's1', 's1', 1e0)"""
+
+
+@query(
+    with_tables(
+        f"""WITH {_WALK}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1),
+w AS (SELECT kind, src, dst, confidence AS c, confidence / sqrt(CAST(a.n * b.n AS DOUBLE)) * CASE WHEN src IN ('s3', 's4') OR dst IN ('s3', 's4') THEN 0.5e0 ELSE 1e0 END AS r FROM e JOIN d a ON a.node = src JOIN d b ON b.node = dst WHERE src <> dst),
+o AS (SELECT src, dst, CASE kind WHEN 'contains' THEN 0.25e0 * c WHEN 'synonym' THEN c ELSE r END AS x FROM w UNION ALL SELECT dst, src, CASE kind WHEN 'relation' THEN 0.5e0 * r ELSE c END FROM w)
+SELECT src, dst, round(max(x), 8) AS weight FROM o GROUP BY 1, 2""",
+        "edges",
+    )
+)
+def walk_weights(spark: SparkSession, d: str) -> DataFrame:
+    orders, suppliers = tables.read(spark, d, "orders"), tables.read(spark, d, "supplier")
+    e = tables.edges(spark, d).select(F.lit("relation").alias("kind"), "src", "dst", "confidence")
+    e = e.unionByName(orders.select(F.lit("contains").alias("kind"), F.concat(F.lit("doc"), F.col("o_orderkey")).alias("src"), F.concat(F.lit("s"), F.col("o_custkey") % 100).alias("dst"), (0.5 + F.col("o_orderkey") % 5 / 10.0).alias("confidence")))
+    e = e.unionByName(suppliers.select(F.lit("synonym").alias("kind"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("src"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("dst"), F.lit(0.9).alias("confidence")))
+    # A self loop, of the first supplier.
+    e = e.unionByName(suppliers.where("s_suppkey = 1").select(F.lit("relation").alias("kind"), F.lit("s1").alias("src"), F.lit("s1").alias("dst"), F.lit(1.0).alias("confidence")))
+    hubs = suppliers.where("s_suppkey in (3, 4)").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"))
+    return graph.walk_weights(e, hubs).withColumn("weight", F.round("weight", 8))

@@ -248,3 +248,18 @@ FROM w WHERE len(words) >= 3 AND NOT regexp_matches(t, '^(#|//|```|<)')"""
 )
 def turn_facts(spark: SparkSession, d: str) -> DataFrame:
     return store.turn_facts(tables.read(spark, d, "conversations"))
+
+
+@query(
+    with_tables(
+        """WITH r AS (SELECT user_id, seq, seq % 501 = 0 AS forged FROM states)
+SELECT user_id, count(*) AS entries, count(*) FILTER (forged) AS bad, min(seq) FILTER (forged) AS first_bad FROM r GROUP BY user_id""",
+        "states",
+    )
+)
+def chain_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Chains built anew, then forged in places: links, values and entries are verified."""
+    rows = tables.states(spark, d).select("user_id", "seq", F.col("seq").cast("string").alias("stamp"), "key", F.coalesce(F.round(F.col("value") * 100).cast("long"), F.lit(0)).cast("string").alias("value"))
+    ledger = store.healed(rows, "user_id")
+    forged = ledger.withColumn("value", F.when(F.col("seq") % 501 == 0, "forged").otherwise(F.col("value")))
+    return store.verify_chain(forged, ["user_id"])
