@@ -82,7 +82,8 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``stratum`` and a column for each rule: the certified cutoff, or null."""
+    """``stratum`` and a column for each rule: the certified cutoff, or null. Give materialised ``features``: they are
+    read several times."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     held = features.where(~F.col("base_failed")).join(known, "doc_id")
     ratios = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("ratio")) for r in RULES])
