@@ -32,7 +32,14 @@ MIN_PAGES, SHARE = 8, 0.5
 MAX_TEMPLATES = 200_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select button".split())
+#: Hold text up to their own end tag, whatever it looks like; CODE also where that is missing, as in browsers.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("textarea title".split())
+END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in RAW}
+NEXT = {tag: re.compile(rf"<(/?){tag}\b", re.IGNORECASE) for tag in RAW}
+#: Elements within lines that are dropped; those of the second kind hold none of their kind.
+INLINE = frozenset("noscript template svg math iframe object canvas select button".split())
+FLAT = frozenset("noscript iframe canvas select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,39 +60,59 @@ class Page:
     def __init__(self, html: str):
         self.parts: list[tuple[int, str]] = []  # block number, text
         self.elements: list[list] = []  # tag, first part, end part, dropped by a tag, dropped by a name
+        self.cut: dict[int, int] = {}  # for open elements of INLINE the part at which a block began in them
+        self.line: dict[int, int] = {}  # block in which elements of INLINE began; it goes on after them
         self.block = 0
         self.open: list[int] = []
-        raw = None
-        for m in TOKEN.finditer(html):
-            token, tag = m[0], m[2]
-            if raw is not None:
-                if tag and m[1] and tag.lower() == raw:
-                    raw = None
-                continue
+        at, match, endless = 0, TOKEN.match, set()
+        while m := match(html, at):
+            at, tag = m.end(), m[2]
             if tag is None:
-                if token[0] != "<" or token == "<":
-                    self.parts.append((self.block, token))
+                if html[m.start()] != "<" or at == m.start() + 1:
+                    self.parts.append((self.block, m[0]))
                 continue
             tag = tag.lower()
             if m[1]:
                 self.close(tag)
             elif tag in RAW:
-                raw = None if m[3].endswith("/") else tag
+                if tag in endless or m[3].endswith("/") and ((ahead := NEXT[tag].search(html, at)) is None or not ahead[1]):
+                    continue
+                if end := END[tag].search(html, at):
+                    at = end.end()
+                elif tag in CODE:
+                    break
+                else:
+                    endless.add(tag)
+            elif tag in INLINE:
+                if not m[3].endswith("/"):
+                    self.start_inline(tag)
             elif tag == "br":
                 self.parts.append((self.block, " "))
             elif tag in BLOCKS and tag not in VOID:
                 self.start(tag, m[3])
             elif tag == "hr":
                 self.block += 1
-        for at in self.open:
-            self.elements[at][2] = len(self.parts)
+        self.end_down_to(0)
 
     def end_down_to(self, level: int) -> None:
+        """Ends open elements; one of INLINE without an end tag of its own reaches to the first block in it only."""
         for at in self.open[level:]:
-            self.elements[at][2] = len(self.parts)
+            self.elements[at][2] = self.cut.pop(at, len(self.parts))
         del self.open[level:]
         self.block += 1
 
+    def start_inline(self, tag: str) -> None:
+        if tag in FLAT:
+            for level in range(len(self.open) - 1, -1, -1):
+                at = self.open[level]
+                if self.elements[at][0] == tag:
+                    self.elements[at][2] = self.cut.pop(at, len(self.parts))
+                    del self.open[level]
+                    break
+        self.line[len(self.elements)] = self.block
+        self.open.append(len(self.elements))
+        self.elements.append([tag, len(self.parts), None, True, False])
+
     def start(self, tag: str, attributes: str) -> None:
         closed, within = (("p",), ("article", "section", "div", "td", "blockquote", "li", "body")) if tag in NOT_IN_P else ((), ())
         rules = [(closed, within)] + ([CLOSES[tag]] if tag in CLOSES else [])
@@ -105,6 +132,10 @@ class Page:
         if tag == "header" and any(self.elements[at][0] == "article" for at in self.open):
             by_tag = False  # an article's own head
         self.block += 1
+        if tag != "option":
+            for at in self.open:
+                if self.elements[at][0] in INLINE:
+                    self.cut.setdefault(at, len(self.parts))
         self.open.append(len(self.elements))
         self.elements.append([tag, len(self.parts), None, by_tag, by_name])
 
@@ -123,7 +154,11 @@ class Page:
     def close(self, tag: str) -> None:
         for level in range(len(self.open) - 1, -1, -1):
             if self.elements[self.open[level]][0] == tag:
+                self.cut.pop(self.open[level], None)
+                line = self.line.get(self.open[level])
                 self.end_down_to(level)
+                if line is not None:
+                    self.block = line
                 return
         if tag in BLOCKS:
             self.block += 1

@@ -71,3 +71,14 @@ def test_site_templates(spark):
             assert found == "Same article\ntold again"
     assert {x[0]: x[2] for x in got if x[0] in (200, 201)} == {200: "", 201: "x"}
     assert html.extracted(pages.limit(0)).count() == 0
+
+
+def test_raw_text_and_dropped_elements_end_where_they_end():
+    assert text("<script>if(i<n){f()}</script><article><p>told</p></article>") == "told"
+    assert text("<p>a</p><SCRIPT>x='>';for(i=0;i<n;)y()</Script ><p>b<style>p<q{}</style>c</p>") == "a\nbc"
+    assert text("<p>a</p><script src=/js/>if(i<n)g()</script><p>b</p>") == "a\nb"
+    assert text("<body><button>Menu<p>told</p><p>on</p>") == "told\non"
+    assert text("<div><button>Menu</div><p>told</p><p>x<button>more</button>y</p><button>Go<p>on</p>") == "told\nxy\non"
+    assert text("<select><option>a<option>b<p>told</p>") == "told" and text("<div><svg><text>no</div><p>told</p>") == "told"
+    assert text("<p>a <select><option>b</option></select>c</p>") == "a c" and text("<noscript><div>no</div><p>no</p></noscript><p>b</p>") == "b"
+    assert text("<p>x</p><title>T<p>told</p>") == "x\nT\ntold"
