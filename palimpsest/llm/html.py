@@ -1,8 +1,8 @@
 """Main text of web pages, with site templates removed by counting element subtrees per host (operator 8).
 
 A page is read into blocks of text and the elements around them. Scripts, styles, menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments go by their tags, roles and class names; if the page has an article (else
-a main element), only what is in it stays. Beyond that, each element subtree (its tag and text) is hashed and counted
+notices, adverts, forms and reader comments go by their tags, roles and names (but not where they wrap the article or
+most of the page's text); if the page has an article (else a main element), only what is in it stays. Beyond that, each element subtree (its tag and text) is hashed and counted
 per host over distinct pages (pages with the same text count once, so that copies of an article don't make it a
 template). A subtree on at least ``MIN_PAGES`` distinct pages and ``SHARE`` of those of its host is template and is
 deleted from all its pages. Such subtrees are few: at most the subtrees of a page / SHARE for each host.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -49,6 +50,13 @@ DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search fo
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination footer masthead topbar toolbar comment comments disqus respond reply replies newsletter subscribe signup login share sharing social related recommended popup modal overlay widget".split()
 )
+#: Readers' words may be most of a page's text and are still not the page's own.
+READERS = frozenset("comment comments disqus respond reply replies".split())
+#: Parts of a name that say nothing; a name is one of the above if all its other parts are.
+NEUTRAL = frozenset("wrapper wrap container box bar list block area section site global top bottom left right".split())
+#: These wrap a whole page now and then, form and fieldset in earnest and the others by mistake.
+WRAPPERS, RARE_WRAPPERS = frozenset(("form", "fieldset")), frozenset(("header", "footer", "aside"))
+HEADINGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: A tag that opens closes an open element of these, up to the nearest of the second.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 NOT_IN_P = BLOCKS - {"html", "body", "option"}
@@ -59,7 +67,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parts: list[tuple[int, str]] = []  # block number, text
-        self.elements: list[list] = []  # tag, first part, end part, dropped by a tag, dropped by a name
+        self.elements: list[list] = []  # tag, first part, end part, dropped by a tag, by a name (see named)
         self.cut: dict[int, int] = {}  # for open elements of INLINE the part at which a block began in them
         self.line: dict[int, int] = {}  # block in which elements of INLINE began; it goes on after them
         self.block = 0
@@ -124,11 +132,9 @@ class Page:
                     break
                 if name in stop:
                     break
-        by_tag, by_name = tag in DROPPED, False
-        if attributes and tag not in ("html", "body", "article", "main"):
-            by_name = self.named(attributes)
-        elif tag == "article" and attributes:
-            by_name = self.named(attributes)
+        by_tag, by_name = tag in DROPPED, 0
+        if attributes and tag not in ("html", "body", "main"):
+            by_name = self.named(attributes, tag in HEADINGS)
         if tag == "header" and any(self.elements[at][0] == "article" for at in self.open):
             by_tag = False  # an article's own head
         self.block += 1
@@ -140,16 +146,23 @@ class Page:
         self.elements.append([tag, len(self.parts), None, by_tag, by_name])
 
     @staticmethod
-    def named(attributes: str) -> bool:
+    def named(attributes: str, heading: bool) -> int:
+        """0 if nothing tells that an element is no main text, 2 if it is readers' words by its name, else 1.
+
+        Class names count whole, an id too; an id of a heading or paragraph is a link's target and doesn't count."""
+        told = 0
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id") and DROPPED_NAMES.intersection(re.split(r"[^a-z0-9]+", value)):
-                return True
-            if key == "role" and value in DROPPED_ROLES or key == "aria-hidden" and value == "true" or key == "hidden" and value != "false":
-                return True
-            if key == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-        return False
+            if key == "class" or key == "id" and not heading:
+                for name in value.split():
+                    parts = {x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()} - NEUTRAL
+                    if parts and parts <= DROPPED_NAMES:
+                        told = 2 if told == 2 or parts & READERS else 1
+            elif key == "role" and value in DROPPED_ROLES or key == "aria-hidden" and value == "true" or key == "hidden" and value != "false":
+                told = told or 1
+            elif key == "style" and re.search(r"display\s*:\s*none", value):
+                told = told or 1
+        return told
 
     def close(self, tag: str) -> None:
         for level in range(len(self.open) - 1, -1, -1):
@@ -166,10 +179,21 @@ class Page:
     def kept(self) -> bytearray:
         """For each part, 1 if it belongs to the main text as far as tags and names tell."""
         keep = bytearray(b"\x01" * len(self.parts))
+        loose = []
+        for e in self.elements:
+            if e[3] and e[0] not in WRAPPERS and e[0] not in RARE_WRAPPERS:
+                keep[e[1] : e[2]] = bytes(e[2] - e[1])
+            elif e[3] or e[4]:
+                loose.append(e)
         mains = [e for e in self.elements if e[0] in ("article", "main") and not e[4]]
-        for tag, first, end, by_tag, by_name in self.elements:
-            if by_tag or by_name and not any(first <= e[1] and e[2] <= end and e[1] < e[2] for e in mains):
-                keep[first:end] = bytes(end - first)
+        if loose:
+            # Characters before each part, without those that are gone already.
+            sizes = [0, *accumulate(len(t.strip()) if k else 0 for (_, t), k in zip(self.parts, keep, strict=True))]
+            for tag, first, end, by_tag, by_name in loose:
+                most = by_name < 2 and 2 * (sizes[end] - sizes[first]) > sizes[-1]
+                holds = any(first <= e[1] and e[2] <= end and e[1] < e[2] for e in mains)
+                if not (most and holds if by_tag and tag in RARE_WRAPPERS else most or holds):
+                    keep[first:end] = bytes(end - first)
         inside = bytearray(len(self.parts))
         wanted = [e for e in mains if e[0] == "article" and any(keep[e[1] : e[2]])] or [e for e in mains if any(keep[e[1] : e[2]])]
         for e in wanted:

@@ -82,3 +82,17 @@ def test_raw_text_and_dropped_elements_end_where_they_end():
     assert text("<select><option>a<option>b<p>told</p>") == "told" and text("<div><svg><text>no</div><p>told</p>") == "told"
     assert text("<p>a <select><option>b</option></select>c</p>") == "a c" and text("<noscript><div>no</div><p>no</p></noscript><p>b</p>") == "b"
     assert text("<p>x</p><title>T<p>told</p>") == "x\nT\ntold"
+
+
+def test_names_are_whole_and_wrappers_stay():
+    for inner in ("<h2 id='related-work'>", "<section id='social-impact'>", "<p class='notice-of-motion'>", "<div class='share-prices'>", "<h2 id=related>", "<p id=notice>"):
+        assert text(f"<article><p>long enough to be most of the page</p>{inner}kept") == "long enough to be most of the page\nkept"
+    assert text("<div class='layout-with-sidebar'><p>told</p></div>") == "told"
+    assert text("<div class='sidebar'><p>all that is told</p></div><p>end</p>") == "all that is told\nend"
+    assert text("<form action=x><nav>menu</nav><div>told</div></form>") == "told"
+    assert text("<form action=x><div>a<article>told</article></div></form><p>a longer text outside of the form</p>") == "told"
+    assert text("<header>menu<article>all that is told</article></header>") == "all that is told"
+    rest = "<p>long enough to be most of the page, as it should</p>"
+    for inner in ("<div class='x sidebar'>", "<div class='ad-container'>", "<div id='social-share'>", "<p class=advert>", "<form>", "<aside>", "<fieldset>", "<div role=search>"):
+        assert "kept" not in text(f"{rest}{inner}kept")
+    assert text("<p>told</p><div class='comment-list'>readers say much more than the page</div>") == "told"
