@@ -2,14 +2,17 @@
 
 A page is read into blocks of text and the elements around them. Scripts, styles, menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments go by their tags, roles and names (but not where they wrap the article or
-most of the page's text); if the page has an article (else a main element), only what is in it stays. Beyond that, each element subtree (its tag and text) is hashed and counted
-per host over distinct pages (pages with the same text count once, so that copies of an article don't make it a
-template). A subtree on at least ``MIN_PAGES`` distinct pages and ``SHARE`` of those of its host is template and is
-deleted from all its pages. Such subtrees are few: at most the subtrees of a page / SHARE for each host.
-
-The counts are grouped per (host, subtree, page text) first, so a host with a third of all pages meets in no task. The
-template table is broadcast if it is small (``MAX_TEMPLATES`` rows), else it is joined by host. Pages are read twice
-rather than stored between.
+most of the page's text); if the page has an article (else a main element), only what is in it stays. Beyond that, each element subtree (its tag and text) is hashed and counted over the
+distinct pages of a host, and of a section of it (the first part of the path). Pages are told apart by what else is on
+them: the longest, second and third longest block outside the subtree, and the greatest of the three counts holds. So
+copies of an article count once, also where they differ in a date, and a long notice doesn't hide a menu. A subtree of
+``LONG`` words or more is template from ``COPIES`` distinct pages on, however large the host and whatever its sections;
+any other, which may be a table's "yes" or a heading, from ``MIN_PAGES`` distinct pages and ``SHARE`` of those of its
+host or section on. Templates are deleted from all pages of the host.
+
+Subtrees on fewer pages than any template go first. The counts are grouped per (host, section, subtree, page) first, so a host with a third of all pages meets in no task.
+The template table is broadcast by host if it is small (``MAX_TEMPLATES`` rows), else it is joined by host and subtree
+and gathered per page. Pages are read again rather than stored between.
 
 Nulls: a null html is empty, a null url has the host ''. Repeated pages each give a row; an empty table an empty
 result; other columns aren't read.
@@ -18,6 +21,7 @@ result; other columns aren't read.
 from __future__ import annotations
 
 import re
+import uuid
 from html import unescape
 from itertools import accumulate
 
@@ -27,9 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import materialise
+from palimpsest.llm.common import bounded, materialise, shared_folder
 
-MIN_PAGES, SHARE = 8, 0.5
+MIN_PAGES, SHARE = 3, 0.5
+LONG, COPIES = 8, 8
+OTHERS = 3
 MAX_TEMPLATES = 200_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -229,42 +235,106 @@ def host() -> Column:
     return F.xxhash64(F.lower(name)).alias("host")
 
 
-#: Stands for the page itself among its subtrees.
+def section() -> Column:
+    """The first part of the path of ``url``, with a slash, if more of the path follows it; as a hash."""
+    return F.xxhash64(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*/([^/?#]+/)", 1)).alias("section")
+
+
+#: Stands for the page itself among its subtrees, and for the host among its sections.
 WHOLE = 0
+PAGES = [f"page{k}" for k in range(OTHERS)]
+
+
+def others(page: Page, keep: bytearray) -> list[tuple[int, int]]:
+    """(hash, block number) of the blocks of the text that stays, longest first."""
+    blocks: dict[int, list[str]] = {}
+    for (block, text), k in zip(page.parts, keep, strict=True):
+        if k:
+            blocks.setdefault(block, []).append(text)
+    joined = sorted(((" ".join("".join(x).split()), block) for block, x in blocks.items()), key=lambda x: (-len(x[0]), x[0]))
+    return [(as_long(xxhash.xxh64_intdigest(text)), block) for text, block in joined if text]
 
 
 def hashed(pages: DataFrame) -> DataFrame:
-    """``host``, ``page`` (hash of its main text) and ``subtree`` (hash): each subtree of a page once, and the page."""
+    """``host``, ``section``, ``subtree`` (hash), ``long`` (has LONG words) and, in PAGES, what tells pages apart: each
+    subtree of a page once, and the page."""
 
     def run(batches):
         for batch in batches:
-            hosts, texts, trees = [], [], []
-            for name, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            rows = []
+            for name, part, html in zip(batch.column("host").to_pylist(), batch.column("section").to_pylist(), batch.column("html"), strict=True):
                 page = Page(html.as_py() or "")
                 keep = page.kept()
-                found = {WHOLE, *(h for h, _, _ in page.subtrees(keep))}
-                hosts += [name] * len(found)
-                texts += [as_long(xxhash.xxh64_intdigest(page.text(keep)))] * len(found)
-                trees += found
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, texts, trees)], names=["host", "page", "subtree"])
-
-    return pages.select(host(), "html").mapInArrow(run, "host long, page long, subtree long")
+                blocks = others(page, keep)
+                rows.append((name, part, WHOLE, False, *([h for h, _ in blocks[:OTHERS]] + [None] * OTHERS)[:OTHERS]))
+                done = set()
+                for h, first, end in page.subtrees(keep):
+                    if h in done:
+                        continue
+                    done.add(h)
+                    inside, words, rest = set(), 0, []
+                    for (block, text), k in zip(page.parts[first:end], keep[first:end], strict=True):
+                        if k:
+                            inside.add(block)
+                            words += len(text.split())
+                    for other, block in blocks:
+                        if block not in inside:
+                            rest.append(other)
+                            if len(rest) == OTHERS:
+                                break
+                    if rest:
+                        rows.append((name, part, h, words >= LONG, *rest, *[None] * (OTHERS - len(rest))))
+            columns = zip(*rows, strict=True) if rows else [()] * (4 + OTHERS)
+            names = ["host", "section", "subtree", "long", *PAGES]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if n == "long" else pa.int64()) for n, x in zip(names, columns, strict=True)], names=names)
+
+    types = "host long, section long, subtree long, long boolean, " + ", ".join(f"{x} long" for x in PAGES)
+    path = f"{shared_folder(pages.sparkSession)}/subtrees-{uuid.uuid4().hex}"
+    pages.select(host(), section(), "html").mapInArrow(run, types).write.parquet(path)
+    return pages.sparkSession.read.schema(types).parquet(path)
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """``host`` and ``subtree`` (hashes) of the subtrees that are template."""
-    counts = hashed(pages).groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
+    rows = hashed(pages)
+    # Most subtrees are on too few pages of their host, whatever these are, and go before the wider rows are shuffled.
+    many = rows.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
+    rows = rows.join(bounded(many, MAX_TEMPLATES), ["host", "subtree"])
+    rows = rows.withColumn("section", F.explode(F.array(F.lit(WHOLE).cast("long"), "section")))
+    told = rows.select("host", "section", "subtree", "long", F.posexplode(F.array(*PAGES)).alias("k", "page")).where("page IS NOT NULL")
+    counts = told.distinct().groupBy("host", "section", "subtree", "k").agg(F.count("*").alias("n"), F.max("long").alias("long"))
+    counts = counts.groupBy("host", "section", "subtree").agg(F.max("n").alias("n"), F.max("long").alias("long")).where(F.col("n") >= min_pages)
     counts = materialise(counts)
-    sizes = counts.where(F.col("subtree") == WHOLE).select("host", F.col("n").alias("pages"))
-    return counts.where(F.col("subtree") != WHOLE).join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
+    sizes = counts.where(F.col("subtree") == WHOLE).select("host", "section", F.col("n").alias("pages"))
+    counts = counts.where(F.col("subtree") != WHOLE)
+    often = counts.join(sizes, ["host", "section"]).where(F.col("n") >= share * F.col("pages"))
+    long = counts.where(F.col("long") & (F.col("section") == WHOLE) & (F.col("n") >= COPIES))
+    return often.select("host", "subtree").unionByName(long.select("host", "subtree")).distinct()
+
+
+def listed(batches):
+    """The subtrees of each page."""
+    for batch in batches:
+        found = []
+        for name, body, html in zip(batch.column("host").to_pylist(), batch.column("body").to_pylist(), batch.column("html"), strict=True):
+            page = Page(html.as_py() or "")
+            found += [(name, body, h) for h in {h for h, _, _ in page.subtrees(page.kept())}]
+        columns = zip(*found, strict=True) if found else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["host", "body", "subtree"])
 
 
 def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """``page_id``, ``url`` and ``text`` (the main text; empty if none) of each page."""
     found = materialise(templates(pages, min_pages, share))
-    lists = found.groupBy("host").agg(F.collect_list("subtree").alias("trees"))
-    lists = F.broadcast(lists) if found.limit(MAX_TEMPLATES + 1).count() <= MAX_TEMPLATES else lists
-    rows = pages.select("page_id", "url", "html", host()).join(lists, "host", "left").select("page_id", "url", "html", "trees")
+    rows = pages.select("page_id", "url", "html", host())
+    if found.limit(MAX_TEMPLATES + 1).count() <= MAX_TEMPLATES:
+        rows = rows.join(F.broadcast(found.groupBy("host").agg(F.collect_list("subtree").alias("trees"))), "host", "left")
+    else:
+        body = F.xxhash64("host", "html").alias("body")
+        trees = rows.select("host", "html", body).mapInArrow(listed, "host long, body long, subtree long").distinct()
+        lists = trees.join(found, ["host", "subtree"]).groupBy("body").agg(F.collect_list("subtree").alias("trees"))
+        rows = rows.withColumn("body", body).join(lists, "body", "left")
+    rows = rows.select("page_id", "url", "html", "trees")
 
     def run(batches):
         for batch in batches:

@@ -96,3 +96,26 @@ def test_names_are_whole_and_wrappers_stay():
     for inner in ("<div class='x sidebar'>", "<div class='ad-container'>", "<div id='social-share'>", "<p class=advert>", "<form>", "<aside>", "<fieldset>", "<div role=search>"):
         assert "kept" not in text(f"{rest}{inner}kept")
     assert text("<p>told</p><div class='comment-list'>readers say much more than the page</div>") == "told"
+
+
+def test_templates_of_sections_and_small_hosts(spark, monkeypatch):
+    r = random.Random(4)
+    own = lambda n=30: " ".join(r.choice(["stone", "river", "cloud", "ember"]) + str(r.randrange(999)) for _ in range(n))
+    rows = []
+    for i in range(60):
+        part = ["news", "sport", "blog"][i % 3]
+        side = f"<p>The {part} pages are brought to you daily by our desk</p><p>More {part}</p>"
+        tail = "<p>Yes.</p>" if i % 10 == 0 else "<p>These words of many are on some pages of all sections</p>" if i % 6 == 1 else ""
+        rows.append((i, f"https://c.example/{part}/{i}", f"<div><p>{own()}</p></div>{side}{tail}"))
+    rows += [(100 + i, f"https://d.example/{i}", f"<p>{own()}</p><p>Call us</p>") for i in range(7)]
+    same = [own(20), own(20), own(20), own(20)]
+    rows += [(200 + i, f"https://e.example/{i}", f"<p>Day {i}</p>" + "".join(f"<p>{x}</p>" for x in same)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html.extracted(pages).collect()}
+    for i in range(60):
+        lines = got[i].split("\n")
+        assert len(lines[0].split()) == 30 and lines[1:] == (["Yes."] if i % 10 == 0 else [])
+    assert all(len(got[100 + i].split()) == 30 for i in range(7))
+    assert all(got[200 + i] == "\n".join([f"Day {i}", *same]) for i in range(30))
+    monkeypatch.setattr(html, "MAX_TEMPLATES", 0)
+    assert {x.page_id: x.text for x in html.extracted(pages).collect()} == got
