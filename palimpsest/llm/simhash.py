@@ -9,7 +9,8 @@ linked fingerprints. Exact copies share a fingerprint, so they are one node howe
 
 Nulls: a null or empty text has no words and fingerprint zero, linked like any other. A null doc_id never names a
 component unless all its ids are null (then null). Repeated rows each get a row in the result. Rows of an empty table
-give an empty result. Extra columns aren't read. Ids may repeat; the pipeline stage keeps one row of an id.
+give an empty result. Extra columns aren't read. Ids may repeat or be null; the pipeline stage keeps one row of each
+component, told by its id and a hash of its text.
 """
 
 from __future__ import annotations
@@ -54,16 +55,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's 64 bits as a long) of each document."""
-    rows = docs.select("doc_id", "text")
+    """``doc_id``, ``fp`` (the fingerprint's 64 bits as a long) and ``tag`` (a hash of the text) of each document."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             fps = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("tag")], names=["doc_id", "fp", "tag"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("tag", T.LongType())]))
 
 
 def variants(batches):
@@ -123,21 +124,33 @@ def links(distinct: DataFrame) -> DataFrame:
     return distinct.mapInArrow(variants, "key long, fp long").repartition(n, "key").mapInArrow(met, "a long, b long")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (smallest doc_id reachable over links, itself included) of each row."""
+def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``fp`` and ``tag`` of each row, and ``fp``, ``root`` and ``first`` (least id) of each fingerprint."""
     fps = materialise(fingerprints(docs))
     first = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(first.select("fp")))
-    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return fps, first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` (smallest doc_id reachable over links, itself included) of each row."""
+    fps, roots = rooted(docs)
+    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_fp = roots.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of rows that share an id one stays. The texts are shuffled once, to meet the ids that stay.
+    Nulls come last, and of rows that share the id that with the least text hash stays.
     """
-    keep = components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    fps, roots = rooted(docs)
+    # The first row of each fingerprint, then of each component.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
+    least = fps.groupBy(F.col("fp").alias("_fp")).agg(F.min(order).alias("row"))
+    least = roots.join(least, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("row").alias("row"))
+    keep = least.select(F.col("row.doc_id").alias("_keep"), F.col("row.tag").alias("_keep_tag")).distinct()
+    tagged = docs.withColumn("_tag", F.xxhash64("text"))
+    same = tagged["doc_id"].eqNullSafe(keep["_keep"]) & (tagged["_tag"] == keep["_keep_tag"])
+    return tagged.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)

@@ -77,3 +77,11 @@ def test_one_of_each_keeps_columns_and_one_row(edge_docs, no_docs):
     whole = simhash.components(edge_docs)
     assert kept.count() == whole.select("component_id").distinct().count()
     assert simhash.one_of_each(no_docs).count() == 0 and simhash.components(no_docs).count() == 0
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in r.integers(0, 10**6, 60)) for _ in range(5))
+    rows = [(None, c), (None, d), (None, e), (None, e), (3, a), (7, a), (7, b), (7, b), (None, b)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, c), (None, d), (None, e), (3, a), (7, b)])
