@@ -1,7 +1,9 @@
 """Near-duplicate paragraphs by MinHash banding, exact Jaccard and components (operator 4).
 
-A paragraph is a line of at least ``MIN_WORDS`` words; two are linked if the sets of their five-word shingles (words
-lower-cased in ASCII) have a Jaccard similarity of ``SIMILARITY`` or more. Equal paragraphs are one node, known by a
+A paragraph is a line, or a run of lines up to a blank one (in hard-wrapped text); lines are compared with lines and
+runs with runs, among which are those of one line. Two are linked if the sets of their five-word shingles (words
+lower-cased in ASCII) have a Jaccard similarity of ``SIMILARITY`` or more; those of fewer than ``MIN_WORDS`` words, which
+have no shingle, if they are equal. Equal paragraphs are one node, known by a
 64-bit hash, however many there are. Each node has BANDS x ROWS minima of permuted shingle hashes; nodes that agree in
 all rows of a band collide. At similarity 0.8 a pair collides in some band with probability 1 - (1 - 0.8^4)^14, over
 0.999. Groups that collide in several bands with the same members are compared once.
@@ -12,7 +14,7 @@ task but a spanning forest of the links, and no link found is lost. Components o
 of a cluster the paragraph that comes first (by id and position) stays and the others are to be removed.
 
 Nulls: a null text has no paragraphs, a null id comes before all others. Rows equal in id and text are one document
-listed more than once, in the result once. Shorter lines are never removed. An empty table gives an empty result;
+listed more than once, in the result once. Lines without words are no paragraphs. An empty table gives an empty result;
 extra columns aren't read.
 """
 
@@ -23,13 +25,14 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import NULL_ID, connected_components, identified, partitions, shared_folder
 
-MIN_WORDS = 30
 SHINGLE = 5
+MIN_WORDS = SHINGLE
+LINE, RUN = 0, 1
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 SEED = 11
@@ -48,56 +51,109 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each run of five words."""
+    """A 64-bit hash of each run of five words; none of fewer words."""
     hash_of = xxhash.xxh64_intdigest
     h = np.array([hash_of(w) for w in words], np.uint64)
-    out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    out = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         out = mixed(out + h[k : k + len(out)] * np.uint64(2 * k + 3))
     return out
 
 
-def lines(text: str):
-    """(number, start, end, words) of each paragraph, in code points."""
-    at = 0
+def runs(text: str):
+    """The lines with words, (number, start, end, words) in code points, in lists up to the next line without."""
+    at, run = 0, []
     for number, line in enumerate(text.split("\n")):
-        words = line.encode().lower().split()
-        if len(words) >= MIN_WORDS:
-            yield number, at, at + len(line), words
+        if words := line.encode().lower().split():
+            run.append((number, at, at + len(line), words))
+        elif run:
+            yield run
+            run = []
         at += len(line) + 1
+    if run:
+        yield run
 
 
-def node_of(words: list[bytes]) -> int:
-    x = xxhash.xxh64_intdigest(b" ".join(words))
+def joined(run) -> tuple:
+    """A run of lines as one paragraph."""
+    return run[0][0], run[0][1], run[-1][2], [w for x in run for w in x[3]]
+
+
+def node_of(words: list[bytes], kind: int) -> int:
+    x = xxhash.xxh64_intdigest(b" ".join(words), kind)
     return x - (1 << 64) if x >> 63 else x
 
 
-PARAGRAPH = "node long, rid long, tag long, paragraph int, start long, end long, n_words int, bands array<bigint>"
+def pieces(run) -> tuple[list[int], list[int]]:
+    """Where the shingles of a run are cut, so that those within a line are a piece; and the piece of each line or -1."""
+    starts, of_line, at, done = [], [], 0, 0
+    for *_, words in run:
+        if len(words) < SHINGLE:
+            of_line.append(-1)
+        else:
+            if done < at:
+                starts.append(done)
+            of_line.append(len(starts))
+            starts.append(at)
+            done = at + len(words) - SHINGLE + 1
+        at += len(words)
+    if done < at - SHINGLE + 1:
+        starts.append(done)
+    return starts, of_line
+
+
+PARAGRAPH = "node long, rid long, tag long, paragraph int, kind int, start long, end long, n_words int, bands array<bigint>"
 
 
 def measured(batches):
-    """Each paragraph, with the key of its minima in each band."""
+    """Each paragraph, with the key of its minima in each band. The minima of a run are those of its lines and of the
+    shingles across their ends."""
     factors, offsets = constants()
 
     def flush(held):
-        sets = [shingles(h[5]) for h in held]
-        starts = np.cumsum([len(s) for s in sets]) - np.array([len(s) for s in sets])
+        sets, cuts, rows, at, piece = [], [], [], 0, 0
+        for rid, tag, run in held:
+            whole = joined(run)
+            x = shingles(whole[3])
+            starts, of_line = pieces(run)
+            sets.append(x)
+            cuts += [at + k for k in starts]
+            # Pieces of each paragraph: first and end.
+            for line, k in zip(run, of_line, strict=True):
+                rows.append((rid, tag, LINE, line, piece + k, piece + k + 1) if k >= 0 else (rid, tag, LINE, line, 0, 0))
+            rows.append((rid, tag, RUN, whole, piece, piece + len(starts)))
+            at, piece = at + len(x), piece + len(starts)
         x = np.concatenate(sets)
-        minima = np.stack([np.minimum.reduceat(mixed(x * a + b), starts) for a, b in zip(factors, offsets, strict=True)], axis=1)
-        keys = np.zeros((len(held), BANDS), np.uint64)
-        for row in range(ROWS):
-            keys = mixed(keys + minima[:, row::ROWS] * np.uint64(2 * row + 3))
-        keys = mixed(keys + np.arange(BANDS, dtype=np.uint64))
-        columns = [pa.array([node_of(h[5]) for h in held], pa.int64()), *[pa.array([h[k] for h in held], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], pa.array([len(h[5]) for h in held], pa.int32())]
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        return pa.RecordBatch.from_arrays([*columns, bands], names=["node", "rid", "tag", "paragraph", "start", "end", "n_words", "bands"])
+        has = np.array([r[4] < r[5] for r in rows])
+        keys = np.zeros((int(has.sum()), BANDS), np.uint64)
+        if len(x):
+            least = np.stack([np.minimum.reduceat(mixed(x * a + b), cuts) for a, b in zip(factors, offsets, strict=True)], axis=1)
+            # reduceat takes first and end in turn; a row more lets the last end be there.
+            bounds = np.array([r[4:6] for r in rows])[has].reshape(-1)
+            minima = np.minimum.reduceat(np.concatenate([least, least[-1:]]), bounds, axis=0)[::2]
+            kinds = np.array([r[2] for r in rows], np.uint64)[has]
+            keys += (kinds * np.uint64(SEED))[:, None]
+            for row in range(ROWS):
+                keys = mixed(keys + minima[:, row::ROWS] * np.uint64(2 * row + 3))
+            keys = mixed(keys + np.arange(BANDS, dtype=np.uint64))
+        columns = [
+            pa.array([node_of(r[3][3], r[2]) for r in rows], pa.int64()),
+            *[pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)],
+            pa.array([r[3][0] for r in rows], pa.int32()),
+            pa.array([r[2] for r in rows], pa.int32()),
+            *[pa.array([r[3][k] for r in rows], pa.int64()) for k in (1, 2)],
+            pa.array([len(r[3][3]) for r in rows], pa.int32()),
+        ]
+        ends = np.concatenate([[0], np.cumsum(has * BANDS)])
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+        return pa.RecordBatch.from_arrays([*columns, bands], names=["node", "rid", "tag", "paragraph", "kind", "start", "end", "n_words", "bands"])
 
     held, size = [], 0
     for batch in batches:
         for rid, tag, value in zip(batch.column("rid").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
-            for number, start, end, words in lines(value.as_py() or ""):
-                held.append((rid, tag, number, start, end, words))
-                size += len(words)
+            for run in runs(value.as_py() or ""):
+                held.append((rid, tag, run))
+                size += sum(len(x[3]) for x in run)
                 if size >= WORDS_AT_ONCE:
                     yield flush(held)
                     held, size = [], 0
@@ -128,11 +184,12 @@ def sets_of(batches):
     for batch in batches:
         nodes, sets = [], []
         for value, listed in zip(batch.column("text"), batch.column("listed"), strict=True):
-            wanted = {x["paragraph"]: x["node"] for x in listed.as_py()}
-            for number, _, _, words in lines(value.as_py() or ""):
-                if number in wanted:
-                    nodes.append(wanted[number])
-                    sets.append(np.unique(shingles(words)).view(np.int64))
+            wanted = {(x["paragraph"], x["kind"]): x["node"] for x in listed.as_py()}
+            for run in runs(value.as_py() or ""):
+                for kind, number, words in [*((LINE, x[0], x[3]) for x in run), (RUN, run[0][0], None)]:
+                    if (number, kind) in wanted:
+                        nodes.append(wanted[number, kind])
+                        sets.append(np.unique(shingles(joined(run)[3] if words is None else words)).view(np.int64))
         ends = np.cumsum([0, *map(len, sets)])
         values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["node", "shingles"])
@@ -177,13 +234,34 @@ def verified(batches):
 
 
 def clustered(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph that has a near-duplicate: doc_id, paragraph (line number), start, end (code points),
-    n_words, cluster_doc_id and cluster_paragraph (the first of its cluster) and removed (false for the first)."""
+    """The rows of ``repeated`` for lines of MIN_WORDS words or more, by themselves."""
+    return told(members(docs, (F.col("kind") == LINE) & (F.col("n_words") >= MIN_WORDS)))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """A row for each paragraph that has a near-duplicate: doc_id, paragraph (number of its first line), start, end (code
+    points), n_words, cluster_doc_id and cluster_paragraph (the first of its cluster) and removed (false for the first).
+
+    A run of one line that has near-duplicates as a line and as a run has one row, with the earlier of the two firsts.
+    """
+    rows = members(docs, F.lit(True))
+    one = rows.groupBy("rid", "tag", "paragraph", "start", "end", "n_words").agg(F.min("first").alias("first"), F.max("removed").alias("removed"))
+    return told(one)
+
+
+def told(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.when(F.col("rid") != NULL_ID, F.col("rid")).alias("doc_id"), "paragraph", "start", "end", F.col("n_words").cast("long").alias("n_words"), F.when(F.col("first.rid") != NULL_ID, F.col("first.rid")).alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"), "removed"
+    )
+
+
+def members(docs: DataFrame, wanted: Column) -> DataFrame:
+    """The paragraphs ``wanted`` that have near-duplicates, the ``first`` of each one's cluster, and whether it goes."""
     spark = docs.sparkSession
     texts = identified(docs).select("rid", "tag", "text")
     path = f"{shared_folder(spark)}/paragraphs-{uuid.uuid4().hex}"
     texts.mapInArrow(measured, PARAGRAPH).write.parquet(path)
-    rows = spark.read.schema(PARAGRAPH).parquet(path)
+    rows = spark.read.schema(PARAGRAPH).parquet(path).where(wanted)
     n = partitions(spark)
     bands = rows.select("node", F.explode("bands").alias("band"))
     groups = bands.repartition(n, "band").mapInArrow(collided, "group long, node long").distinct()
@@ -191,26 +269,26 @@ def clustered(docs: DataFrame) -> DataFrame:
     groups.write.parquet(path)
     groups = spark.read.schema("group long, node long").parquet(path)
     # The shingles of each node in a group, from one of its paragraphs.
-    place = F.struct("rid", "tag", "paragraph")
+    place = F.struct("rid", "tag", "paragraph", "kind")
     one = rows.groupBy("node").agg(F.min(place).alias("at")).join(groups.select("node").distinct(), "node").select("node", "at.*")
-    listed = one.groupBy("rid", "tag").agg(F.collect_list(F.struct("paragraph", "node")).alias("listed"))
+    listed = one.groupBy("rid", "tag").agg(F.collect_list(F.struct("paragraph", "kind", "node")).alias("listed"))
     sets = texts.join(listed, ["rid", "tag"]).mapInArrow(sets_of, "node long, shingles array<bigint>").dropDuplicates(["node"])
     links = groups.join(sets, "node").select("group", "node", "shingles").repartition(n, "group").mapInArrow(verified, "a long, b long")
     roots = connected_components(links)
-    named = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("rid", "tag", "paragraph", "start", "end", "n_words", F.coalesce("root", "node").alias("root")).distinct()
+    named = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("rid", "tag", "paragraph", "kind", "start", "end", "n_words", F.coalesce("root", "node").alias("root")).distinct()
     firsts = named.groupBy(F.col("root").alias("_root")).agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = named.join(firsts, F.col("root") == F.col("_root"))
-    return out.select(
-        F.when(F.col("rid") != NULL_ID, F.col("rid")).alias("doc_id"), "paragraph", "start", "end", F.col("n_words").cast("long").alias("n_words"), F.when(F.col("first.rid") != NULL_ID, F.col("first.rid")).alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"), (place != F.col("first")).alias("removed")
-    )
+    return out.select("rid", "tag", "paragraph", "start", "end", "n_words", "first", (place != F.col("first")).alias("removed"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """A text without the paragraphs at ``spans`` (start, end), and without their line ends."""
-    gone = {s for s, _ in spans}
+    spans, k, until = sorted(spans), 0, -1
     at, out = 0, []
     for line in text.split("\n"):
-        if at not in gone:
+        while k < len(spans) and spans[k][0] <= at:
+            until, k = max(until, spans[k][1]), k + 1
+        if at >= until:
             out.append(line)
         at += len(line) + 1
     return "\n".join(out)

@@ -25,7 +25,7 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.clustered(table(spark, sf_dir, "documents"))
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,20 @@ def test_edges(edge_docs, no_docs):
 
 def test_removal():
     assert paragraphs.without("a\nb\nc", [(2, 3)]) == "a\nc" and paragraphs.without("a", [(0, 1)]) == ""
+
+
+def test_short_lines_and_wrapped_passages(spark):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    note = " ".join(word() for _ in range(20))
+    passage = [word() for _ in range(200)]
+    wrap = lambda words, n: "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    rows = [(1, f"{note}\n\n{wrap(passage, 12)}\n\nThe end"), (2, f"{note} {word()}\n\n{wrap(passage[:100] + [word()] + passage[100:], 7)}"), (3, " ".join(passage)), (4, f"{word()} {word()}\n\nthe END\n\n{word()}")]
+    got = {(x.doc_id, x.start, x.end): (x.cluster_doc_id, x.cluster_paragraph, x.removed) for x in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {(d, dict(rows)[d][s:e]): v for (d, s, e), v in got.items()}
+    assert len(got) == 7
+    assert texts[1, note] == (1, 0, False) and [v for (d, t), v in texts.items() if d == 2 and t.startswith(note)] == [(1, 0, True)]
+    assert texts[1, wrap(passage, 12)] == (1, 2, False) and texts[3, " ".join(passage)] == (1, 2, True)
+    assert [v for (d, t), v in texts.items() if d == 2 and not t.startswith(note)] == [(1, 2, True)]
+    assert texts[1, "The end"][2] is False and texts[4, "the END"] == (1, texts[1, "The end"][1], True)
+    assert paragraphs.without("a\nb\n\nc\nd", [(0, 3), (5, 6)]) == "\nd"
