@@ -1,17 +1,20 @@
 """Near-duplicate paragraphs by MinHash banding, exact Jaccard and components (operator 4).
 
-A paragraph is a line, or a run of lines up to a blank one (in hard-wrapped text); lines are compared with lines and
-runs with runs, among which are those of one line. Two are linked if the sets of their five-word shingles (words
-lower-cased in ASCII) have a Jaccard similarity of ``SIMILARITY`` or more; those of fewer than ``MIN_WORDS`` words, which
-have no shingle, if they are equal. Equal paragraphs are one node, known by a
-64-bit hash, however many there are. Each node has BANDS x ROWS minima of permuted shingle hashes; nodes that agree in
-all rows of a band collide. At similarity 0.8 a pair collides in some band with probability 1 - (1 - 0.8^4)^14, over
-0.999. Groups that collide in several bands with the same members are compared once.
-
-A colliding group is compared in one task that has its members' shingles: members are visited in turn and compared
-exactly with those not reached yet, so near-equal groups take time in proportion to their size, no pairs leave the
-task but a spanning forest of the links, and no link found is lost. Components over these links are the clusters;
-of a cluster the paragraph that comes first (by id and position) stays and the others are to be removed.
+Two kinds of paragraph are looked at. A line is what stands between newlines. Two lines are linked if the sets of their
+five-word shingles (words lower-cased in ASCII) have a Jaccard similarity of ``SIMILARITY`` or more; those of fewer than
+five words, which have no shingle, if they are equal. A passage is a window of ``PASSAGE`` words, whatever lines it lies
+in: it begins where a shingle is the least of some ``SPREAD`` shingles in a row, which depends on the words around alone.
+So any PASSAGE + SPREAD - 1 words (48) that two texts have in common, at whatever place and in whatever lines, hold a
+window that both texts have. Windows are linked if they are equal (at similarity 0.8 they could differ at their ends
+only); those of a text that overlap and go to the same document are one row.
+
+Equal paragraphs are one node, known by a 64-bit hash, however many there are. A line has BANDS x ROWS minima of permuted
+shingle hashes; nodes that agree in all rows of a band collide. At similarity 0.8 a pair collides in some band with
+probability 1 - (1 - 0.8^3)^10, over 0.999. Of each colliding group every node is first compared with the group's least
+one; a group all of whose nodes are linked to it is settled, without meeting in one task, however large. What is left are
+groups of unlike lines: in one task each, members are visited in turn and compared with those not reached yet. So no link
+found is lost, and what leaves the tasks is a spanning forest of the links. Components over it are the clusters; of a
+cluster the paragraph that comes first (by id and position) stays and the others are to be removed.
 
 Nulls: a null text has no paragraphs, a null id comes before all others. Rows equal in id and text are one document
 listed more than once, in the result once. Lines without words are no paragraphs. An empty table gives an empty result;
@@ -25,18 +28,25 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NULL_ID, connected_components, identified, partitions, shared_folder
+from palimpsest.llm.common import NULL_ID, bounded, connected_components, identified, materialise, partitions, shared_folder
 
 SHINGLE = 5
-MIN_WORDS = SHINGLE
-LINE, RUN = 0, 1
+LINE, WINDOW = 0, 1
+KINDS = ("line", "passage")
+#: Words of a window, a multiple of SHINGLE; shingles of which the least begins one.
+PASSAGE, SPREAD = 25, 24
 SIMILARITY = 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 10, 3
 SEED = 11
 WORDS_AT_ONCE = 200_000
+#: Equal lines of a task have bands once, as long as the task remembers this many.
+REMEMBERED = 500_000
+#: Rows of a partition that a task holds at once, and nodes with so many paragraphs that they are joined by themselves.
+AT_ONCE, HOT = 1_000_000, 10_000
+MAX_BROADCAST = 200_000
 
 
 def constants() -> tuple[np.ndarray, np.ndarray]:
@@ -60,100 +70,101 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def runs(text: str):
-    """The lines with words, (number, start, end, words) in code points, in lists up to the next line without."""
-    at, run = 0, []
-    for number, line in enumerate(text.split("\n")):
-        if words := line.encode().lower().split():
-            run.append((number, at, at + len(line), words))
-        elif run:
-            yield run
-            run = []
-        at += len(line) + 1
-    if run:
-        yield run
+class Words:
+    """The words of a text in order: lower-cased bytes, first and end code point, line number."""
 
+    def __init__(self, text: str):
+        body = text.encode()
+        self.words = body.lower().split()
+        data = np.frombuffer(body, np.uint8)
+        inside = np.r_[False, (data != 32) & ((data < 9) | (data > 13)), False]
+        first, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        points = np.cumsum((data & 0xC0) != 0x80)
+        self.start, self.end = points[first] - 1, points[end - 1]
+        self.line = np.cumsum(data == 10)[first]
+        #: First word of each line with words, and the number of words after all.
+        self.lines = np.flatnonzero(np.r_[True, self.line[1:] != self.line[:-1], True]) if len(first) else np.zeros(1, np.int64)
 
-def joined(run) -> tuple:
-    """A run of lines as one paragraph."""
-    return run[0][0], run[0][1], run[-1][2], [w for x in run for w in x[3]]
 
+def rolled(x: np.ndarray, width: int, least) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) of each ``width`` values in a row, by doubling."""
+    size, out = 1, x
+    while 2 * size <= width:
+        out = least(out[:-size], out[size:])
+        size *= 2
+    return least(out[: len(x) - width + 1], out[width - size :]) if size < width else out
 
-def node_of(words: list[bytes], kind: int) -> int:
-    x = xxhash.xxh64_intdigest(b" ".join(words), kind)
-    return x - (1 << 64) if x >> 63 else x
 
+def anchors(x: np.ndarray, n_words: int) -> np.ndarray:
+    """Where windows begin: at shingles that are the least of SPREAD in a row, with PASSAGE words from there on."""
+    if len(x) < SPREAD:
+        return np.zeros(0, np.int64)
+    none = np.zeros(SPREAD - 1, np.uint64)
+    highest = rolled(np.concatenate([none, rolled(x, SPREAD, np.minimum), none]), SPREAD, np.maximum)
+    at = np.flatnonzero(highest == x)
+    return at[at + PASSAGE <= n_words]
 
-def pieces(run) -> tuple[list[int], list[int]]:
-    """Where the shingles of a run are cut, so that those within a line are a piece; and the piece of each line or -1."""
-    starts, of_line, at, done = [], [], 0, 0
-    for *_, words in run:
-        if len(words) < SHINGLE:
-            of_line.append(-1)
-        else:
-            if done < at:
-                starts.append(done)
-            of_line.append(len(starts))
-            starts.append(at)
-            done = at + len(words) - SHINGLE + 1
-        at += len(words)
-    if done < at - SHINGLE + 1:
-        starts.append(done)
-    return starts, of_line
 
+def node_of(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), LINE)
 
-PARAGRAPH = "node long, rid long, tag long, paragraph int, kind int, start long, end long, n_words int, bands array<bigint>"
+
+PARAGRAPH = "kind int, node long, rid long, tag long, paragraph int, word int, start long, end long, n_words int, bands array<bigint>"
 
 
 def measured(batches):
-    """Each paragraph, with the key of its minima in each band. The minima of a run are those of its lines and of the
-    shingles across their ends."""
+    """Each line, with the key of its minima in each band (none if an equal line of the task has them), and each window."""
     factors, offsets = constants()
+    seen: set[int] = set()
 
-    def flush(held):
-        sets, cuts, rows, at, piece = [], [], [], 0, 0
-        for rid, tag, run in held:
-            whole = joined(run)
-            x = shingles(whole[3])
-            starts, of_line = pieces(run)
-            sets.append(x)
-            cuts += [at + k for k in starts]
-            # Pieces of each paragraph: first and end.
-            for line, k in zip(run, of_line, strict=True):
-                rows.append((rid, tag, LINE, line, piece + k, piece + k + 1) if k >= 0 else (rid, tag, LINE, line, 0, 0))
-            rows.append((rid, tag, RUN, whole, piece, piece + len(starts)))
-            at, piece = at + len(x), piece + len(starts)
-        x = np.concatenate(sets)
-        has = np.array([r[4] < r[5] for r in rows])
-        keys = np.zeros((int(has.sum()), BANDS), np.uint64)
-        if len(x):
-            least = np.stack([np.minimum.reduceat(mixed(x * a + b), cuts) for a, b in zip(factors, offsets, strict=True)], axis=1)
-            # reduceat takes first and end in turn; a row more lets the last end be there.
-            bounds = np.array([r[4:6] for r in rows])[has].reshape(-1)
-            minima = np.minimum.reduceat(np.concatenate([least, least[-1:]]), bounds, axis=0)[::2]
-            kinds = np.array([r[2] for r in rows], np.uint64)[has]
-            keys += (kinds * np.uint64(SEED))[:, None]
+    def banded(sets: list[np.ndarray]) -> np.ndarray:
+        keys = np.zeros((len(sets), BANDS), np.uint64)
+        if sets:
+            x, cuts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+            minima = np.stack([np.minimum.reduceat((x ^ b) * a, cuts) for a, b in zip(factors, offsets, strict=True)], axis=1)
             for row in range(ROWS):
                 keys = mixed(keys + minima[:, row::ROWS] * np.uint64(2 * row + 3))
             keys = mixed(keys + np.arange(BANDS, dtype=np.uint64))
-        columns = [
-            pa.array([node_of(r[3][3], r[2]) for r in rows], pa.int64()),
-            *[pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)],
-            pa.array([r[3][0] for r in rows], pa.int32()),
-            pa.array([r[2] for r in rows], pa.int32()),
-            *[pa.array([r[3][k] for r in rows], pa.int64()) for k in (1, 2)],
-            pa.array([len(r[3][3]) for r in rows], pa.int32()),
-        ]
-        ends = np.concatenate([[0], np.cumsum(has * BANDS)])
-        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        return pa.RecordBatch.from_arrays([*columns, bands], names=["node", "rid", "tag", "paragraph", "kind", "start", "end", "n_words", "bands"])
+        return keys
+
+    def flush(held):
+        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
+        has, sets = [], []
+        for rid, tag, w in held:
+            n, x = len(w.words), shingles(w.words)
+            first, end = w.lines[:-1], w.lines[1:]
+            nodes = [node_of(w.words[i:j]) for i, j in zip(first.tolist(), end.tolist(), strict=True)]
+            for node, i, j in zip(nodes, first.tolist(), end.tolist(), strict=True):
+                fresh = j - i >= SHINGLE and node not in seen
+                has.append(fresh)
+                if fresh:
+                    seen.add(node)
+                    sets.append(x[i : j - SHINGLE + 1])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            at = anchors(x, n)
+            windows = np.full(len(at), WINDOW, np.uint64)
+            for k in range(0, PASSAGE, SHINGLE):
+                windows = mixed(windows + x[at + k] * np.uint64(2 * k + 3))
+            has += [False] * len(at)
+            begin, last = np.r_[first, at], np.r_[end, at + PASSAGE] - 1
+            values = (np.repeat([LINE, WINDOW], [len(first), len(at)]), np.r_[np.array(nodes, np.uint64), windows], np.full(len(begin), rid), np.full(len(begin), tag), w.line[begin], begin, w.start[begin], w.end[last], last - begin + 1)
+            for column, value in zip(columns, values, strict=True):
+                column.append(value)
+        kind, node, *rest = (np.concatenate(c) for c in columns)
+        ends = np.concatenate([[0], np.cumsum(np.array(has, bool) * BANDS)])
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(banded(sets).reshape(-1).view(np.int64)))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        arrays = [pa.array(kind, pa.int32()), pa.array(node.view(np.int64)), *[pa.array(v.astype(np.int64), pa.int64()).cast(t) for v, t in zip(rest, types, strict=True)], bands]
+        return pa.RecordBatch.from_arrays(arrays, names=["kind", "node", "rid", "tag", "paragraph", "word", "start", "end", "n_words", "bands"])
 
     held, size = [], 0
     for batch in batches:
         for rid, tag, value in zip(batch.column("rid").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
-            for run in runs(value.as_py() or ""):
-                held.append((rid, tag, run))
-                size += sum(len(x[3]) for x in run)
+            w = Words(value.as_py() or "")
+            if w.words:
+                held.append((rid, tag, w))
+                size += len(w.words)
                 if size >= WORDS_AT_ONCE:
                     yield flush(held)
                     held, size = [], 0
@@ -162,7 +173,7 @@ def measured(batches):
 
 
 def collided(batches):
-    """``group`` and ``node`` of the groups of two or more different nodes that share a band's key."""
+    """``group``, ``node`` and ``pivot`` (the least node) of the groups of two or more nodes that share a band's key."""
     parts = [(np.asarray(b.column("band")), np.asarray(b.column("node"))) for b in batches if b.num_rows]
     if not parts:
         return
@@ -176,25 +187,38 @@ def collided(batches):
     # A group is named by its members, so that those of several bands coincide.
     names = mixed(np.add.reduceat(mixed(node.view(np.uint64)), starts) + sizes.astype(np.uint64))
     many = np.repeat(sizes > 1, sizes)
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)[many].view(np.int64)), pa.array(node[many])], names=["group", "node"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)[many].view(np.int64)), pa.array(node[many]), pa.array(np.repeat(node[starts], sizes)[many])], names=["group", "node", "pivot"])
 
 
 def sets_of(batches):
-    """``node`` and ``shingles`` (distinct, sorted) of the paragraphs listed with each text."""
+    """``node`` and ``shingles`` (distinct, sorted) of the lines listed with each text by their first code points."""
     for batch in batches:
         nodes, sets = [], []
         for value, listed in zip(batch.column("text"), batch.column("listed"), strict=True):
-            wanted = {(x["paragraph"], x["kind"]): x["node"] for x in listed.as_py()}
-            for run in runs(value.as_py() or ""):
-                for kind, number, words in [*((LINE, x[0], x[3]) for x in run), (RUN, run[0][0], None)]:
-                    if (number, kind) in wanted:
-                        nodes.append(wanted[number, kind])
-                        sets.append(np.unique(shingles(joined(run)[3] if words is None else words)).view(np.int64))
+            w = Words(value.as_py() or "")
+            wanted = {x["start"]: x["node"] for x in listed.as_py()}
+            for i, j in zip(w.lines[:-1].tolist(), w.lines[1:].tolist(), strict=True):
+                if (node := wanted.get(int(w.start[i]))) is not None:
+                    nodes.append(node)
+                    sets.append(np.unique(shingles(w.words[i:j])).view(np.int64))
         ends = np.cumsum([0, *map(len, sets)])
         values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["node", "shingles"])
 
 
+def compared(batches):
+    """``a``, ``b`` and ``linked`` of each pair, by the similarity of their sets ``x`` and ``y``."""
+    for batch in batches:
+        (xs, xe), (ys, ye) = ((np.asarray(c.offsets)[:-1], np.asarray(c.offsets)[1:]) for c in (batch.column("x"), batch.column("y")))
+        x, y = np.asarray(batch.column("x").values), np.asarray(batch.column("y").values)
+        linked = []
+        for i in range(batch.num_rows):
+            both = np.sort(np.concatenate([x[xs[i] : xe[i]], y[ys[i] : ye[i]]]))
+            common = int((both[1:] == both[:-1]).sum())
+            linked.append(common >= SIMILARITY * (len(both) - common) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+
 def similar(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links between nodes of a group, by their exact similarity."""
     found, left = [], list(range(len(nodes)))
@@ -233,62 +257,97 @@ def verified(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def clustered(docs: DataFrame) -> DataFrame:
-    """The rows of ``repeated`` for lines of MIN_WORDS words or more, by themselves."""
-    return told(members(docs, (F.col("kind") == LINE) & (F.col("n_words") >= MIN_WORDS)))
+def spread(spark, rows: int) -> int:
+    """Number of partitions so that a task holds AT_ONCE rows or less, hot keys aside."""
+    return max(partitions(spark), -(-rows // AT_ONCE))
+
+
+def verdicts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``linked`` of the pairs (a, its pivot b). A pivot of very many pairs is spread over several tasks."""
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("b").alias("_b"), F.ceil(F.col("n") / HOT).alias("salts"))
+    hot = bounded(hot, MAX_BROADCAST)
+    pairs = pairs.join(hot, F.col("b") == F.col("_b"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "salts"), F.lit(0)).alias("salt"))
+    pivots = pairs.select("b").distinct().join(hot, F.col("b") == F.col("_b"), "left").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    pivots = pivots.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(pivots, ["b", "salt"])
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, linked boolean")
+
+
+def line_links(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """``a``, ``b``: links between nodes of lines, enough of them to join all that are linked."""
+    spark = texts.sparkSession
+    bands = lines.where(F.size("bands") > 0)
+    n = spread(spark, BANDS * bands.count())
+    groups = bands.select("node", F.explode("bands").alias("band")).repartition(n, "band").mapInArrow(collided, "group long, node long, pivot long").distinct()
+    groups = materialise(groups)
+    # The shingles of each node in a group, from one of its lines.
+    nodes = bounded(groups.select("node").distinct(), MAX_BROADCAST)
+    one = lines.where(F.col("n_words") >= SHINGLE).join(nodes, "node").groupBy("node").agg(F.min(F.struct("rid", "tag", "start")).alias("at"))
+    listed = one.select("node", "at.*").groupBy("rid", "tag").agg(F.collect_list(F.struct("start", "node")).alias("listed"))
+    sets = materialise(texts.join(listed, ["rid", "tag"]).mapInArrow(sets_of, "node long, shingles array<bigint>").dropDuplicates(["node"]))
+    told = materialise(verdicts(groups.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets))
+    failed = told.where(~F.col("linked")).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
+    left = groups.join(groups.join(failed, ["node", "pivot"]).select("group").distinct(), "group", "left_semi")
+    left = materialise(left.select("group", "node"))
+    others = left.join(sets, "node").select("group", "node", "shingles").repartition(spread(spark, 10 * left.count()), "group").mapInArrow(verified, "a long, b long")
+    return told.where("linked").select("a", "b").unionByName(others)
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """The paragraphs that have near-duplicates, the ``first`` of each one's cluster, and whether it is to be removed."""
+    spark, place = docs.sparkSession, F.struct("rid", "tag", "start", "paragraph")
+    texts = identified(docs).select("rid", "tag", "text")
+    path = f"{shared_folder(spark)}/paragraphs-{uuid.uuid4().hex}"
+    texts.mapInArrow(measured, PARAGRAPH).write.parquet(path)
+    rows = spark.read.schema(PARAGRAPH).parquet(path)
+    roots = connected_components(line_links(texts, rows.where(F.col("kind") == LINE)))
+    nodes = rows.groupBy("kind", "node").agg(F.min(place).alias("least"), F.max(place).alias("greatest"), F.count("*").alias("n"))
+    roots = bounded(roots.select(F.lit(LINE).alias("kind"), "node", "root"), MAX_BROADCAST)
+    # A node by itself that occurs once has no near-duplicate and leaves before anything is joined to it.
+    nodes = nodes.join(roots, ["kind", "node"], "left").where(F.col("root").isNotNull() | (F.col("least") != F.col("greatest")))
+    nodes = materialise(nodes.withColumn("root", F.coalesce("root", "node")))
+    firsts = nodes.groupBy("kind", "root").agg(F.min("least").alias("first"), F.max("greatest").alias("last")).where(F.col("first") != F.col("last"))
+    named = materialise(nodes.join(firsts, ["kind", "root"]).select("kind", "node", "first", "n"))
+    narrow = rows.drop("bands")
+    # Nodes of very many paragraphs are few; the others' paragraphs meet theirs in a shuffled join.
+    often = bounded(named.where(F.col("n") > HOT).drop("n"), MAX_BROADCAST)
+    out = narrow.join(often, ["kind", "node"]).unionByName(narrow.join(named.where(F.col("n") <= HOT).drop("n"), ["kind", "node"]))
+    return out.withColumn("removed", place != F.col("first"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph that has a near-duplicate: doc_id, paragraph (number of its first line), start, end (code
-    points), n_words, cluster_doc_id and cluster_paragraph (the first of its cluster) and removed (false for the first).
-
-    A run of one line that has near-duplicates as a line and as a run has one row, with the earlier of the two firsts.
-    """
-    rows = members(docs, F.lit(True))
-    one = rows.groupBy("rid", "tag", "paragraph", "start", "end", "n_words").agg(F.min("first").alias("first"), F.max("removed").alias("removed"))
-    return told(one)
-
-
-def told(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        F.when(F.col("rid") != NULL_ID, F.col("rid")).alias("doc_id"), "paragraph", "start", "end", F.col("n_words").cast("long").alias("n_words"), F.when(F.col("first.rid") != NULL_ID, F.col("first.rid")).alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"), "removed"
+    """A row for each line or passage that has a near-duplicate: doc_id, kind, paragraph (number of its first line), start,
+    end (code points), n_words, cluster_doc_id and cluster_paragraph (the first of its cluster) and removed (false for
+    the first)."""
+    rows = members(docs)
+    lines = rows.where(F.col("kind") == LINE).select("kind", "rid", "tag", "paragraph", "start", "end", "n_words", "first", "removed").distinct()
+    ordered = Window.partitionBy("rid", "tag").orderBy("start")
+    goes = F.struct("removed", "first.rid", "first.tag")
+    windows = rows.where(F.col("kind") == WINDOW).select("kind", "rid", "tag", "paragraph", "word", "start", "end", "n_words", "first", "removed").distinct()
+    new = F.coalesce((F.lag("end").over(ordered) < F.col("start")) | (F.lag(goes).over(ordered) != goes), F.lit(True))
+    windows = windows.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(ordered))
+    n_words = (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words")
+    passages = windows.groupBy("kind", "rid", "tag", "island").agg(F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"), n_words, F.min("first").alias("first"), F.max("removed").alias("removed")).drop("island")
+    known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return lines.unionByName(passages).select(
+        known("rid").alias("doc_id"), F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("kind"), "paragraph", "start", "end", F.col("n_words").cast("long").alias("n_words"), known("first.rid").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"), "removed"
     )
 
 
-def members(docs: DataFrame, wanted: Column) -> DataFrame:
-    """The paragraphs ``wanted`` that have near-duplicates, the ``first`` of each one's cluster, and whether it goes."""
-    spark = docs.sparkSession
-    texts = identified(docs).select("rid", "tag", "text")
-    path = f"{shared_folder(spark)}/paragraphs-{uuid.uuid4().hex}"
-    texts.mapInArrow(measured, PARAGRAPH).write.parquet(path)
-    rows = spark.read.schema(PARAGRAPH).parquet(path).where(wanted)
-    n = partitions(spark)
-    bands = rows.select("node", F.explode("bands").alias("band"))
-    groups = bands.repartition(n, "band").mapInArrow(collided, "group long, node long").distinct()
-    path = f"{shared_folder(spark)}/groups-{uuid.uuid4().hex}"
-    groups.write.parquet(path)
-    groups = spark.read.schema("group long, node long").parquet(path)
-    # The shingles of each node in a group, from one of its paragraphs.
-    place = F.struct("rid", "tag", "paragraph", "kind")
-    one = rows.groupBy("node").agg(F.min(place).alias("at")).join(groups.select("node").distinct(), "node").select("node", "at.*")
-    listed = one.groupBy("rid", "tag").agg(F.collect_list(F.struct("paragraph", "kind", "node")).alias("listed"))
-    sets = texts.join(listed, ["rid", "tag"]).mapInArrow(sets_of, "node long, shingles array<bigint>").dropDuplicates(["node"])
-    links = groups.join(sets, "node").select("group", "node", "shingles").repartition(n, "group").mapInArrow(verified, "a long, b long")
-    roots = connected_components(links)
-    named = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("rid", "tag", "paragraph", "kind", "start", "end", "n_words", F.coalesce("root", "node").alias("root")).distinct()
-    firsts = named.groupBy(F.col("root").alias("_root")).agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1")
-    out = named.join(firsts, F.col("root") == F.col("_root"))
-    return out.select("rid", "tag", "paragraph", "start", "end", "n_words", "first", (place != F.col("first")).alias("removed"))
-
-
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """A text without the paragraphs at ``spans`` (start, end), and without their line ends."""
-    spans, k, until = sorted(spans), 0, -1
-    at, out = 0, []
+    """A text without what lies in ``spans`` (start, end; they may overlap), and without lines that have nothing left."""
+    spans, k, at, out = sorted(spans), 0, 0, []
     for line in text.split("\n"):
-        while k < len(spans) and spans[k][0] <= at:
-            until, k = max(until, spans[k][1]), k + 1
-        if at >= until:
-            out.append(line)
-        at += len(line) + 1
+        end, left, done = at + len(line), [], at
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        j = k
+        while j < len(spans) and spans[j][0] < end:
+            left.append(text[done : max(done, spans[j][0])])
+            done = max(done, min(end, spans[j][1]))
+            j += 1
+        rest = "".join(left) + text[done:end]
+        if rest.strip() or j == k:
+            out.append(rest)
+        at = end + 1
     return "\n".join(out)
