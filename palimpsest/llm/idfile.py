@@ -5,7 +5,8 @@ self-contained binary file of about ``SEGMENT_IDS`` ids: a header, the ids of it
 bytes each where the vocabulary allows), and the ends of the documents as an Elias-Fano sequence. Of an end below U,
 with n documents, the low log2(U / n) bits are stored as they are, the rest in unary in a bit vector, about
 2 + log2(U / n) bits a document; every 64th one of that vector has its place stored (32 bits, within the segment),
-which gives the select structure: end i is found by reading on from a stored place. Segments are kept in the cells of
+which gives the select structure: end i is found by reading on from a stored place, and so are the offsets that
+reading a table gives back. Segments are kept in the cells of
 a Parquet table in the shared folder, so that any store works and lost executors' files never count; what a segment
 must know of others is one number, the ids before its partition.
 
@@ -91,16 +92,17 @@ class EliasFano:
         """Value i: the place of one number i in the high bits, less i, and its low bits."""
         place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte = place // 8
-        bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        bits[: place % 8] = 0
-        while (ones := int(bits.sum())) <= left:
+        bits = int(self.high[byte]) >> place % 8 << place % 8
+        while (ones := bits.bit_count()) <= left:
             left -= ones
             byte += 1
-            bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        place = 8 * byte + int(np.flatnonzero(bits)[left])
+            bits = int(self.high[byte])
+        for _ in range(left):
+            bits &= bits - 1  # without its lowest one
+        place = 8 * byte + (bits & -bits).bit_length() - 1
         first = i * self.low_bits
-        some = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low_bits]
-        return (place - i) << self.low_bits | int((some.astype(np.int64) << np.arange(self.low_bits)).sum())
+        some = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little") >> first % 8
+        return (place - i) << self.low_bits | some & ((1 << self.low_bits) - 1)
 
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -313,7 +315,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 segment = Segment(batch.column("file")[row].as_py())
-                ends = segment.ends.all()
+                ends = np.array([segment.ends.select(i) for i in range(segment.n)], np.int64)
                 starts = np.r_[0, ends[:-1]]
                 wide = segment.array.astype("<u4")
                 crcs = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
