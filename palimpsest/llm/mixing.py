@@ -5,8 +5,9 @@ blocks of ``BLOCK`` words; the last block of a source may be shorter. The mix ha
 make up. The seats of its first k+1 shards' share are given to sources by the highest quotients target / (2 seat - 1),
 for every k, so each shard's integer quotas are the difference between two Sainte-Lague apportionments. No source gets
 more than twice its blocks; such seats go to the next quotients. Then a seeded permutation of each source's block
-numbers picks the blocks: all of them quota div blocks times, and the first quota mod blocks of the permutation once
-more. A document has taken what the chosen blocks hold of it, twice its size at most.
+numbers, gone through up to twice, is dealt to the shards: the first takes as many blocks as its quota, the second the
+next ones, and so on to the end of the last quota. So each chosen block has a shard, and each shard its quota of every
+source. A document has taken what the chosen blocks hold of it, twice its size at most.
 
 Apportionment without listing all quotients: at a slightly larger divisor all seats are certain, at a slightly smaller
 one the rest is a few candidates per source, of which the highest fill the house.
@@ -35,7 +36,7 @@ BLOCK = 16
 SHARDS = 16
 SEED = 7
 MAX_SOURCES = 10_000
-BLOCKS_AT_ONCE = 1 << 20
+BLOCKS_AT_ONCE = 1 << 17
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -86,59 +87,83 @@ def quotas(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFr
 
 
 def plan(sizes: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
-    """Per source: its target, number of blocks and quota over all shards; a small table."""
-    per = quotas(targets(sizes), block, shards).groupBy(F.col("source").alias("_source"), "source_size", "place", "target").agg(F.sum("quota").alias("quota"))
+    """Per source: its target, number of blocks, ``until`` (for each shard, the quotas up to it) and the last of these,
+    ``quota``; a small table."""
+    per = quotas(targets(sizes), block, shards).withColumn("until", F.sum("quota").over(Window.partitionBy("place").orderBy("shard")))
+    per = per.groupBy(F.col("source").alias("_source"), "source_size", "place", "target").agg(F.sum("quota").alias("quota"), F.transform(F.array_sort(F.collect_list(F.struct("shard", "until"))), lambda x: x["until"]).alias("until"))
     return bounded(per.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")), MAX_SOURCES)
 
 
-def chosen(before: int, size: int, blocks: int, quota: int, place: int, block: int, seed: int):
-    """Chunks of (first word, end, times) over a document's words, from those of the blocks that it lies in."""
+def dealt(number: np.ndarray, blocks, quota, place, until: np.ndarray, seed: int) -> np.ndarray:
+    """For each block number the shards that take it, in two columns: -1 where the permutation isn't dealt so far."""
+    rank = feistel(number, blocks, seed, place)
+    picks = np.stack([rank, rank + blocks], axis=1)
+    shards = (picks[:, :, None] >= until[:, None, :]).sum(axis=2)
+    return np.where(picks < np.asarray(quota).reshape(-1, 1), shards, -1)
+
+
+def chosen(before: int, size: int, blocks: int, quota: int, place: int, until: np.ndarray, block: int, seed: int):
+    """Chunks of (first word, end, shards) over a document's words, from those of the blocks that it lies in."""
     first, last = before // block, (before + size - 1) // block
     for at in range(first, last + 1, BLOCKS_AT_ONCE):
         numbers = np.arange(at, min(last + 1, at + BLOCKS_AT_ONCE), dtype=np.int64)
-        times = quota // blocks + (feistel(numbers, blocks, seed, place) < quota % blocks)
         starts = np.maximum(numbers * block, before) - before
         ends = np.minimum((numbers + 1) * block, before + size) - before
-        yield starts, ends, times
+        yield starts, ends, dealt(numbers, blocks, quota, place, np.broadcast_to(until, (len(numbers), len(until))), seed)
+
 
+def summed(rows: np.ndarray, words: np.ndarray, shards: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Words by row and shard, of blocks with ``words`` each that ``shards`` take."""
+    cell = (rows[:, None] * shape[1] + shards)[shards >= 0]
+    weights = np.broadcast_to(words[:, None], shards.shape)[shards >= 0]
+    return np.bincount(cell, weights=weights, minlength=shape[0] * shape[1]).astype(np.int64).reshape(shape)
 
-def taken_words(before, size, blocks, quota, place, block: int, seed: int) -> np.ndarray:
-    """Words taken of each of many documents: their blocks side by side, a limited number at once."""
+
+def taken_words(before, size, blocks, quota, place, until, block: int, seed: int) -> np.ndarray:
+    """Words taken of each of many documents by each shard: their blocks side by side, a limited number at once."""
     first = before // block
     counts = np.where(size > 0, (before + size - 1) // block - first + 1, 0)
-    out, done, at = np.zeros(len(size), np.int64), np.cumsum(counts), 0
+    shape = (len(size), until.shape[1])
+    out, done, at = np.zeros(shape, np.int64), np.cumsum(counts), 0
     while at < len(size):
         stop = max(at + 1, int(np.searchsorted(done, done[at] - counts[at] + BLOCKS_AT_ONCE, side="right")))
         if counts[at] > BLOCKS_AT_ONCE:
-            chunks = chosen(*(int(x[at]) for x in (before, size, blocks, quota, place)), block, seed)
-            out[at], stop = sum(int(((e - s) * t).sum()) for s, e, t in chunks), at + 1
+            for starts, ends, shards in chosen(*(int(x[at]) for x in (before, size, blocks, quota, place)), until[at], block, seed):
+                out[at] += summed(np.zeros(len(starts), np.int64), ends - starts, shards, (1, shape[1]))[0]
+            stop = at + 1
         else:
             doc = np.repeat(np.arange(at, stop), counts[at:stop])
             number = first[doc] + np.arange(len(doc)) - (done - counts)[doc] + (done[at] - counts[at])
-            times = quota[doc] // blocks[doc] + (feistel(number, blocks[doc], seed, place[doc]) < quota[doc] % blocks[doc])
             words = np.minimum((number + 1) * block, before[doc] + size[doc]) - np.maximum(number * block, before[doc])
-            out += np.bincount(doc, weights=words * times, minlength=len(size)).astype(np.int64)
+            out += summed(doc, words, dealt(number, blocks[doc], quota[doc], place[doc], until[doc], seed), shape)
         at = stop
     return out
 
 
+PLAN = ("blocks", "quota", "place", "until")
+
+
 def with_offsets(docs: DataFrame, sizes: DataFrame, rows: int, per: DataFrame) -> DataFrame:
     """``docs`` (doc_id, source, size, _tag and others) with the words of its source before it, and the source's plan."""
     return running_before(docs, sizes, buckets(rows), "size", "source").join(per, F.col("source").eqNullSafe(F.col("_source")))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each document."""
+    """doc_id, size, source_size, target, taken and shard_words (the words each shard takes) of each document."""
+    names = ["doc_id", "size", "source_size", "target"]
     sizes = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tag")))
-    rows = with_offsets(sizes, sizes, sizes.count(), plan(sizes, block)).select("doc_id", "size", "source_size", "target", "before", "blocks", "quota", "place")
+    rows = with_offsets(sizes, sizes, sizes.count(), plan(sizes, block)).select("doc_id", "size", "source_size", "target", "before", *PLAN)
 
     def run(batches):
         for batch in batches:
             columns = [np.asarray(batch.column(c)) for c in ("before", "size", "blocks", "quota", "place")]
-            taken = pa.array(taken_words(*columns, block, seed), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "size", "source_size", "target")], taken], names=["doc_id", "size", "source_size", "target", "taken"])
+            until = batch.column("until").flatten()
+            words = taken_words(*columns, np.asarray(until).reshape(batch.num_rows, len(until) // max(1, batch.num_rows)), block, seed)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * words.shape[1]
+            shares = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(words.sum(axis=1)), shares], names=[*names, "taken", "shard_words"])
 
-    schema = T.StructType([*[rows.schema[c] for c in ("doc_id", "size", "source_size", "target")], T.StructField("taken", T.LongType())])
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("taken", T.LongType()), T.StructField("shard_words", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(run, schema)
 
 
@@ -146,9 +171,12 @@ def taken_texts(text: str, runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     """The text of each pass over a document: its taken words with what stands between them, runs apart by a newline."""
     body, out = text.encode(), []
     spans = None
-    starts, ends, times = (np.concatenate(x) for x in zip(*runs, strict=True))
-    for number in range(1, int(times.max(initial=0)) + 1):
-        use = times >= number
+    starts, ends, shards = (np.concatenate(x) for x in zip(*runs, strict=True))
+    times = (shards >= 0).sum(axis=1)
+    for number in range(2):
+        use = times > number
+        if not use.any():
+            break
         if use.all():
             out.append(text)
             continue
@@ -164,14 +192,14 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     names = docs.columns
     sizes = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tag")))
     wide = docs.select(F.struct("*").alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tag"))
-    rows = with_offsets(wide, sizes, sizes.count(), plan(sizes, block)).where("size > 0").select("_row.*", *[F.col(c).alias(f"_mix_{c}") for c in ("before", "size", "blocks", "quota", "place")])
+    rows = with_offsets(wide, sizes, sizes.count(), plan(sizes, block)).where("size > 0").select("_row.*", *[F.col(c).alias(f"_mix_{c}") for c in ("before", "size", *PLAN)])
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(f"_mix_{c}").to_pylist() for c in ("before", "size", "blocks", "quota", "place")]
+            columns = [batch.column(f"_mix_{c}").to_pylist() for c in ("before", "size", *PLAN)]
             at, texts = [], []
-            for i, (b, n, k, q, p) in enumerate(zip(*columns, strict=True)):
-                passes = taken_texts(batch.column("text")[i].as_py(), list(chosen(b, n, k, q, p, block, seed)))
+            for i, (*place, until) in enumerate(zip(*columns, strict=True)):
+                passes = taken_texts(batch.column("text")[i].as_py(), list(chosen(*place, np.array(until), block, seed)))
                 at += [i] * len(passes)
                 texts += passes
             taken = batch.select(names).take(pa.array(at, pa.int64()))

@@ -2,6 +2,7 @@ import heapq
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm_cases import documents
 
@@ -37,13 +38,16 @@ def check(docs):
     target = brute_targets(dict(sizes))
     assert Counter((r.doc_id, r.size, r.source_size) for r in rows) == Counter((r.doc_id, n_words(r.text), sizes[r.source]) for r in mine)
     source = {r.doc_id: r.source for r in mine}
-    taken = defaultdict(int)
+    taken, shards = defaultdict(int), defaultdict(lambda: np.zeros(mixing.SHARDS, np.int64))
     for r in rows:
         assert r.target == pytest.approx(target[source[r.doc_id]])
-        assert 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size and sum(r.shard_words) == r.taken
         taken[source[r.doc_id]] += r.taken
+        shards[source[r.doc_id]] += np.array(r.shard_words)
     for s, t in target.items():
         assert abs(taken[s] - t) <= 6 * mixing.BLOCK, (s, taken[s], t)
+        # Every shard has its part of each source: at most some blocks from the share in the whole mix.
+        assert all(abs(x - t / mixing.SHARDS) <= 6 * mixing.BLOCK for x in shards[s]), (s, shards[s], t)
     return rows
 
 
