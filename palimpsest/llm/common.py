@@ -49,6 +49,11 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), tag.alias("tag"), "text")
 
 
+def as_long(x: int) -> int:
+    """An unsigned 64-bit number as a signed one."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def buckets(rows: int) -> int:
     """Number of hash buckets of about a thousand rows: a power of two that depends on the number of rows alone."""
     return 1 << max(4, (max(rows, 1) // 1000).bit_length())

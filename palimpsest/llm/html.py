@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import bounded, materialise, shared_folder
+from palimpsest.llm.common import as_long, bounded, materialise, shared_folder
 
 MIN_PAGES, SHARE = 3, 0.5
 LONG, COPIES = 8, 8
@@ -225,10 +225,6 @@ class Page:
         return "\n".join(x for x in lines if x)
 
 
-def as_long(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def host() -> Column:
     """The lower-case host of ``url``, without user and port, as a hash; '' for a null or relative url."""
     name = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1)

@@ -1,15 +1,18 @@
 """Secret scans: patterns, and a randomness test battery under false-discovery control (operator 2).
 
-Patterns give the base spans. Beside them, runs of 20 or more code characters that hold a digit and a letter and
-overlap no base span are tested for randomness in the smallest usual encoding that has all their characters: their
-symbols must be uniform over the alphabet (chi-squared over as many bins as the length bears), rise and fall about the
-middle as chance does (runs test), and not follow each other (lag-1 correlation). The three p-values are combined by
-Fisher's method; of true random strings the combined value is uniform, of words and numbers it is next to zero.
-
-Length-aware control: for each encoding and length class (powers of two) the values of the whole corpus are counted in
-twentieths. What is above one half shows how many random strings there are; whatever a class has above a cut beyond
+Patterns give the base spans. Beside them, all runs of ``LEAST_RUN`` or more code characters that hold a digit and a
+letter, values inside base spans included, are tested for randomness in the smallest usual encoding that has all their
+characters: their symbols must be uniform over the alphabet (chi-squared over as many bins as the length bears), rise
+and fall about the middle as chance does (runs test), and not follow each other (lag-1 correlation). The three p-values
+are combined by Fisher's method; of true random strings the combined value is uniform, of words and numbers it is next
+to zero.
+
+Length-aware control: for each encoding and length class (powers of two) the values of the corpus's different runs are
+counted in twentieths, so that a name that occurs often counts once. What is above one half shows how many random strings there are; whatever a class has above a cut beyond
 their share counts as false. The lowest cut at which false ones are at most ``FDR`` of what is above holds for that
-class; a class without such a cut adds nothing. Only these counts (encodings x length classes x 20) meet on the driver.
+class. A class without such a cut, mostly since it is small, takes that of its length class over all encodings, else
+that of all runs, else none. Only these counts (encodings x length classes x 20) meet on the driver. A run above its
+cut is random; one that overlaps no base span is a span of its own, the others confirm the spans they are in.
 
 Nulls: a null text is empty. Repeated ids and rows are judged one by one; an empty table gives an empty result; texts
 are scanned whole, wherever they lie, in one pass; extra columns aren't read.
@@ -23,19 +26,21 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import materialise
+from palimpsest.llm.common import as_long, materialise
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-LEAST_ASSIGNED, LEAST_ACCESS, LEAST_HEX, LEAST_RUN = 6, 20, 24, 20
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST_ASSIGNED, LEAST_ACCESS, LEAST_HEX, LEAST_RUN = 6, 20, 24, 12
+RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}")
+DIGIT = re.compile(r"[0-9]")
 BINS = 20
 FDR = 0.1
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,9 +70,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def long_run(text: str) -> bool:
-    """Whether a text has a run of non-space characters that could be a code."""
-    return max(map(len, text.split()), default=0) >= LEAST_RUN
+def coded(text: str) -> bool:
+    """Whether a text has digits, as all runs that are tested have."""
+    return DIGIT.search(text) is not None
 
 
 def chi2_sf(x: float, df: int) -> float:
@@ -119,15 +124,16 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     found = []
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if not (any(c in DIGITS for c in run) and any(c.isalpha() for c in run)) or any(s < end and start < e for s, _, e in base):
+        if not (DIGIT.search(run) and any(c.isalpha() for c in run)):
             continue
         if (encoding := encoding_of(run)) is not None:
-            found.append({"start": start, "end": end, "class": f"{encoding}:{len(run).bit_length()}", "p": randomness(run, encoding)})
+            own = not any(s < end and start < e for s, _, e in base)
+            found.append({"start": start, "end": end, "own": own, "hash": as_long(xxhash.xxh64_intdigest(run)), "class": f"{encoding}:{len(run).bit_length()}", "p": randomness(run, encoding)})
     return found
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())])
-CANDIDATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("class", T.StringType()), T.StructField("p", T.DoubleType())])
+CANDIDATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("own", T.BooleanType()), T.StructField("hash", T.LongType()), T.StructField("class", T.StringType()), T.StructField("p", T.DoubleType())])
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -135,16 +141,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("base", T.ArrayType(SPAN)), T.StructField("runs", T.ArrayType(CANDIDATE))])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.string()), ("p", pa.float64())]))
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("own", pa.bool_()), ("hash", pa.int64()), ("class", pa.string()), ("p", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             bases, runs = [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                low = text.lower()
-                code = long_run(text)
-                base = base_spans(text) if code or any(k in low for k in KEYWORDS) else []
+                code = coded(text)
+                base = base_spans(text)
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
                 runs.append(candidates(text, base) if code else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, span_type), pa.array(runs, run_type)], names=["doc_id", "base", "runs"])
@@ -152,38 +157,51 @@ def scanned(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def cut(bins: dict[int, int], fdr: float) -> float | None:
+    """The lowest p-value above which at most ``fdr`` are false, from counts in twentieths; None if there is none."""
+    above = [sum(n for b, n in bins.items() if b >= k) for k in range(BINS + 1)]
+    for k in range(1, BINS // 2 + 1):
+        random_share = above[BINS // 2] * (BINS - k) / (BINS / 2)
+        if above[k] and (1 + max(0.0, above[k] - random_share)) / above[k] <= fdr:
+            return k / BINS
+    return None
+
+
 def cuts(counts: dict[str, dict[int, int]], fdr: float = FDR) -> dict[str, float]:
-    """For each class the lowest p-value above which at most ``fdr`` are false, from its counts in twentieths."""
-    found = {}
+    """For each class its cut, or that of its length class or of all; classes without any are left out."""
+    pooled: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
     for name, bins in counts.items():
-        above = [sum(n for b, n in bins.items() if b >= k) for k in range(BINS + 1)]
-        for k in range(1, BINS // 2 + 1):
-            random_share = above[BINS // 2] * (BINS - k) / (BINS / 2)
-            if above[k] and (1 + max(0.0, above[k] - random_share)) / above[k] <= fdr:
-                found[name] = k / BINS
-                break
+        for b, n in bins.items():
+            for pool in (name, name.split(":")[1], ""):
+                pooled[pool][b] += n
+    limits = {pool: cut(bins, fdr) for pool, bins in pooled.items()}
+    found = {}
+    for name in counts:
+        tried = [limits[pool] for pool in (name, name.split(":")[1], "") if limits[pool] is not None]
+        if tried:
+            found[name] = tried[0]
     return found
 
 
 def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """``doc_id`` and ``spans``: all spans (start, kind, end) of each document, those of patterns first by ``base``."""
+    """``doc_id``, ``base`` (spans of patterns), ``spans`` (all spans: start, kind, end), ``tested`` and ``random`` (runs
+    that the battery has judged, and those that it calls random, in base spans or not) of each document."""
     found = materialise(scanned(docs))
-    tested = found.select(F.explode("runs").alias("r")).groupBy(F.col("r.class").alias("name"), F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).alias("bin")).count()
+    tested = found.select(F.explode("runs").alias("r")).select("r.hash", F.col("r.class").alias("name"), F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).alias("bin")).distinct().groupBy("name", "bin").count()
     counts: dict[str, dict[int, int]] = defaultdict(dict)
     for name, b, n in tested.collect():  # at most encodings x length classes x BINS rows
         counts[name][int(b)] = n
     limits = cuts(counts, fdr)
-    if not limits:
-        return found.select("doc_id", "base", F.col("base").alias("spans"))
 
-    def random_span(r):
+    def passes(r):
         ok = F.lit(False)
-        for name, cut in sorted(limits.items()):
-            ok = ok | ((r["class"] == name) & (r["p"] >= cut))
+        for name, least in sorted(limits.items()):
+            ok = ok | ((r["class"] == name) & (r["p"] >= least))
         return ok
 
-    added = F.transform(F.filter("runs", random_span), lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    found = found.withColumn("random", F.filter("runs", passes))
+    added = F.transform(F.filter("random", lambda r: r["own"]), lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"), F.size("runs").cast("long").alias("tested"), F.size("random").cast("long").alias("random"))
 
 
 def joined(spans: str):

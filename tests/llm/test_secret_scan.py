@@ -3,8 +3,10 @@ import math
 import random
 import re
 import string
+from collections import Counter
 
-from llm_cases import documents
+from llm_cases import SF, documents
+from pyspark.sql import functions as F
 
 from palimpsest.llm import queries, secret_scan
 
@@ -25,9 +27,9 @@ def brute(text):
 def test_base_spans(spark, edge_docs, no_docs):
     extra = ["PassWord = 'abc+/=_.-1' api_key:zzzzzz apikey=12345", "password: token: abcdefgh", "é🙂 secret=ABCDEFG1 " + "0123456789abcdef" * 3, "tokenx=abcdefg token==abcdefg", "AKIA" + "A" * 15 + " AKIA" + "B" * 16 + "é"]
     more = spark.createDataFrame(list(enumerate(extra, 100)), "doc_id long, text string")
-    docs = edge_docs.select("doc_id", "text").unionByName(more).unionByName(documents(spark).select("doc_id", "text"))
-    for r in secret_scan.secrets(docs).join(docs, "doc_id").where("doc_id >= 20").select("doc_id", "text", secret_scan.joined("base").alias("base")).collect():
-        assert r.doc_id < 100 or r.base == brute(r.text) or len(docs.where(f"doc_id = {r.doc_id}").collect()) > 1
+    docs = edge_docs.select("doc_id", "text").unionByName(more).unionByName(documents(spark).select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    got = Counter((r.doc_id, r.base) for r in secret_scan.secrets(docs).select("doc_id", secret_scan.joined("base").alias("base")).collect())
+    assert got == Counter((r.doc_id, brute(r.text)) for r in docs.collect())
     for text in extra:
         assert ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in secret_scan.base_spans(text)) == brute(text)
     for r in documents(spark).collect():
@@ -65,6 +67,28 @@ def test_battery_tells_random_from_made_up(spark):
     assert hit > 300 and false <= 0.15 * len(found)
 
 
+def test_secrets_without_keywords_are_added(spark):
+    """Random keys of several encodings and lengths among prose with numbers, versions and dates; few keys, pooled."""
+    r = random.Random(8)
+    keys, rows = {}, []
+    for i in range(600):
+        words = [r.choice(["river", "stone", "build-2024-11-28", "v1.2.3-rc4", "chapter12section7", "2024-11-28T06-56-36", "a1a1a1a1a1a1a1"]) for _ in range(40)]
+        if i % 10 == 0:
+            alphabet, n = [(string.ascii_letters + string.digits, 32), (string.digits + "ABCDEF", 40), (string.ascii_lowercase + string.digits, 24)][i // 10 % 3]
+            keys[i] = "".join(r.choice(alphabet) for _ in range(n))
+            words.insert(r.randrange(40), keys[i])
+        rows.append((i, " ".join(words)))
+    found = {x.doc_id: x.spans for x in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    named = {texts[i][s.start : s.end] for i, spans in found.items() for s in spans if s.kind == 3}
+    assert len(named & set(keys.values())) >= 0.85 * len(keys) and len(named - set(keys.values())) <= 0.15 * len(named)
+
+
+def test_values_of_the_tables_reach_the_battery(spark):
+    found = queries.op2_secret_battery(spark, SF.replace("0.001", "0.1")).agg(F.sum("n_tested"), F.sum("n_random")).first()
+    assert found[0] >= 10 and found[1] >= 0.7 * found[0]
+
+
 def test_redaction():
     assert secret_scan.redacted("a key here", [(2, 5)]) == "a [secret] here"
     assert secret_scan.redacted("abcdef", [(1, 4), (2, 5)]) == "a[secret]f"
