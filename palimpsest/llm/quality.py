@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are certified on labelled holdouts (operator 1, DataFrame functions only).
 
-Each rule rejects a document whose ratio (symbols, repeated words, repeated lines, capitals or exclamation marks) is
-above a cutoff. Per stratum (the language; null is a stratum of its own) a cutoff is used only if labelled good
-documents prove, by an exact binomial test, that it falsely rejects at most ``ALPHA / rules`` of the good ones. The
-cutoffs of a rule are fixed beforehand and tested from the mildest to the strictest, up to the first that isn't proven
-(fixed-sequence testing); the error ``DELTA`` is divided over all strata and rules (Bonferroni). Hence, with
-probability 1 - DELTA, no stratum loses more than ALPHA of its good documents to the rules. Among the proven cutoffs
-of a rule, the one that rejects most labelled bad documents is taken, each good one counting ``GOOD_WEIGHT`` bad ones.
+Five ratios of a document (symbols, repeated words, repeated lines, capitals, exclamation marks), each over its nominal
+value, make one score, the highest of them; a document is rejected if its score is above the cutoff of its stratum (the
+language; null is a stratum of its own). A cutoff is used only if labelled good documents prove, by an exact binomial
+test, that it falsely rejects at most ``ALPHA`` of the good ones of the stratum. The cutoffs are fixed beforehand.
+
+Multiple testing: within a stratum the cutoffs are tested from the mildest to the strictest, up to the first that isn't
+proven (fixed sequence, each at the stratum's whole error). The error ``DELTA`` is divided over the strata by Holm's rule:
+a stratum whose every cutoff is proven hands its share to the rest. Hence, with probability 1 - DELTA, no stratum loses
+more than ALPHA of its good documents to the rules. Among the proven cutoffs of a stratum, the one that rejects most
+labelled bad documents is taken, each good one counting ``GOOD_WEIGHT`` bad ones.
 
 Nulls: a null text has no words and fails the base rule. Labels with a null or repeated id: null ids match nothing, a
 document with contradicting labels counts as good. Repeated rows are judged one by one; other columns pass unread.
@@ -25,19 +28,20 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Fraction of good documents of a stratum that the rules may reject in all; error probability of that promise.
-ALPHA, DELTA = 0.05, 0.05
+#: Fraction of good documents of a stratum that a cutoff may reject; error probability of that promise.
+ALPHA, DELTA = 0.1, 0.05
 GOOD_WEIGHT = 10
-#: Cutoffs of every rule, from the mildest to the strictest.
-CUTOFFS = [0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05]
+#: Cutoffs of the score, from the mildest to the strictest.
+CUTOFFS = [8.0, 6.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.2, 1.0]
+#: Ratios and their nominal values.
 RULES = {
-    "symbols": "n_symbols / word_chars",
-    "repeats": "n_repeat_words / n_words",
-    "lines": "10 * n_dup_lines / n_words",
-    "capitals": "n_capitals / word_chars",
-    "exclaims": "10 * n_exclaims / word_chars",
+    "symbols": ("n_symbols / word_chars", 0.1),
+    "repeats": ("n_repeat_words / n_words", 0.1),
+    "lines": ("n_dup_lines / n_words", 0.03),
+    "capitals": ("n_capitals / word_chars", 0.3),
+    "exclaims": ("n_exclaims / word_chars", 0.01),
 }
-MAX_STRATA = 10_000
+MAX_STRATA, MAX_BROADCAST = 10_000, 500_000
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -82,39 +86,46 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``stratum`` and a column for each rule: the certified cutoff, or null. Give materialised ``features``: they are
-    read several times."""
+    """``stratum`` and ``cutoff`` of the strata with a certified one that rejects bad documents. Give materialised
+    ``features``: they are read several times."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     held = features.where(~F.col("base_failed")).join(known, "doc_id")
-    ratios = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("ratio")) for r in RULES])
     levels = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(c).alias("cutoff")) for i, c in enumerate(CUTOFFS)])
-    long = held.select("stratum", "good", F.explode(ratios).alias("r")).select("stratum", "good", "r.*").withColumn("l", F.explode(levels))
-    over = F.col("ratio") > F.col("l.cutoff")
-    counts = long.groupBy("stratum", "rule", "l.level", "l.cutoff").agg(
+    long = held.select("stratum", "good", "score", F.explode(levels).alias("l"))
+    over = F.col("score") > F.col("l.cutoff")
+    counts = long.groupBy("stratum", "l.level", "l.cutoff").agg(
         F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("n"),
         F.sum(F.when((F.col("good") == 1) & over, 1).otherwise(0)).alias("k"),
         F.sum(F.when((F.col("good") != 1) & over, 1).otherwise(0)).alias("bad"),
     )
-    strata = counts.select(F.count_distinct(F.col("stratum")).alias("n_strata"))
-    tested = counts.crossJoin(F.broadcast(strata)).withColumn("p", binomial_cdf(F.col("k"), F.col("n"), alpha / len(RULES)))
-    proven = F.col("p") <= F.lit(delta) / (F.col("n_strata") * len(RULES))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    tested = materialise(counts.withColumn("p", binomial_cdf(F.col("k"), F.col("n"), alpha)))
+    # Holm: strata by their worst p-value, as long as each is proven at its share; a row a stratum.
+    worst = tested.groupBy("stratum").agg(F.max("p").alias("worst"))
+    by_worst = Window.orderBy("worst", "stratum")
+    all_strata = by_worst.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = F.lit(delta) / (F.count("*").over(all_strata) - F.row_number().over(by_worst) + 1)
+    ranked = worst.withColumn("n_strata", F.count("*").over(all_strata)).withColumn("ok", F.col("worst") <= share)
+    ranked = ranked.withColumn("done", F.min("ok").over(by_worst.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("n_done", F.sum(F.col("done").cast("int")).over(all_strata))
+    so_far = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    proven = F.col("done") | (F.col("p") <= F.lit(delta) / (F.col("n_strata") - F.col("n_done")))
     gain = F.col("bad") - GOOD_WEIGHT * F.col("k")
-    best = (
-        tested.withColumn("proven", F.min(proven).over(so_far))
+    return (
+        tested.join(ranked.select("stratum", "n_strata", "done", "n_done"), "stratum")
+        .withColumn("proven", F.min(proven).over(so_far))
         .where("proven")
         .withColumn("gain", gain)
         .where("gain > 0")
-        .groupBy("stratum", "rule")
+        .groupBy("stratum")
         .agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
     )
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES])
 
 
-def ratios(docs: DataFrame) -> DataFrame:
-    """``docs`` (with ``stratum`` and ``text``) with the counts and the ratio of every rule."""
+def scored(docs: DataFrame) -> DataFrame:
+    """``docs`` (with ``stratum`` and ``text``) with the counts and the score."""
     df = measured(docs).drop("text")
-    return df.withColumns({name: F.when(F.col("n_words") > 0, F.expr(ratio)).otherwise(0.0) for name, ratio in RULES.items()})
+    score = F.greatest(*[F.expr(ratio) / F.lit(nominal) for ratio, nominal in RULES.values()])
+    return df.withColumn("score", F.when(F.col("n_words") > 0, score).otherwise(0.0))
 
 
 def stratum() -> Column:
@@ -122,25 +133,24 @@ def stratum() -> Column:
 
 
 def verdict() -> Column:
-    """True if neither the base rules nor a rule's cutoff reject; one expression, so that it stays above the measures."""
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(F.col(r) > F.col(f"{r}_cutoff"), F.lit(False))
-    return F.when(F.col("base_failed"), F.lit(False)).otherwise(~over)
+    """True if neither the base rules nor the cutoff reject; one expression, so that it stays above the measures."""
+    return F.when(F.col("base_failed"), F.lit(False)).otherwise(~F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False)))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The counts and verdict for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, and the ratios that decided. The texts are read once; what is measured is narrow."""
-    narrow = materialise(ratios(docs.select("doc_id", stratum(), "text")))
+    base_failed, kept, score, and the cutoff of its stratum (null: none). The texts are read once; what is measured is
+    narrow."""
+    narrow = materialise(scored(docs.select("doc_id", stratum(), "text")))
     out = narrow.join(bounded(cutoffs(narrow, labels), MAX_STRATA), "stratum", "left").withColumn("kept", verdict())
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "cutoff")
 
 
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, as they were. The texts are measured again where they lie rather than
-    shuffled to their verdicts, so that this is a filter without an exchange of texts."""
-    narrow = materialise(ratios(docs.select("doc_id", stratum(), "text")))
+    """The rows of ``docs`` that the rules keep, as they were. Only labelled documents are measured for the cutoffs; then
+    all are where they lie, rather than shuffled to their verdicts: a filter without an exchange of texts."""
+    known = bounded(labels.where("doc_id is not null and quality is not null").select("doc_id").distinct(), MAX_BROADCAST)
+    narrow = materialise(scored(docs.join(known, "doc_id", "left_semi").select("doc_id", stratum(), "text")))
     limits = bounded(cutoffs(narrow, labels), MAX_STRATA)
-    rows = ratios(docs.select(F.struct("*").alias("_row"), stratum(), "text"))
+    rows = scored(docs.select(F.struct("*").alias("_row"), stratum(), "text"))
     return rows.join(limits, "stratum", "left").where(verdict()).select("_row.*")

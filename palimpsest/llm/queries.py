@@ -10,8 +10,7 @@ from palimpsest.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return kept.drop(*quality.RULES)
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
 
 
 def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,11 @@
 from palimpsest.llm import decontam, quality
 
 _LEVELS = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(quality.CUTOFFS))
-_RATIOS = " UNION ALL ".join(
-    f"SELECT doc_id, rid, stratum, base_failed, '{r}' AS rule, CASE WHEN n_words > 0 THEN CAST({e.split(' / ')[0]} AS DOUBLE) / {e.split(' / ')[1]} ELSE 0 END AS ratio FROM counts"
-    for r, e in quality.RULES.items()
-)
-_P = f"CAST({quality.ALPHA} AS DOUBLE) / {len(quality.RULES)}"
+_SCORE = "greatest(" + ", ".join(f"CAST({e.split(' / ')[0]} AS DOUBLE) / {e.split(' / ')[1]} / CAST({v} AS DOUBLE)" for e, v in quality.RULES.values()) + ")"
+_P, _DELTA = f"CAST({quality.ALPHA} AS DOUBLE)", f"CAST({quality.DELTA} AS DOUBLE)"
 _ODDS = f"(({_P}) / (1 - {_P}))"
 
-#: One pass: counts in each text; labelled ratios over every cutoff; exact binomial tail; first failure ends a rule.
+#: One pass: counts in each text; labelled scores over every cutoff; exact binomial tail; Holm over strata; first failure ends.
 QUALITY = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS text FROM documents),
 words AS (SELECT rid, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
@@ -27,26 +24,28 @@ counts AS (
     CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
     len(w.w) < {quality.MIN_WORDS} OR 100 * coalesce(c.n, 0) > {quality.MAX_REPEAT_PERCENT} * len(w.w) AS base_failed
   FROM docs d JOIN words w USING (rid) LEFT JOIN duplicate_lines l USING (rid) LEFT JOIN covered c USING (rid)),
-ratios AS ({_RATIOS}),
+scores AS (SELECT *, CASE WHEN n_words > 0 THEN {_SCORE} ELSE 0 END AS score FROM counts),
 good AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 levels AS (SELECT * FROM (VALUES {_LEVELS}) AS t(level, cutoff)),
 tallies AS (
-  SELECT stratum, rule, level, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND ratio > cutoff) AS k, count(*) FILTER (good <> 1 AND ratio > cutoff) AS bad
-  FROM ratios JOIN good USING (doc_id), levels WHERE NOT base_failed GROUP BY ALL),
+  SELECT stratum, level, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND score > cutoff) AS k, count(*) FILTER (good <> 1 AND score > cutoff) AS bad
+  FROM scores JOIN good USING (doc_id), levels WHERE NOT base_failed GROUP BY ALL),
 tails AS (
   SELECT *, CASE WHEN k < n * ({_P}) THEN list_sum(list_transform(range(0, k + 1), lambda j: exp(
       n * ln(1 - {_P}) + coalesce(list_sum(list_transform(range(1, j + 1), lambda i: ln(CAST(n - i + 1 AS DOUBLE) / i * {_ODDS}))), 0)))) ELSE 1 END AS p
   FROM tallies),
+worst AS (SELECT stratum, max(p) AS worst, count(*) OVER () AS m FROM tails GROUP BY stratum),
+ranked AS (SELECT *, worst <= {_DELTA} / (m - row_number() OVER (ORDER BY worst, stratum) + 1) AS ok FROM worst),
+done AS (SELECT *, bool_and(ok) OVER (ORDER BY worst, stratum) AS done FROM ranked),
+shares AS (SELECT stratum, done, m - count(*) FILTER (done) OVER () AS others FROM done),
 proven AS (
-  SELECT *, bool_and(p <= CAST({quality.DELTA} AS DOUBLE) / ((SELECT count(DISTINCT stratum) FROM tallies) * {len(quality.RULES)}))
-    OVER (PARTITION BY stratum, rule ORDER BY level) AS ok
-  FROM tails),
+  SELECT *, bool_and(done OR p <= {_DELTA} / others) OVER (PARTITION BY stratum ORDER BY level) AS ok
+  FROM tails JOIN shares USING (stratum)),
 best AS (
-  SELECT stratum, rule, cutoff FROM proven WHERE ok AND bad - {quality.GOOD_WEIGHT} * k > 0
-  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {quality.GOOD_WEIGHT} * k DESC, cutoff DESC) = 1),
-rejected AS (SELECT DISTINCT rid FROM ratios JOIN best USING (stratum, rule) WHERE ratio > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.rid IS NULL AS kept
-FROM counts LEFT JOIN rejected USING (rid)
+  SELECT stratum, cutoff FROM proven WHERE ok AND bad - {quality.GOOD_WEIGHT} * k > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad - {quality.GOOD_WEIGHT} * k DESC, cutoff DESC) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(score > cutoff, FALSE) AS kept, cutoff
+FROM scores LEFT JOIN best USING (stratum)
 """
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{decontam.UPPER}', '{decontam.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
