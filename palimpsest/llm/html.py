@@ -1,18 +1,21 @@
 """Main text of web pages, with site templates removed by counting element subtrees per host (operator 8).
 
-A page is read into blocks of text and the elements around them. Scripts, styles, menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments go by their tags, roles and names (but not where they wrap the article or
-most of the page's text); if the page has an article (else a main element), only what is in it stays. Beyond that, each element subtree (its tag and text) is hashed and counted over the
-distinct pages of a host, and of a section of it (the first part of the path). Pages are told apart by what else is on
-them: the longest, second and third longest block outside the subtree, and the greatest of the three counts holds. So
-copies of an article count once, also where they differ in a date, and a long notice doesn't hide a menu. A subtree of
-``LONG`` words or more is template from ``COPIES`` distinct pages on, however large the host and whatever its sections;
-any other, which may be a table's "yes" or a heading, from ``MIN_PAGES`` distinct pages and ``SHARE`` of those of its
-host or section on. Templates are deleted from all pages of the host.
-
-Subtrees on fewer pages than any template go first. The counts are grouped per (host, section, subtree, page) first, so a host with a third of all pages meets in no task.
-The template table is broadcast by host if it is small (``MAX_TEMPLATES`` rows), else it is joined by host and subtree
-and gathered per page. Pages are read again rather than stored between.
+A page is read into blocks of text and the elements around them, inline ones too. Each element subtree (its tag and text,
+whatever its names say) is hashed and counted over the distinct pages of a host, and of a section of it (the first part
+of the path). Pages are told apart by their main text outside the subtree: its longest, second and third longest block,
+and the greatest of the three counts holds. So copies of an article count once, also where they differ in a date, and a
+long notice doesn't hide a menu. A subtree of ``LONG`` words or more is template from ``COPIES`` distinct pages on,
+however large the host and whatever its sections; any other, which may be a table's "yes" or a heading, from
+``MIN_PAGES`` distinct pages and ``SHARE`` of those of its host or section on, and in the main text only if it is counted
+there. Templates are deleted from all pages of the host.
+
+Of what is left scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader comments go by
+their tags, roles and names (but not where they wrap the article or most of the page's text); if the page has an article
+(else a main element), only what is in it stays.
+
+Subtrees on fewer pages than any template go first. The counts are grouped per (host, section, subtree, page) first, so a
+host with a third of all pages meets in no task. The template table is broadcast by host if it is small (``MAX_TEMPLATES``
+rows), else it is joined by host and subtree and gathered per page. Pages are read again rather than stored between.
 
 Nulls: a null html is empty, a null url has the host ''. Repeated pages each give a row; an empty table an empty
 result; other columns aren't read.
@@ -48,6 +51,8 @@ NEXT = {tag: re.compile(rf"<(/?){tag}\b", re.IGNORECASE) for tag in RAW}
 INLINE = frozenset("noscript template svg math iframe object canvas select button".split())
 FLAT = frozenset("noscript iframe canvas select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Other elements within lines, which are elements like any other but begin no block.
+PHRASES = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -99,7 +104,10 @@ class Page:
                     endless.add(tag)
             elif tag in INLINE:
                 if not m[3].endswith("/"):
-                    self.start_inline(tag)
+                    self.start_inline(tag, True, 0)
+            elif tag in PHRASES:
+                if not m[3].endswith("/"):
+                    self.start_inline(tag, False, self.named(m[3], False) if m[3] else 0)
             elif tag == "br":
                 self.parts.append((self.block, " "))
             elif tag in BLOCKS and tag not in VOID:
@@ -115,7 +123,7 @@ class Page:
         del self.open[level:]
         self.block += 1
 
-    def start_inline(self, tag: str) -> None:
+    def start_inline(self, tag: str, by_tag: bool, by_name: int) -> None:
         if tag in FLAT:
             for level in range(len(self.open) - 1, -1, -1):
                 at = self.open[level]
@@ -125,7 +133,7 @@ class Page:
                     break
         self.line[len(self.elements)] = self.block
         self.open.append(len(self.elements))
-        self.elements.append([tag, len(self.parts), None, True, False])
+        self.elements.append([tag, len(self.parts), None, by_tag, by_name])
 
     def start(self, tag: str, attributes: str) -> None:
         closed, within = (("p",), ("article", "section", "div", "td", "blockquote", "li", "body")) if tag in NOT_IN_P else ((), ())
@@ -146,7 +154,7 @@ class Page:
         self.block += 1
         if tag != "option":
             for at in self.open:
-                if self.elements[at][0] in INLINE:
+                if self.elements[at][0] in INLINE or self.elements[at][0] in PHRASES:
                     self.cut.setdefault(at, len(self.parts))
         self.open.append(len(self.elements))
         self.elements.append([tag, len(self.parts), None, by_tag, by_name])
@@ -206,14 +214,17 @@ class Page:
             inside[e[1] : e[2]] = b"\x01" * (e[2] - e[1])
         return bytearray(a & b for a, b in zip(keep, inside, strict=True)) if wanted else keep
 
-    def subtrees(self, keep: bytearray) -> list[tuple[int, int, int]]:
-        """(hash, first, end) of the elements that have text that stays."""
-        clean = [" ".join(t.split()) if k else "" for (_, t), k in zip(self.parts, keep, strict=True)]
+    def subtrees(self, keep: bytearray) -> list[tuple[int, int, int, int]]:
+        """(hash, first, end, words) of the elements that have text. Short ones within the main text (``keep``) and
+        elsewhere differ."""
+        clean = [" ".join(t.split()) for _, t in self.parts]
         found = []
         for tag, first, end, *_ in self.elements:
             body = "\x1f".join(x for x in clean[first:end] if x)
             if body:
-                found.append((as_long(xxhash.xxh64_intdigest(f"{tag}\x1e{body}")), first, end))
+                words = body.count(" ") + body.count("\x1f") + 1
+                zone = "" if words >= LONG else "\x1e1" if any(keep[first:end]) else "\x1e0"
+                found.append((as_long(xxhash.xxh64_intdigest(f"{tag}\x1e{body}{zone}")), first, end, words))
         return found
 
     def text(self, keep: bytearray) -> str:
@@ -264,15 +275,11 @@ def hashed(pages: DataFrame) -> DataFrame:
                 blocks = others(page, keep)
                 rows.append((name, part, WHOLE, False, *([h for h, _ in blocks[:OTHERS]] + [None] * OTHERS)[:OTHERS]))
                 done = set()
-                for h, first, end in page.subtrees(keep):
+                for h, first, end, words in page.subtrees(keep):
                     if h in done:
                         continue
                     done.add(h)
-                    inside, words, rest = set(), 0, []
-                    for (block, text), k in zip(page.parts[first:end], keep[first:end], strict=True):
-                        if k:
-                            inside.add(block)
-                            words += len(text.split())
+                    rest, inside = [], {block for block, _ in page.parts[first:end]}
                     for other, block in blocks:
                         if block not in inside:
                             rest.append(other)
@@ -314,7 +321,7 @@ def listed(batches):
         found = []
         for name, body, html in zip(batch.column("host").to_pylist(), batch.column("body").to_pylist(), batch.column("html"), strict=True):
             page = Page(html.as_py() or "")
-            found += [(name, body, h) for h in {h for h, _, _ in page.subtrees(page.kept())}]
+            found += [(name, body, h) for h in {h for h, *_ in page.subtrees(page.kept())}]
         columns = zip(*found, strict=True) if found else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["host", "body", "subtree"])
 
@@ -339,7 +346,7 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
                 page = Page(html.as_py() or "")
                 keep, template = page.kept(), set(trees.as_py() or ())
                 if template:
-                    for h, first, end in page.subtrees(keep):
+                    for h, first, end, _ in page.subtrees(keep):
                         if h in template:
                             keep[first:end] = bytes(end - first)
                 texts.append(page.text(keep))

@@ -119,3 +119,64 @@ def test_templates_of_sections_and_small_hosts(spark, monkeypatch):
     assert all(got[200 + i] == "\n".join([f"Day {i}", *same]) for i in range(30))
     monkeypatch.setattr(html, "MAX_TEMPLATES", 0)
     assert {x.page_id: x.text for x in html.extracted(pages).collect()} == got
+
+
+def test_inline_elements_have_names():
+    rest = "<p>long enough to be most of the page, as it should</p>"
+    assert text(f"{rest}<p>a <span class='advert'>buy <b>now</b></span>b</p>").endswith("\na b")
+    assert text(f"{rest}<p>a <b>c <i>d<p>e</p>").endswith("\na c d\ne")
+    assert text("<p>x<a href=y>link</a>, <em>z</em>.</p>") == "xlink, z."
+
+
+def brute_templates(pages):
+    """(host, subtree) by plain counting of pages."""
+    told, sizes = {}, {}
+    for url, body in pages:
+        page = html.Page(body)
+        keep = page.kept()
+        name, part = url.split("/")[2].lower(), "/".join(url.split("/")[3:-1][:1])
+        blocks = html.others(page, keep)
+        for k in range(min(3, len(blocks))):
+            for s in ("", part + "/" if part else None):
+                sizes.setdefault((name, s, k), set()).add(blocks[k][0])
+        for h, first, end, words in page.subtrees(keep):
+            inside = {b for b, _ in page.parts[first:end]}
+            for k, other in enumerate([x for x, b in blocks if b not in inside][:3]):
+                for s in ("", part + "/" if part else None):
+                    told.setdefault((name, s, h, words >= html.LONG), {}).setdefault(k, set()).add(other)
+    found = set()
+    for (name, s, h, long), by in told.items():
+        n = max(map(len, by.values()))
+        pages_of = max(len(x) for (host, part, _), x in sizes.items() if (host, part) == (name, s))
+        if n >= html.MIN_PAGES and n >= html.SHARE * pages_of or long and s == "" and n >= html.COPIES:
+            found.add((name, h))
+    return found
+
+
+def test_counting_against_plain_counting(spark):
+    r = random.Random(5)
+    own = lambda n: " ".join(r.choice(["stone", "river", "cloud", "ember"]) + str(r.randrange(99)) for _ in range(n))
+    menus = [f"<ul class=menu><li><a href=/>{own(1)}</a><li>{own(2)}</ul>" for _ in range(3)]
+    notes = [f"<div><span>{own(9)}</span></div>" for _ in range(6)]
+    rows = []
+    for i in range(150):
+        host = ["a.example", "B.example", "c.example"][min(2, r.randrange(6))]
+        body = menus[len(host) % 3] + f"<p>{own(20)}</p><p>{own(r.randrange(1, 12))}</p>" + r.choice([*notes, "", ""]) + r.choice(["<p>More news</p>", "", f"<footer>(c) {host}</footer>"])
+        rows.append((i, f"https://{host}/{r.choice(['', 'news/', 'blog/'])}{i}", body))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    hosts = {r.host: r.name for r in pages.select(html.host(), html.F.lower(html.F.split("url", "/")[2]).alias("name")).distinct().collect()}
+    got = {(hosts[x.host], x.subtree) for x in html.templates(pages).collect()}
+    assert got == brute_templates([x[1:] for x in rows]) and len(got) > 5
+
+
+def test_templates_outside_of_the_main_text_are_counted(spark):
+    """What names would drop is counted before they do, and a long note goes wherever it stands."""
+    r = random.Random(6)
+    own = lambda n=30: " ".join(r.choice(["stone", "river", "cloud", "ember"]) + str(r.randrange(999)) for _ in range(n))
+    note = "we use what you read here to tell others what to read"
+    rows = [(i, f"https://f.example/{i}", f"<nav><ul><li>Home<li>Call us</ul></nav><article><p>{own()}</p><p>Home</p>{'<p>' + note + '</p>' if i % 2 else ''}</article><footer><p>{note}</p></footer>") for i in range(1, 25)]
+    rows += [(100 + i, f"https://f.example/{i}", f"<article><p>{own()}</p></article>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html.templates(pages).count() >= 2
+    got = {x.page_id: x.text for x in html.extracted(pages).collect()}
+    assert all(note not in t for t in got.values()) and all(got[i].endswith("\nHome") for i in range(1, 25))
