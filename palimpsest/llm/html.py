@@ -300,19 +300,31 @@ def hashed(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """``host`` and ``subtree`` (hashes) of the subtrees that are template."""
     rows = hashed(pages)
-    # Most subtrees are on too few pages of their host, whatever these are, and go before the wider rows are shuffled.
-    many = rows.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
-    rows = rows.join(bounded(many, MAX_TEMPLATES), ["host", "subtree"])
+    is_page = F.col("subtree") == WHOLE
+    sizes = counted(rows.where(is_page)).select("host", "section", F.col("n").alias("pages"))
+    sizes = bounded(sizes, MAX_TEMPLATES)
+    # Most subtrees are on too few pages of their host or section, whatever these are, and go before the wider rows are
+    # shuffled: a count of rows is never below one of distinct pages.
+    trees = rows.where(~is_page)
+    plain = trees.groupBy("host", "section", "subtree").agg(F.count("*").alias("n"), F.max("long").alias("long"))
+    whole = F.lit(WHOLE).cast("long").alias("section")
+    plain = plain.unionByName(plain.groupBy("host", whole, "subtree").agg(F.sum("n").alias("n"), F.max("long").alias("long")))
+    many = plain.where(F.col("n") >= min_pages).join(sizes, ["host", "section"]).where(template(share)).select("host", "subtree").distinct()
+    counts = counted(trees.join(bounded(many, MAX_TEMPLATES), ["host", "subtree"])).where(F.col("n") >= min_pages)
+    return counts.join(sizes, ["host", "section"]).where(template(share)).select("host", "subtree").distinct()
+
+
+def template(share: float) -> Column:
+    """Whether a subtree (``n`` pages, ``long``) of a host's ``section`` with ``pages`` in all is template."""
+    return (F.col("n") >= share * F.col("pages")) | (F.col("long") & (F.col("section") == WHOLE) & (F.col("n") >= COPIES))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """``n``, the distinct pages of each ``host``, ``section`` (WHOLE: all) and ``subtree``, and whether it is ``long``."""
     rows = rows.withColumn("section", F.explode(F.array(F.lit(WHOLE).cast("long"), "section")))
     told = rows.select("host", "section", "subtree", "long", F.posexplode(F.array(*PAGES)).alias("k", "page")).where("page IS NOT NULL")
     counts = told.distinct().groupBy("host", "section", "subtree", "k").agg(F.count("*").alias("n"), F.max("long").alias("long"))
-    counts = counts.groupBy("host", "section", "subtree").agg(F.max("n").alias("n"), F.max("long").alias("long")).where(F.col("n") >= min_pages)
-    counts = materialise(counts)
-    sizes = counts.where(F.col("subtree") == WHOLE).select("host", "section", F.col("n").alias("pages"))
-    counts = counts.where(F.col("subtree") != WHOLE)
-    often = counts.join(sizes, ["host", "section"]).where(F.col("n") >= share * F.col("pages"))
-    long = counts.where(F.col("long") & (F.col("section") == WHOLE) & (F.col("n") >= COPIES))
-    return often.select("host", "subtree").unionByName(long.select("host", "subtree")).distinct()
+    return counts.groupBy("host", "section", "subtree").agg(F.max("n").alias("n"), F.max("long").alias("long"))
 
 
 def listed(batches):
