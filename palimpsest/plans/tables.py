@@ -55,7 +55,23 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.unionByName(ring).unionByName(down)
 
 
+#: Claims of many kinds, by the event: expressions that both dialects read.
+_CLAIMS = {
+    "subject": ["'jak_obecnie'", "'config:mode'", "'which'", "'wheree'", "'ab'", "'node' || user_id", "'42.5'", "'we all went to the place that they told us about'", "'user'", "'z jakiej wersji'", "'svc-' || user_id", "'service a ' || user_id", "'me@example.org'"],
+    "predicate": ["'is_set'", "'stated_memory'", "'requires'", "'what?'", "'leads_to'"],
+    "object": ["'port ' || user_id", "'yes'", "'really?'", "'svc-' || user_id", "'it was told to us that all of this, and more, would be so.'", "'port' || event_id", "'sys:lock'"],
+    "source": ["'user_explicit'", "'shadow_inference'", "'tool_output'"],
+}
+
+
+def triples(spark: SparkSession, d: str) -> DataFrame:
+    """A claim (subject, predicate, object, source) for each event, with its user, time and a confidence."""
+    picked = [F.expr(f"element_at(array({', '.join(xs)}), cast(event_id % {len(xs)} + 1 as int))").alias(name) for name, xs in _CLAIMS.items()]
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", *picked, (F.col("event_id") * 37 % 100 / 100.0).alias("confidence"), F.col("ts"))
+
+
 SQL = {
+    "triples": "triples AS (SELECT event_id AS id, user_id, " + ", ".join(f"[{', '.join(xs)}][event_id % {len(xs)} + 1] AS {name}" for name, xs in _CLAIMS.items()) + ", (event_id * 37 % 100) / 100e0 AS confidence, ts FROM events)",
     "facts": f"""facts AS (
   SELECT d.doc_id, ['fact:', 'rule:', 'hermes:memory_md:', 'session:a', 'kv:', 'temp_'][d.doc_id % 6 + 1] || source || ':' || d.doc_id AS key, text AS value,
     CAST(coalesce(quality * 0.4e0 + 0.5e0, 0.7e0) AS DOUBLE) AS confidence, CAST({EPOCH} + d.doc_id % 3000 * 1000 AS BIGINT) AS ts,
