@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,12 +119,53 @@ def blocked_pairs(vectors: DataFrame, block: str, least: float) -> DataFrame:
     return a.join(b, block).where("a < b").withColumn("cos", F.round(cosine("va", "vb"), 6)).where(F.col("cos") >= least).select(block, "a", "b", "cos")
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
-    """The k nearest vectors of each query vector with a cosine of at least ``least``; queries are a stated, small set
-    that travels to the vectors in blocks, vectors stay where they lie."""
-    pairs = vectors.join(F.broadcast(queries), F.col("id") != F.col("query_id")).withColumn("cos", F.round(cosine("query", "vector"), 6)).where(F.col("cos") >= least)
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float, block: int = 1_000) -> DataFrame:
+    """The k nearest vectors (id, vector) of each query vector (query_id, query) with a cosine of at least ``least``, but
+    for the one with its own id. The queries are a stated set that travels to the vectors in blocks of ``block``; each
+    task multiplies them with its vectors and hands on its best k of each, so that vectors stay where they lie. Vectors
+    of another length, and those of zeros, have cosine 0."""
+    asked = sorted((r.query_id, r.query) for r in queries.select("query_id", "query").where("query is not null").toLocalIterator())
+    found = [nearest(asked[at : at + block], vectors, k, least) for at in range(0, len(asked), block)] or [nearest([], vectors, k, least)]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cos").desc(), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "cos", "rank")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "cos", "rank")
+
+
+def nearest(asked: list, vectors: DataFrame, k: int, least: float) -> DataFrame:
+    """``query_id``, ``id`` and ``cos`` of the best k vectors of each query in each partition."""
+    size = len(asked[0][1]) if asked else 0
+    same = [(q, v) for q, v in asked if len(v) == size]
+    names = np.array([q for q, _ in same], np.int64)
+    matrix = unit(np.array([v for _, v in same], np.float64).reshape(len(same), size))
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches):
+        names, matrix = shared.value
+        kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        for batch in batches:
+            rows = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), strict=True) if v is not None and len(v) == matrix.shape[1]]
+            if not rows:
+                continue
+            ids = np.array([i for i, _ in rows], np.int64)
+            cosines = np.round(matrix @ unit(np.array([v for _, v in rows], np.float64)).T, 6)
+            for n, name in enumerate(names):
+                ok = (cosines[n] >= least) & (ids != name)
+                c, i = np.concatenate([kept[n][0], cosines[n][ok]]), np.concatenate([kept[n][1], ids[ok]])
+                order = np.lexsort([i, -c])[:k]
+                kept[n] = c[order], i[order]
+        if len(names) and sum(len(c) for c, _ in kept):
+            counts = [len(c) for c, _ in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)), pa.array(np.concatenate([i for _, i in kept])), pa.array(np.concatenate([c for c, _ in kept]))], names=["query_id", "id", "cos"])
+
+    return vectors.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, cos double")
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; zeros stay zeros."""
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
 def lww_merge(adds: DataFrame, removes: DataFrame) -> DataFrame:

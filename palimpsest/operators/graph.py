@@ -6,17 +6,10 @@ in the checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def materialised(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+from palimpsest.operators.steps import materialised
 
 
 def merge_max(edges: DataFrame) -> DataFrame:
@@ -53,9 +46,17 @@ def simple_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """Per start and target the shortest directed path; of equal ones the first in order of its nodes."""
-    found = simple_paths(edges, starts, hops)
-    return found.groupBy("start", "target").agg(F.min(F.struct("depth", "path")).alias("best")).select("start", "target", F.col("best.depth").alias("depth"), F.array_join("best.path", ">").alias("path"))
+    """Per start and target the shortest directed path; of equal ones the first in order of its nodes. Breadth first, with
+    one path for each start and target: the first of a node's paths goes on as the first of those through it."""
+    hop = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).where("_src <> _dst").distinct()
+    level = starts.select(F.col("node").alias("start"), F.col("node").alias("target"), F.lit(0).alias("depth"), F.array("node").alias("path")).distinct()
+    seen = level
+    for depth in range(1, hops + 1):
+        step = level.join(hop, F.col("target") == F.col("_src")).select("start", F.col("_dst").alias("target"), F.concat("path", F.array("_dst")).alias("path"))
+        step = step.groupBy("start", "target").agg(F.min("path").alias("path")).join(seen.select("start", "target"), ["start", "target"], "left_anti")
+        level = step.select("start", "target", F.lit(depth).alias("depth"), "path")
+        seen = seen.unionByName(level)
+    return seen.where("depth > 0").select("start", "target", "depth", F.array_join("path", ">").alias("path"))
 
 
 def diffusion(edges: DataFrame, start: str, hops: int, decay: float) -> DataFrame:
@@ -98,18 +99,26 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float = 0
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (least node) of undirected links a, b: least labels handed on and shortcut until they rest."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialised(both)
-    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    """``node`` and ``root`` (least node) of undirected links a, b, by alternating stars: first every greater neighbour of
+    a node, then every lesser one and the node, link to the least of all. O(log^2 n) rounds of narrow group-bys, each
+    materialised; a node with very many links is never gathered."""
+    hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
+    rest, seen = materialised(links.select(hi, lo).distinct()), None
+    alone = rest.where("hi = lo").select(F.col("hi").alias("node"))
+    pairs = rest.where("hi <> lo")
     while True:
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard"))
-        near = labels.join(heard, F.col("node") == F.col("a")).select("node", F.least("root", "heard").alias("root"), F.col("root").alias("old"))
-        jump = near.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = materialised(near.join(jump, F.col("root") == F.col("_n")).select("node", F.least("root", "_r").alias("root"), "old"))
-        if not new.where("root <> old").limit(1).count():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        pairs = materialised(small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct())
+        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("hi", "lo") % 1_000_000_007)).first()
+        if now == seen:
+            break
+        seen = now
+    found = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
 def cut_points(edges: DataFrame, start: str, hops: int, least: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
 from palimpsest.functions.text import authority, estimated_tokens, is_rule, tokens
+from palimpsest.operators.steps import counted, materialised
 
 SYSTEM_PREFIXES = ["[important: background process", "[system:", "<system_message>", "<system-reminder>", "[message] timestamp="]
 THRESHOLD_SYMBOLIC, THRESHOLD_PROSE, THRESHOLD_GRAPH = 0.50, 0.25, 0.20
@@ -23,21 +24,30 @@ def bm25(queries: DataFrame, facts: DataFrame) -> DataFrame:
     they occur; no length norm; a fact that holds the whole query as a phrase gets 1 more.
     """
     asked = queries.select("query_id", "query", tokens(F.col("query")).alias("_q"))
-    terms = asked.select("query_id", F.size("_q").alias("n_query"), F.explode("_q").alias("term")).groupBy("query_id", "n_query", "term").agg(F.count("*").alias("times"))
-    held = facts.select("key", F.explode(tokens(F.col("value"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    hits = terms.join(held, "term")
-    pool = hits.groupBy("query_id").agg(F.count_distinct("key").alias("pool"))
-    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, ["query_id", "term"]).join(pool, "query_id")
-    idf = F.log(1.0 + (F.col("pool") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (scoring.K1 + 1) / (F.col("tf") + scoring.K1)
-    summed = scored.groupBy("query_id", "key", "n_query").agg(F.sum("times").alias("matched"), F.sum(part).alias("raw"))
-    phrases = asked.select(F.col("query_id").alias("_id"), F.lower(F.trim("query")).alias("_phrase"))
-    bodies = facts.select(F.col("key").alias("_key"), F.lower("value").alias("_body"))
-    found = summed.join(phrases, F.col("query_id") == F.col("_id")).join(bodies, F.col("key") == F.col("_key"))
-    raw = F.round(F.col("raw") + F.when(F.contains("_body", "_phrase"), 1.0).otherwise(0.0), 6)
+    places = asked.select("query_id", F.size("_q").alias("n_query"), F.posexplode("_q").alias("at", "term"))
+    inner = (F.col("at") > 0) & (F.col("at") < F.col("n_query") - 1)
+    terms = places.groupBy("query_id", "n_query", "term").agg(F.count("*").alias("times"), F.max(inner.cast("int")).alias("inner"))
+    # Only tokens that are asked for leave their fact, and the postings are computed once.
+    words = counted(terms.select("term").distinct())
+    held = facts.select("key", F.explode(tokens(F.col("value"))).alias("term")).join(words, "term").groupBy("key", "term").agg(F.count("*").alias("tf"))
+    postings = materialised(held)
+    # All facts with a term are in the pool of each query that has it.
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    hits = counted(terms.join(df, "term")).join(postings, "term")
+    pairs = hits.groupBy("query_id", "key", "n_query").agg(F.sum("times").alias("matched"), F.sum("inner").alias("inner"), F.collect_list(F.struct("term", "times", "df", "tf")).alias("_terms"))
+    pairs = materialised(pairs)
+    pool = pairs.groupBy("query_id").agg(F.count("*").alias("pool"))
+    idf = lambda x: F.log(1.0 + (F.col("pool") - x["df"] + 0.5) / (x["df"] + 0.5))
+    part = lambda s, x: s + x["times"] * idf(x) * x["tf"] * (scoring.K1 + 1) / (x["tf"] + scoring.K1)
+    scored = pairs.join(counted(pool), "query_id").withColumn("raw", F.aggregate(F.array_sort("_terms"), F.lit(0.0), part))
+    # A fact with the whole phrase has at least all terms but its first and last one: few do, and only these are searched.
+    needed = terms.groupBy("query_id").agg(F.sum("inner").alias("needed"))
+    phrases = asked.select("query_id", F.lower(F.trim("query")).alias("_phrase")).join(needed, "query_id", "left")
+    could = pairs.join(counted(phrases), "query_id").where(F.col("inner") >= F.coalesce("needed", F.lit(0))).select("query_id", "key", "_phrase")
+    whole = facts.select("key", F.lower("value").alias("_body")).join(counted(could), "key").where(F.contains("_body", "_phrase")).select("query_id", "key", F.lit(1.0).alias("_bonus"))
+    found = scored.join(whole.distinct(), ["query_id", "key"], "left")
     best = F.max("raw_bm25").over(Window.partitionBy("query_id"))
-    return found.withColumn("raw_bm25", raw).select("query_id", "key", "n_query", "matched", "raw_bm25", F.round(F.col("raw_bm25") / best, 4).alias("lex"))
+    return found.withColumn("raw_bm25", F.round(F.col("raw") + F.coalesce("_bonus", F.lit(0.0)), 6)).select("query_id", "key", "n_query", "matched", "raw_bm25", F.round(F.col("raw_bm25") / best, 4).alias("lex"))
 
 
 def top_k(scored: DataFrame, score: str, k: int) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.text import PROTECTED, is_churn, starts_with_any, tokens
+from palimpsest.operators.steps import counted
 
 GENESIS = "0" * 64
 CONTROL = ["sys:", "lock:", "checkpoint:"]
@@ -33,17 +35,26 @@ def recent(states: DataFrame, since: Column, limit: int) -> DataFrame:
     return states.where(F.col("ts") >= since).orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(limit).orderBy("ts", "seq")
 
 
+def beginnings(text: Column, least: int | Column) -> Column:
+    """All prefixes of a text with ``least`` characters or more."""
+    least = F.lit(least) if isinstance(least, int) else least
+    return F.when(F.length(text) >= least, F.transform(F.sequence(least, F.length(text)), lambda n: F.left(text, n))).otherwise(F.array().cast("array<string>"))
+
+
 def keyword_search(states: DataFrame, queries: DataFrame, limit: int = 500, terms: int = 8) -> DataFrame:
-    """Per query: exact key, then key prefix, then any token with the prefix of one of its first terms; first found wins."""
+    """Per query: exact key, then key prefix, then any token with the prefix of one of its first terms; first found wins.
+
+    Prefixes of keys and tokens are listed where they lie, and those that are asked for are kept by an equi-join: with the
+    asked ones broadcast if they are few, so that only hits are shuffled."""
     stage = lambda df, n: df.select("query_id", "key", F.lit(n).alias("stage"))
     exact = stage(queries.join(states, queries["query"] == states["key"]), 1)
     long_enough = (F.length("query") >= 3) & F.col("query").contains(":")
-    prefix = stage(queries.where(long_enough).join(states, F.col("key").startswith(F.col("query"))), 2)
+    # An asked prefix has a colon, so a key's prefixes begin at its first one.
+    heads = states.select("key", F.explode(beginnings(F.col("key"), F.greatest(F.lit(3), F.instr("key", ":")))).alias("head")).where(F.col("key").contains(":"))
+    prefix = stage(heads.join(counted(queries.where(long_enough).select("query_id", F.col("query").alias("head"))), "head"), 2)
     wanted = queries.select("query_id", F.explode(F.slice(tokens(F.col("query")), 1, terms)).alias("term")).distinct()
-    # Tokens meet terms by their first three letters, so that the prefix match is an equi-join.
-    held = states.select("key", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "key", "value")))).alias("token")).distinct()
-    head = lambda c: F.substring(c, 1, 3)
-    text = stage(wanted.withColumn("_h", head("term")).join(held.withColumn("_h", head("token")), "_h").where(F.col("token").startswith(F.col("term"))), 3)
+    held = states.select("key", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "key", "value")))).alias("token"))
+    text = stage(held.select("key", F.explode(beginnings(F.col("token"), 3)).alias("term")).join(counted(wanted), "term"), 3)
     found = exact.unionByName(prefix).unionByName(text).groupBy("query_id", "key").agg(F.min("stage").alias("stage"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)
@@ -127,17 +138,21 @@ def turn_facts(turns: DataFrame) -> DataFrame:
 
 def healed(entries: DataFrame, by: str) -> DataFrame:
     """``entries`` (by, seq, stamp, key, value) with value, previous and entry hashes computed anew from the first of
-    each chain on. Each hash needs the one before, so a chain is folded in one group."""
-    kind = entries.schema[by].dataType.simpleString()
+    each chain on. Each hash needs the one before: a chain lies in one partition in order of seq and is folded row by row,
+    with only the last hash in memory."""
     columns = [by, "seq", "stamp", "key", "value"]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, before, out = rows.sort_values("seq"), GENESIS, []
-        for r in rows[columns].itertuples(index=False):
-            value_hash = hashlib.sha256(("" if r[4] is None else r[4]).encode()).hexdigest()
-            entry = hashlib.sha256(f"{r[1]}:{r[2]}:{r[3]}:{value_hash}:{before}".encode()).hexdigest()
-            out.append((*r, value_hash, before, entry))
-            before = entry
-        return pd.DataFrame(out, columns=[*columns, "value_hash", "prev_hash", "entry_hash"])
-
-    return entries.select(*columns).groupBy(by).applyInPandas(fold, f"{by} {kind}, seq long, stamp string, key string, value string, value_hash string, prev_hash string, entry_hash string")
+    rows = entries.select(*columns, F.sha2(F.coalesce("value", F.lit("")), 256).alias("value_hash")).repartition(by).sortWithinPartitions(by, "seq")
+
+    def fold(batches):
+        chain, before = None, GENESIS
+        for batch in batches:
+            previous, hashes = [], []
+            for name, seq, stamp, key, value_hash in zip(*(batch.column(c).to_pylist() for c in (by, "seq", "stamp", "key", "value_hash")), strict=True):
+                if (name,) != chain:
+                    chain, before = (name,), GENESIS
+                previous.append(before)
+                before = hashlib.sha256(f"{seq}:{stamp}:{key}:{value_hash}:{before}".encode()).hexdigest()
+                hashes.append(before)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(previous, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names, "prev_hash", "entry_hash"])
+
+    return rows.mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())]))

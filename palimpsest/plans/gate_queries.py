@@ -27,8 +27,13 @@ _HEADS = r"heads AS (SELECT *, coalesce(list_filter(regexp_split_to_array(lower(
 _DISCOURSE = f"(w <> '' AND (w IN {_in(gates.QUESTION_WORDS)} OR {STEM} IN {_in(gates.QUESTION_STEMS)}))"
 
 
-@query(with_tables(rf"""SELECT id, length(trim(subject)) <= 80 AND NOT regexp_matches(subject, '(?i)[\n\r]|<!--|\[user\]|\[conversation\]') AND l <> '' AND l NOT IN {_in(gates.NOISE_ENTITIES)}
-  AND NOT regexp_full_match(l, '[0-9.]*[0-9][0-9.]*') AND len(regexp_split_to_array(l, '\s+')) <= 7 AS valid FROM (SELECT *, trim(lower(trim(subject)), '._-:;,()[]{{}}"'' ') AS l FROM triples)""", "triples"))
+def valid_sql(c: str) -> str:
+    low = f"""trim(lower(trim({c})), '._-:;,()[]{{}}"'' ')"""
+    return rf"""(length(trim({c})) <= 80 AND NOT regexp_matches({c}, '(?i)[\n\r]|<!--|\[user\]|\[conversation\]') AND {low} <> '' AND {low} NOT IN {_in(gates.NOISE_ENTITIES)}
+  AND NOT regexp_full_match({low}, '[0-9.]*[0-9][0-9.]*') AND len(regexp_split_to_array({low}, '\s+')) <= 7)"""
+
+
+@query(with_tables(f"SELECT id, {valid_sql('subject')} AS valid FROM triples", "triples"))
 def graph_entities(spark: SparkSession, d: str) -> DataFrame:
     return tables.triples(spark, d).select("id", gates.valid_entity(F.col("subject")).alias("valid"))
 
