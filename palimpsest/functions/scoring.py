@@ -13,6 +13,8 @@ ALPHA, ALPHA_SYMBOLIC = 0.35, 0.30
 DENSE_MU, DENSE_BETA = 0.50, 12.0
 BM25_SATURATION = 6.0
 K1 = 1.2
+#: Added before a score is rounded, so that halves that binary fractions miss are rounded up everywhere.
+TIES_UP = 1e-9
 
 
 def sigmoid(x: Column) -> Column:
@@ -65,7 +67,7 @@ def graph_synergy(fused: Column, vs: Column, ls: Column, gs: Column, dense: Colu
 
 def dbsf(fused: Column, ttl: Column, subject: Column, source_type: Column, confidence: Column, rule_bonus: Column) -> Column:
     auth = authority(subject) / 100.0
-    return F.round(F.least(F.lit(1.0), fused * ttl + 0.01 * (auth / 1.10) + 0.005 * veracity(source_type) * confidence + rule_bonus), 4)
+    return F.round(F.least(F.lit(1.0), fused * ttl + 0.01 * (auth / 1.10) + 0.005 * veracity(source_type) * confidence + rule_bonus + TIES_UP), 4)
 
 
 def rrf(vec: Column, lex: Column, vec_rank: Column, lex_rank: Column, trusted: Column) -> Column:
@@ -87,8 +89,10 @@ def record_rank(subject: Column, source_type: Column, confidence: Column, age_se
 
 
 def salience(similarity: Column, importance: Column, age_seconds: Column, accesses: Column) -> Column:
-    use = F.least(F.lit(1.0), F.log(1.0 + accesses) / F.log(F.lit(51.0)))
-    return 0.4 * similarity + 0.3 * importance + 0.2 * F.exp(-1e-4 * age_seconds) + 0.1 * use
+    """Similarity and importance within 0 and 1, age and accesses not below 0."""
+    inside = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    use = F.least(F.lit(1.0), F.log(1.0 + F.greatest(F.lit(0), accesses)) / F.log(F.lit(51.0)))
+    return 0.4 * inside(similarity) + 0.3 * inside(importance) + 0.2 * F.exp(-1e-4 * F.greatest(F.lit(0), age_seconds)) + 0.1 * use
 
 
 def prunable(salience_score: Column, importance: Column, state_variable: Column) -> Column:

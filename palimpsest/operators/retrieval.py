@@ -10,46 +10,153 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
-from palimpsest.functions.text import authority, estimated_tokens, is_rule, tokens
+from palimpsest.functions.text import authority, estimated_tokens, is_rule, stem, tokens
 from palimpsest.operators.steps import counted, materialised
 
 SYSTEM_PREFIXES = ["[important: background process", "[system:", "<system_message>", "<system-reminder>", "[message] timestamp="]
 THRESHOLD_SYMBOLIC, THRESHOLD_PROSE, THRESHOLD_GRAPH = 0.50, 0.25, 0.20
 
 
-def bm25(queries: DataFrame, facts: DataFrame) -> DataFrame:
-    """query_id, key, n_query, matched, raw_bm25 and lex (raw over the pool's best, 4 places) of each candidate.
-
-    A candidate shares a token with the query. Frequencies are those of the query's pool; query terms count as often as
-    they occur; no length norm; a fact that holds the whole query as a phrase gets 1 more.
-    """
-    asked = queries.select("query_id", "query", tokens(F.col("query")).alias("_q"))
-    places = asked.select("query_id", F.size("_q").alias("n_query"), F.posexplode("_q").alias("at", "term"))
+def matches(queries: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each query with each fact that shares a token: query_id, key, n_query (tokens), n_terms (different ones), matched
+    (tokens found), found (different ones), inner (of these, neither first nor last in the query) and _terms. Materialised."""
+    asked = queries.select("query_id", tokens(F.col("query")).alias("_q"))
+    places = asked.select("query_id", F.size("_q").alias("n_query"), F.size(F.array_distinct("_q")).alias("n_terms"), F.posexplode("_q").alias("at", "term"))
     inner = (F.col("at") > 0) & (F.col("at") < F.col("n_query") - 1)
-    terms = places.groupBy("query_id", "n_query", "term").agg(F.count("*").alias("times"), F.max(inner.cast("int")).alias("inner"))
+    terms = places.groupBy("query_id", "n_query", "n_terms", "term").agg(F.count("*").alias("times"), F.max(inner.cast("int")).alias("inner"))
     # Only tokens that are asked for leave their fact, and the postings are computed once.
     words = counted(terms.select("term").distinct())
-    held = facts.select("key", F.explode(tokens(F.col("value"))).alias("term")).join(words, "term").groupBy("key", "term").agg(F.count("*").alias("tf"))
-    postings = materialised(held)
+    postings = materialised(facts.select("key", F.explode(tokens(F.col("value"))).alias("term")).join(words, "term").groupBy("key", "term").agg(F.count("*").alias("tf")))
     # All facts with a term are in the pool of each query that has it.
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     hits = counted(terms.join(df, "term")).join(postings, "term")
-    pairs = hits.groupBy("query_id", "key", "n_query").agg(F.sum("times").alias("matched"), F.sum("inner").alias("inner"), F.collect_list(F.struct("term", "times", "df", "tf")).alias("_terms"))
-    pairs = materialised(pairs)
+    sums = [F.sum("times").alias("matched"), F.count("*").alias("found"), F.sum("inner").alias("inner"), F.collect_list(F.struct("term", "times", "df", "tf")).alias("_terms")]
+    return materialised(hits.groupBy("query_id", "key", "n_query", "n_terms").agg(*sums))
+
+
+def phrases(queries: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``query_id``, ``key`` and ``equal`` of the facts that hold a whole query as a phrase. Such a fact has at least all
+    of the query's tokens but its first and last one: few do, and only these are searched."""
+    places = queries.select("query_id", "query", tokens(F.col("query")).alias("_q"))
+    inner = F.size(F.array_distinct(F.slice("_q", F.lit(2), F.greatest(F.size("_q") - 2, F.lit(0)))))
+    asked = places.select("query_id", F.lower(F.trim("query")).alias("_phrase"), inner.alias("needed"))
+    could = pairs.join(counted(asked), "query_id").where(F.col("inner") >= F.col("needed")).select("query_id", "key", "_phrase")
+    bodies = facts.select("key", F.lower("value").alias("_body")).join(counted(could), "key").where(F.contains("_body", "_phrase"))
+    return bodies.groupBy("query_id", "key").agg(F.max(F.trim("_body") == F.col("_phrase")).alias("equal"))
+
+
+def bm25(queries: DataFrame, facts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """query_id, key, n_query, matched, raw_bm25 and lex (raw over the pool's best, 4 places) of each candidate.
+
+    A candidate shares a token with the query. Frequencies are those of the query's pool; query terms count as often as
+    they occur; no length norm; a fact that holds the whole query as a phrase gets 1 more. ``pairs``: of ``matches``.
+    """
+    pairs = matches(queries, facts) if pairs is None else pairs
     pool = pairs.groupBy("query_id").agg(F.count("*").alias("pool"))
     idf = lambda x: F.log(1.0 + (F.col("pool") - x["df"] + 0.5) / (x["df"] + 0.5))
     part = lambda s, x: s + x["times"] * idf(x) * x["tf"] * (scoring.K1 + 1) / (x["tf"] + scoring.K1)
     scored = pairs.join(counted(pool), "query_id").withColumn("raw", F.aggregate(F.array_sort("_terms"), F.lit(0.0), part))
-    # A fact with the whole phrase has at least all terms but its first and last one: few do, and only these are searched.
-    needed = terms.groupBy("query_id").agg(F.sum("inner").alias("needed"))
-    phrases = asked.select("query_id", F.lower(F.trim("query")).alias("_phrase")).join(needed, "query_id", "left")
-    could = pairs.join(counted(phrases), "query_id").where(F.col("inner") >= F.coalesce("needed", F.lit(0))).select("query_id", "key", "_phrase")
-    whole = facts.select("key", F.lower("value").alias("_body")).join(counted(could), "key").where(F.contains("_body", "_phrase")).select("query_id", "key", F.lit(1.0).alias("_bonus"))
-    found = scored.join(whole.distinct(), ["query_id", "key"], "left")
+    whole = phrases(queries, facts, pairs).select("query_id", "key", F.lit(1.0).alias("_bonus"))
+    found = scored.join(whole, ["query_id", "key"], "left")
     best = F.max("raw_bm25").over(Window.partitionBy("query_id"))
     return found.withColumn("raw_bm25", F.round(F.col("raw") + F.coalesce("_bonus", F.lit(0.0)), 6)).select("query_id", "key", "n_query", "matched", "raw_bm25", F.round(F.col("raw_bm25") / best, 4).alias("lex"))
 
 
+def passage_seeds(queries: DataFrame, facts: DataFrame, pairs: DataFrame | None = None, least: float = 0.34) -> DataFrame:
+    """Passages that seed a walk: 1 for the query itself, 0.85 for one that holds it, else the share of the query's
+    different tokens (two at least, or one of at most two), from ``least`` on."""
+    pairs = matches(queries, facts) if pairs is None else pairs
+    whole = phrases(queries, facts, pairs)
+    overlap = F.when((F.col("found") >= 2) | (F.col("n_terms") <= 2), F.col("found") / F.col("n_terms")).otherwise(0.0)
+    score = F.when(F.col("equal"), 1.0).when(F.col("equal").isNotNull(), F.greatest(F.lit(0.85), overlap)).otherwise(overlap)
+    return pairs.join(whole, ["query_id", "key"], "left").select("query_id", "key", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+
+def trusted(n_terms: Column, found: Column, phrase: Column, channel: Column) -> Column:
+    """Whether a lexical match is trusted by itself: the whole query as a phrase, a candidate of the graph, the only term,
+    or half of two terms or more."""
+    return phrase | (channel == "graph") | ((n_terms == 1) & (found == 1)) | ((n_terms >= 2) & (found >= 0.5 * n_terms))
+
+
+def similarity_floor(hits: DataFrame, symbolic: float = 0.70, prose: float = 0.35) -> DataFrame:
+    """Dense hits (score, symbolic, sparse) at or above the floor of their query's kind; hits of the sparse branch pass."""
+    return hits.where(F.col("sparse") | (F.col("score") >= F.when(F.col("symbolic"), symbolic).otherwise(prose)))
+
+
+def fused_branches(branches: list[DataFrame], k: int) -> DataFrame:
+    """The best k of several branches (query_id, key, score): each branch's scores are set within its mean and three
+    deviations, per query, and added up."""
+    both = None
+    for n, branch in enumerate(branches):
+        w = Window.partitionBy("query_id")
+        low, high = F.avg("score").over(w) - 3 * F.stddev_pop("score").over(w), F.avg("score").over(w) + 3 * F.stddev_pop("score").over(w)
+        part = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") - low) / (high - low)))).otherwise(0.5)
+        rows = branch.withColumn("part", part).select("query_id", "key", "part", F.lit(n).alias("branch"))
+        both = rows if both is None else both.unionByName(rows)
+    total = both.groupBy("query_id", "key").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("branches"))
+    return top_k(total, "score", k)
+
+
+def sparse_vectors(texts: DataFrame, document: bool = True) -> DataFrame:
+    """``id``, ``bucket`` and ``weight`` of each text's stems: 1 + ln tf in a document, 1 in a query."""
+    stems = texts.select("id", F.explode(F.transform(tokens(F.col("text")), stem)).alias("s")).groupBy("id", "s").agg(F.count("*").alias("tf"))
+    weight = 1.0 + F.log(F.col("tf").cast("double")) if document else F.lit(1.0)
+    return stems.select("id", F.col("s").alias("bucket"), F.round(weight, 6).alias("weight"))
+
+
+def sparse_top_k(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """Per query the k documents with the highest sum of weights x idf over shared buckets."""
+    n = documents.select("id").distinct().agg(F.count("*").alias("_n"))
+    idf = documents.groupBy("bucket").agg(F.count("*").alias("_df"))
+    asked = counted(queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("_w")))
+    hits = documents.join(asked, "bucket").join(idf, "bucket").join(counted(n))
+    score = F.round(F.sum(F.col("weight") * F.col("_w") * F.log(1.0 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))), 6)
+    return top_k(hits.groupBy("query_id", F.col("id").alias("key")).agg(score.alias("score")), "score", k)
+
+
+def normalised_hits(hits: DataFrame) -> DataFrame:
+    """Hits with the first key that their payload names (key, kv_key, subject, else the point's id), without ``kv:``."""
+    first = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in ("key", "kv_key", "subject")], F.col("point").cast("string"))
+    return hits.withColumn("key", F.regexp_replace(first, "^kv:", ""))
+
+
+def fingerprint(text: Column) -> Column:
+    """Of a content: its first eight tokens and the CRC-32 of it, without a short head, ``:stated_memory`` and space."""
+    clean = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(":stated_memory"), F.lit("")), r"^[^\s:]{1,24}:\s+", "")
+    clean = F.lower(F.trim(F.regexp_replace(clean, r"\s+", " ")))
+    words = F.filter(F.regexp_extract_all(clean, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: (F.length(t) >= 3) | F.regexp_like(t, F.lit("^[0-9]+$")))
+    return F.concat(F.array_join(F.slice(words, 1, 8), "_"), F.lit("::"), F.lpad(F.lower(F.hex(F.crc32(clean.cast("binary")))), 8, "0"))
+
+
+def graph_default(candidates: DataFrame) -> DataFrame:
+    """Candidates of the graph channel without a signal of their own count one half."""
+    return candidates.withColumn("graph_score", F.when((F.col("channel") == "graph") & (F.col("graph_score") <= 0), 0.50).otherwise(F.col("graph_score")))
+
+
+def epistemic_rank(records: DataFrame, threshold: float) -> DataFrame:
+    """Records in order of score: 0.4 of it where neither vector nor words support them; unscored ones stay, at 0."""
+    weak = (F.coalesce("vector_score", F.lit(0.0)) < threshold) & (F.coalesce("lex", F.lit(0.0)) <= 0)
+    return records.withColumn("rank_score", F.round(F.coalesce(F.col("score") * F.when(weak, 0.40).otherwise(1.0), F.lit(0.0)), 6))
+
+
+def cache_prefix(facts: DataFrame, kinds: Column) -> DataFrame:
+    """The stable head of a prompt: rules, state and entities, each sorted by key, one line a record."""
+    lines = facts.select(kinds.alias("kind"), "key", F.concat("key", F.lit("="), F.substring("value", 1, 80)).alias("line")).where("kind is not null")
+    return lines.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n").alias("block"))
+
+
+def median_margin(scored: DataFrame) -> DataFrame:
+    """Per candidate its score less the median of its query's pool, with the log of the query's words."""
+    median = scored.groupBy("query_id").agg(F.expr("percentile(score, 0.5)").alias("_m"))
+    return scored.join(counted(median), "query_id").select("query_id", "key", F.round(F.col("score") - F.col("_m"), 6).alias("margin"), F.round(F.log(F.greatest(F.lit(1), F.col("n_query")).cast("double")), 6).alias("length"))
+
+
+def channel_counts(candidates: DataFrame) -> DataFrame:
+    """Per query how many candidates each channel brought, in the order vector, graph, hot, store; and the pool."""
+    kind = F.when(F.col("vector_score") > 0, "vector").when(F.col("graph_score") > 0, "graph").when(F.col("source") == "hot", "hot").otherwise("store")
+    return candidates.groupBy("query_id").agg(*[F.count_if(kind == k).alias(k) for k in ("vector", "graph", "hot", "store")], F.count("*").alias("pool"))
+
+
 def top_k(scored: DataFrame, score: str, k: int) -> DataFrame:
     """The best k rows of each query; ties by key."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc(), "key"))

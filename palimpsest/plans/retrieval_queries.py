@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import scoring
-from palimpsest.operators import retrieval
+from palimpsest.functions import scoring, text
+from palimpsest.operators import analytics, retrieval
 from palimpsest.plans import tables
+from palimpsest.plans.gate_queries import STEM
 from palimpsest.plans.registry import query
 from palimpsest.plans.tables import with_tables
 
@@ -76,11 +77,8 @@ def _smooth(t: str) -> str:
 
 
 _SIG0 = "(1e0 / (1e0 + exp(6e0)))"
-_CANDIDATES = f"""{_TOP}, pool AS (
-  SELECT l.query_id, l.key, l.n_query, l.matched, l.raw_bm25, l.lex, f.source_type, f.confidence, f.ts, f.value, f.doc_id * 7 + l.query_id * 13 AS h, l.query_id % 4 = 0 AS symbolic, l.matched >= l.n_query * 0.5e0 AS trusted
-  FROM top t JOIN lexical l ON t.query_id = l.query_id AND t.key = l.key JOIN facts f ON f.key = l.key WHERE rank <= 60),
-c1 AS (SELECT *, CASE WHEN h % 3 = 0 THEN 0e0 ELSE (h % 101) / 100e0 END AS vs, CASE WHEN h % 5 < 3 THEN 0e0 ELSE (h % 97) / 100e0 END AS gs, CASE WHEN symbolic THEN 0.30e0 ELSE 0.35e0 END AS a FROM pool),
-c2 AS (SELECT *, CASE WHEN vs <= 0 THEN 0e0 ELSE least(1e0, greatest(0e0, (1e0 / (1e0 + exp(-12e0 * (vs - 0.5e0))) - {_SIG0}) / (1e0 - {_SIG0}))) END AS nd,
+#: From dense and graph scores (vs, gs) of a pool to the fused score.
+_CHAIN = f"""c2 AS (SELECT *, CASE WHEN vs <= 0 THEN 0e0 ELSE least(1e0, greatest(0e0, (1e0 / (1e0 + exp(-12e0 * (vs - 0.5e0))) - {_SIG0}) / (1e0 - {_SIG0}))) END AS nd,
   CASE WHEN n_query > 0 THEN CAST(matched AS DOUBLE) / n_query ELSE 1e0 END AS cov, raw_bm25 / greatest(6e0, n_query * 6e0) AS sat FROM c1),
 c3 AS (SELECT *, least(1e0, CASE WHEN n_query >= 3 AND matched <= 1 AND nd < 0.28e0 THEN greatest(lex, sat) * cov ELSE greatest(lex * cov, sat) END) AS nl FROM c2),
 c4 AS (SELECT *, contains(key, ':') AND matched = 0 AND lex <= 0 AND NOT trusted AND gs <= 0 AS ung, a * nd + (1 - a) * nl AS b0, greatest(a * nd + (1 - a) * nl, nd) AS b1 FROM c3),
@@ -99,7 +97,12 @@ c9 AS (SELECT *, CASE WHEN starts_with(lk, 'rule:') OR starts_with(lk, 'user_rul
   CASE source_type WHEN 'user_explicit' THEN 1e0 WHEN 'tool_output' THEN 0.85e0 WHEN 'external_doc' THEN 0.65e0 ELSE 0.5e0 END AS vw FROM c8),
 fused AS (SELECT *, round(least(1e0, fs * (CASE WHEN starts_with(key, 'session:') AND age > 3 THEN greatest(0.45e0, exp(-0.035e0 * (age - 3))) ELSE 1e0 END * CASE WHEN n_query >= 3 AND matched <= 1 AND nd < 0.28e0 AND gs <= 0 THEN 0.55e0 ELSE 1e0 END)
   + 0.01e0 * (auth / 100e0 / 1.10e0) + 0.005e0 * vw * confidence
-  + CASE WHEN auth >= 100 AND (vs >= 0.65e0 OR gs >= 0.7e0 OR (lex > 0 AND (vs > 0 OR gs > 0 OR trusted))) AND NOT (ung AND gs < 0.7e0) THEN 0.035e0 ELSE 0e0 END), 4) AS score FROM c9)"""
+  + CASE WHEN auth >= 100 AND (vs >= 0.65e0 OR gs >= 0.7e0 OR (lex > 0 AND (vs > 0 OR gs > 0 OR trusted))) AND NOT (ung AND gs < 0.7e0) THEN 0.035e0 ELSE 0e0 END + 1e-9), 4) AS score FROM c9)"""
+_CANDIDATES = f"""{_TOP}, pool AS (
+  SELECT l.query_id, l.key, l.n_query, l.matched, l.raw_bm25, l.lex, f.source_type, f.confidence, f.ts, f.value, f.doc_id * 7 + l.query_id * 13 AS h, l.query_id % 4 = 0 AS symbolic, l.matched >= l.n_query * 0.5e0 AS trusted
+  FROM top t JOIN lexical l ON t.query_id = l.query_id AND t.key = l.key JOIN facts f ON f.key = l.key WHERE rank <= 60),
+c1 AS (SELECT *, CASE WHEN h % 3 = 0 THEN 0e0 ELSE (h % 101) / 100e0 END AS vs, CASE WHEN h % 5 < 3 THEN 0e0 ELSE (h % 97) / 100e0 END AS gs, CASE WHEN symbolic THEN 0.30e0 ELSE 0.35e0 END AS a FROM pool),
+{_CHAIN}"""
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
@@ -229,3 +232,118 @@ SELECT key, round(score, 6) AS salience, NOT (doc_id % 9 = 0) AND importance < 0
 def salience_decay(spark: SparkSession, d: str) -> DataFrame:
     score = scoring.salience(F.col("doc_id") % 17 / 17.0, F.col("importance"), F.lit(tables.AS_OF) - F.col("ts"), F.col("doc_id") % 60)
     return tables.facts(spark, d).withColumn("score", score).select("key", F.round("score", 6).alias("salience"), scoring.prunable(F.col("score"), F.col("importance"), F.col("doc_id") % 9 == 0).alias("prunable"))
+
+
+_SEEDS = """facts_low AS (SELECT key, lower(value) AS body FROM facts),
+distinct_hits AS (SELECT query_id, key, count(*) AS found FROM hits GROUP BY 1, 2), n_terms AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
+seeded AS (SELECT h.query_id, h.key, found, n_terms, contains(body, phrase) AS holds, CASE WHEN trim(body) = phrase THEN 1e0 ELSE greatest(CASE WHEN contains(body, phrase) THEN 0.85e0 ELSE 0e0 END, CASE WHEN found >= 2 OR n_terms <= 2 THEN CAST(found AS DOUBLE) / n_terms ELSE 0e0 END) END AS s
+  FROM distinct_hits h JOIN n_terms USING (query_id) JOIN asked USING (query_id) JOIN facts_low USING (key)),
+seeds AS (SELECT query_id, key, round(s, 6) AS score FROM seeded WHERE round(s, 6) >= 0.34e0)"""
+
+
+@query(with_tables(f"WITH {_BM25}, {_SEEDS} SELECT * FROM seeds", "facts", "questions"))
+def passage_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.passage_seeds(tables.questions(spark, d), tables.facts(spark, d))
+
+
+_NEAR = """near AS (SELECT q.vec_id AS query_id, f.key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cos, f.doc_id
+  FROM embeddings q JOIN questions ON query_id = q.vec_id JOIN embeddings v ON v.vec_id <> q.vec_id JOIN facts f ON f.doc_id = v.vec_id),
+dense AS (SELECT query_id, key, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank FROM near QUALIFY rank <= 24)"""
+
+
+def dense(spark: SparkSession, d: str, k: int = 24) -> DataFrame:
+    """Per question the facts with the nearest vectors: a question's vector is that of its number."""
+    vectors = tables.read(spark, d, "embeddings")
+    asked = tables.questions(spark, d).join(vectors, F.col("query_id") == F.col("vec_id")).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
+    facts = tables.facts(spark, d).select("doc_id", "key")
+    known = vectors.join(facts.select("doc_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return analytics.dense_top_k(asked, known, k, -1.0).join(facts, F.col("id") == F.col("doc_id")).select("query_id", "key", F.col("cos").alias("score"))
+
+
+_REAL = f"""{_BM25}, {_SEEDS}, {_NEAR}, floor_ AS (SELECT query_id, key, cos FROM dense WHERE cos >= 0.35e0),
+names AS (SELECT query_id, key FROM lexical UNION SELECT query_id, key FROM floor_ UNION SELECT query_id, key FROM seeds),
+pool AS (SELECT n.query_id, n.key, len(a.q) AS n_query, coalesce(l.matched, 0) AS matched, coalesce(l.raw_bm25, 0e0) AS raw_bm25, coalesce(l.lex, 0e0) AS lex, f.source_type, f.confidence, f.ts, f.value, false AS symbolic,
+  coalesce(s.holds OR (n_terms = 1 AND found = 1) OR (n_terms >= 2 AND found >= 0.5e0 * n_terms), false) AS trusted, greatest(0e0, coalesce(v.cos, 0e0)) AS vs, coalesce(g.score, 0e0) AS gs, 0.35e0 AS a
+  FROM names n JOIN asked a USING (query_id) JOIN facts f USING (key) LEFT JOIN lexical l USING (query_id, key) LEFT JOIN floor_ v USING (query_id, key) LEFT JOIN seeds g USING (query_id, key) LEFT JOIN seeded s USING (query_id, key)),
+c1 AS (SELECT * FROM pool), {_CHAIN}"""
+
+
+def recalled(spark: SparkSession, d: str) -> DataFrame:
+    """The union of lexical, dense and graph candidates with the scores of each channel (0 where it hasn't the fact)."""
+    questions, facts = tables.questions(spark, d), tables.facts(spark, d)
+    pairs = retrieval.matches(questions, facts)
+    lexical = retrieval.bm25(questions, facts, pairs).select("query_id", "key", "raw_bm25", "lex", "matched")
+    near = retrieval.similarity_floor(dense(spark, d).withColumns({"symbolic": F.lit(False), "sparse": F.lit(False)})).select("query_id", "key", "score")
+    seeds = retrieval.passage_seeds(questions, facts, pairs)
+    pool = retrieval.merge_channels([("lexical", lexical.select("query_id", "key", F.col("lex").alias("score"))), ("vector", near), ("graph", seeds)]).drop("lexical_score")
+    told = pairs.select("query_id", "key", "n_terms", "found").join(retrieval.phrases(questions, facts, pairs), ["query_id", "key"], "left")
+    asked = questions.select("query_id", F.size(text.tokens(F.col("query"))).alias("n_query"))
+    rows = pool.join(lexical, ["query_id", "key"], "left").join(told, ["query_id", "key"], "left").join(asked, "query_id").join(facts, "key")
+    trust = retrieval.trusted(F.col("n_terms"), F.col("found"), F.col("equal").isNotNull(), F.lit("lexical"))
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("raw_bm25", "lex")}
+    return rows.withColumns({**zero, "matched": F.coalesce("matched", F.lit(0)), "trusted": F.coalesce(trust, F.lit(False)), "symbolic": F.lit(False), "vector_score": F.greatest(F.lit(0.0), F.col("vector_score"))})
+
+
+@query(with_tables(f"WITH {_REAL} SELECT query_id, key, score FROM fused", "facts", "questions"))
+def recall_score(spark: SparkSession, d: str) -> DataFrame:
+    """The fused score over real channels: words, vectors and seeds of the graph."""
+    return retrieval.fused(recalled(spark, d), tables.AS_OF).select("query_id", "key", "score")
+
+
+@query(with_tables(f"WITH {_REAL} SELECT query_id, count(*) FILTER (vs > 0) AS vector, count(*) FILTER (vs <= 0 AND gs > 0) AS graph, 0 AS hot, count(*) FILTER (vs <= 0 AND gs <= 0) AS store, count(*) AS pool FROM pool GROUP BY 1", "facts", "questions"))
+def channel_counts(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.channel_counts(recalled(spark, d))
+
+
+@query(with_tables(f"WITH {_REAL}, m AS (SELECT query_id, median(score) AS m FROM fused GROUP BY 1) SELECT query_id, key, round(score - m, 6) AS margin, round(ln(greatest(1, n_query)), 6) AS length FROM fused JOIN m USING (query_id)", "facts", "questions"))
+def median_margin(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.median_margin(retrieval.fused(recalled(spark, d), tables.AS_OF))
+
+
+_SPARSE = f"""words AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{N}}]+')) AS w FROM facts), sd AS (SELECT id, {STEM} AS bucket, round(1e0 + ln(count(*)), 6) AS weight FROM words WHERE length(w) >= 3 GROUP BY 1, 2),
+qwords AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS w FROM questions), sq AS (SELECT DISTINCT query_id, {STEM} AS bucket FROM qwords WHERE length(w) >= 3),
+df AS (SELECT bucket, count(*) AS df FROM sd GROUP BY 1), nd AS (SELECT count(DISTINCT id) AS n FROM sd),
+ss AS (SELECT query_id, id, round(sum(weight * ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0))), 6) AS score FROM sd JOIN sq USING (bucket) JOIN df USING (bucket), nd GROUP BY 1, 2),
+sparse AS (SELECT query_id, key, score FROM ss JOIN facts ON doc_id = id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 24)"""
+
+
+def sparse(spark: SparkSession, d: str) -> DataFrame:
+    facts = tables.facts(spark, d)
+    documents = retrieval.sparse_vectors(facts.select(F.col("doc_id").alias("id"), F.col("value").alias("text")))
+    asked = retrieval.sparse_vectors(tables.questions(spark, d).select(F.col("query_id").alias("id"), F.col("query").alias("text")), document=False)
+    found = retrieval.sparse_top_k(asked, documents, 24).select("query_id", F.col("key").alias("doc_id"), "score")
+    return found.join(facts.select("doc_id", "key"), "doc_id").select("query_id", "key", "score")
+
+
+@query(with_tables(f"WITH {_SPARSE} SELECT query_id, key, score FROM sparse", "facts", "questions"))
+def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
+    return sparse(spark, d)
+
+
+@query(with_tables(f"""WITH {_SPARSE}, {_NEAR}, b AS (SELECT query_id, key, cos AS score, 0 AS branch FROM dense UNION ALL SELECT query_id, key, score, 1 FROM sparse),
+w AS (SELECT *, avg(score) OVER q - 3 * stddev_pop(score) OVER q AS lo, avg(score) OVER q + 3 * stddev_pop(score) OVER q AS hi FROM b WINDOW q AS (PARTITION BY query_id, branch)),
+t AS (SELECT query_id, key, round(sum(CASE WHEN hi > lo THEN greatest(0e0, least(1e0, (score - lo) / (hi - lo))) ELSE 0.5e0 END), 6) AS score, count(*) AS branches FROM w GROUP BY 1, 2)
+SELECT query_id, branches, score FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 10""", "facts", "questions"))
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fused_branches([dense(spark, d), sparse(spark, d)], 10).select("query_id", "branches", "score")
+
+
+@query(with_tables("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 4 = 1 THEN 's' || doc_id WHEN doc_id % 4 = 2 THEN regexp_replace(key, '^kv:', '') ELSE 'x' END AS key FROM facts", "facts"))
+def hit_keys(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("doc_id") % 4
+    hits = tables.facts(spark, d).select("doc_id", F.col("doc_id").alias("point"), F.when(m == 2, F.col("key")).when(m == 1, " ").alias("key"), F.when(m == 3, "kv:x").alias("kv_key"), F.when(m == 1, F.concat(F.lit("s"), "doc_id")).alias("subject"))
+    return retrieval.normalised_hits(hits).select("doc_id", "key")
+
+
+@query(with_tables("SELECT CASE WHEN starts_with(key, 'rule:') THEN 'rules' WHEN starts_with(key, 'fact:') THEN 'state' WHEN starts_with(key, 'hermes:') THEN 'entities' END AS kind, string_agg(key || '=' || left(value, 80), chr(10) ORDER BY key) AS block FROM facts WHERE doc_id % 10 < 3 AND regexp_matches(key, '^(rule|fact|hermes):') GROUP BY 1", "facts"))
+def cache_prefix(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("key")
+    kinds = F.when(key.startswith("rule:"), "rules").when(key.startswith("fact:"), "state").when(key.startswith("hermes:"), "entities")
+    return retrieval.cache_prefix(tables.facts(spark, d).where("doc_id % 10 < 3"), kinds)
+
+
+@query(with_tables("SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 0e0 ELSE importance * CASE WHEN confidence < 0.7e0 AND doc_id % 3 = 0 THEN 0.4e0 ELSE 1e0 END END, 6) AS rank_score, CASE WHEN doc_id % 2 = 0 AND doc_id % 7 > 0 THEN 0.5e0 ELSE (doc_id % 7) / 10e0 END AS graph_score FROM facts", "facts"))
+def epistemic_ranks(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = tables.facts(spark, d).select("doc_id", F.when(i % 5 != 0, F.col("importance")).alias("score"), F.col("confidence").alias("vector_score"), (i % 3 / 1.0).alias("lex"), F.when(i % 2 == 0, "graph").otherwise("kv").alias("channel"), F.when((i % 2 == 0) & (i % 7 > 0), 0.0).otherwise(i % 7 / 10.0).alias("graph_score"))
+    return retrieval.graph_default(retrieval.epistemic_rank(rows, 0.7)).select("doc_id", "rank_score", F.when(i % 14 == 0, 0.0).otherwise(F.col("graph_score")).alias("graph_score"))
