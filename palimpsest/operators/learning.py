@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,45 +55,3 @@ def calinski_harabasz(vectors: DataFrame) -> DataFrame:
     mean = cells.groupBy("d").agg(F.avg("v").alias("all"))
     both = per.join(mean, "d").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("all"), 2)).alias("between"), F.sum(F.col("n") * F.col("s")).alias("within"), F.count_distinct("label").alias("k"), (F.sum("n") / F.count_distinct("d")).alias("n"))
     return both.select(F.round((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k"))), 4).alias("ch"), F.col("k"))
-
-
-def compressed(steps: DataFrame, width: int = 16, rate: float = 0.01, decay: float = 0.001, seed: int = 42) -> DataFrame:
-    """Test-time training per session: a small autoencoder adapts to each vector in turn; steps, mean loss and the last
-    latent state. ``steps``: session, seq, vector (all of one length in a session)."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x_all = np.stack(rows.sort_values("seq")["vector"].to_numpy()).astype(np.float64)
-        r = np.random.default_rng(seed)
-        base = r.normal(0, 1 / np.sqrt(x_all.shape[1]), (x_all.shape[1], width))
-        fast, back, losses, h = np.zeros_like(base), r.normal(0, 1 / np.sqrt(width), (width, x_all.shape[1])), [], None
-        for x in x_all:
-            h = np.tanh(x @ (base + fast))
-            error = h @ back - x
-            losses.append(float((error**2).mean()))
-            slope = (error @ back.T) * (1 - h * h) * (2 / len(x))
-            back = (1 - decay) * back - rate * np.outer(h, error) * (2 / len(x))
-            fast = (1 - decay) * fast - rate * np.outer(x, slope)
-        return pd.DataFrame({"session": [rows["session"].iloc[0]], "steps": [len(x_all)], "loss": [float(np.mean(losses))], "latent": [h.tolist()]})
-
-    kind = steps.schema["session"].dataType.simpleString()
-    return steps.groupBy("session").applyInPandas(fit, f"session {kind}, steps long, loss double, latent array<double>")
-
-
-def annealed(edges: DataFrame, rounds: int = 50, start: float = 1.0, cooling: float = 0.95, balance: float = 0.1, seed: int = 42) -> DataFrame:
-    """Edge weights by seeded simulated annealing within each ``component``: energy w c + (1 - w)(1 - c) + balance
-    (w - 1/2)^2 with cost c = 1 - confidence. Columns: component, src, dst, weight."""
-
-    def cool(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["src", "dst"])
-        r, cost = np.random.default_rng(seed), 1 - rows["confidence"].to_numpy()
-        energy = lambda w: w * cost + (1 - w) * (1 - cost) + balance * (w - 0.5) ** 2
-        w, heat = np.full(len(rows), 0.5), start
-        for _ in range(rounds):
-            new = np.clip(w + r.normal(0, 0.1, len(w)), 0, 1)
-            gain = energy(w) - energy(new)
-            w = np.where((gain > 0) | (r.random(len(w)) < np.exp(np.minimum(0, gain) / heat)), new, w)
-            heat *= cooling
-        return rows.assign(weight=w)[["component", "src", "dst", "weight"]]
-
-    kind = edges.schema["component"].dataType.simpleString()
-    return edges.groupBy("component").applyInPandas(cool, f"component {kind}, src string, dst string, weight double")

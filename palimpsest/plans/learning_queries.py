@@ -139,13 +139,3 @@ def collectable_facts(spark: SparkSession, d: str) -> DataFrame:
 def packed_components(spark: SparkSession, d: str) -> DataFrame:
     top = retrieval.top_k(scored(spark, d), "raw_bm25", 60).join(tables.facts(spark, d).select("key", "value"), "key")
     return consolidation.packed_components(top.select("query_id", "key", "value", F.col("lex").alias("score")), 1500)
-
-
-@query()
-def session_compression(spark: SparkSession, d: str) -> DataFrame:
-    return learning.compressed(vectors(spark, d).select(F.col("label").alias("session"), F.col("id").alias("seq"), "vector"))
-
-
-@query()
-def annealed_edges(spark: SparkSession, d: str) -> DataFrame:
-    return learning.annealed(tables.edges(spark, d).select(F.col("src").alias("component"), "src", "dst", "confidence"))

@@ -224,13 +224,13 @@ def record_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_tables(
-        f"""WITH s AS (SELECT key, importance, doc_id, 0.4e0 * ((doc_id % 17) / 17e0) + 0.3e0 * importance + 0.2e0 * exp(-1e-4 * ({tables.AS_OF} - ts)) + 0.1e0 * least(1e0, ln(1e0 + doc_id % 60) / ln(51e0)) AS score FROM facts)
+        f"""WITH s AS (SELECT key, importance, doc_id, 0.4e0 * greatest(0e0, least(1e0, (doc_id % 17) / 14e0 - 0.1e0)) + 0.3e0 * importance + 0.2e0 * exp(-1e-4 * ({tables.AS_OF} - ts)) + 0.1e0 * least(1e0, ln(1e0 + doc_id % 60) / ln(51e0)) AS score FROM facts)
 SELECT key, round(score, 6) AS salience, NOT (doc_id % 9 = 0) AND importance < 0.95e0 AND score < 0.15e0 AS prunable FROM s""",
         "facts",
     )
 )
 def salience_decay(spark: SparkSession, d: str) -> DataFrame:
-    score = scoring.salience(F.col("doc_id") % 17 / 17.0, F.col("importance"), F.lit(tables.AS_OF) - F.col("ts"), F.col("doc_id") % 60)
+    score = scoring.salience(F.col("doc_id") % 17 / 14.0 - 0.1, F.col("importance"), F.lit(tables.AS_OF) - F.col("ts"), F.col("doc_id") % 60)
     return tables.facts(spark, d).withColumn("score", score).select("key", F.round("score", 6).alias("salience"), scoring.prunable(F.col("score"), F.col("importance"), F.col("doc_id") % 9 == 0).alias("prunable"))
 
 
