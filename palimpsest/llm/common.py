@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: that of ``spark.checkpoint.dir``; set here only where the session names none."""
+    """The folder that all executors share: that of ``spark.checkpoint.dir``. Only a local session may go without one."""
     context: SparkContext = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -37,6 +40,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Totals of buckets that travel to all executors, of some thousand rows each.
+MAX_TOTALS = 500_000
+
 #: Stands for a null id, before all others.
 NULL_ID = -(2**63)
 
@@ -72,7 +78,8 @@ def running_before(df: DataFrame, totals_of: DataFrame, n_buckets: int, size: st
     name = F.col(group) if group else F.lit(None).cast("string")
     totals = totals_of.groupBy(name.alias("_group"), bucket.alias("_b")).agg(F.sum(amount).alias("_total"))
     preceding = Window.partitionBy("_group").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_group", "_b", F.coalesce(F.sum("_total").over(preceding), F.lit(0)).alias("_base"))
+    # Counted before the join is planned: else wide rows may be shuffled once more before the totals prove to be few.
+    totals = bounded(totals.select("_group", "_b", F.coalesce(F.sum("_total").over(preceding), F.lit(0)).alias("_base")), MAX_TOTALS)
     parts = ["_bucket", group] if group else ["_bucket"]
     inside = Window.partitionBy(*parts).orderBy("doc_id", "_tag").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_bucket", bucket).withColumn("_within", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
