@@ -94,6 +94,41 @@ def test_sql_agrees(spark, sf):
     assert sf == "0.001" or sum(r[-1] is not None for r in found) > len(found) / 2 < sum(not r[6] and not r[7] for r in found) * 100
 
 
+def score(text):
+    n, chars, symbols, lines, repeats, _ = base(text)
+    capitals, exclaims = sum("A" <= c <= "Z" for c in text or ""), (text or "").count("!")
+    return max(symbols / chars / 0.1, repeats / n / 0.1, lines / n / 0.03, capitals / chars / 0.3, exclaims / chars / 0.01) if n else 0.0
+
+
+def plainly_kept(rows, labels):
+    """Whether each of the rows (doc_id, text, lang) is kept, by the rule told plainly; labels: (doc_id, quality)."""
+    good = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            good[d] = max(q, good.get(d, 0))
+    held = {}
+    for d, text, lang in rows:
+        if d in good and not base(text)[-1]:
+            held.setdefault(lang, []).append((score(text), good[d]))
+    over = lambda s, c, g: sum(x > c for x, q in held[s] if (q == 1) == g)
+    sizes = {s: sum(q == 1 for _, q in x) for s, x in held.items()}
+    tails = {s: [tail(over(s, c, True), sizes[s], quality.ALPHA) if over(s, c, True) < sizes[s] * quality.ALPHA else 1.0 for c in quality.CUTOFFS] for s in held}
+    cut = {}
+    for s, k in holm({f"={s}": p for s, p in tails.items()}, quality.DELTA).items():
+        gains = [(over(s[1:], c, False) - quality.GOOD_WEIGHT * over(s[1:], c, True), c) for c in quality.CUTOFFS[:k]]
+        if gains and max(gains)[0] > 0:
+            cut[s[1:]] = max(gains)[1]
+    return [not base(text)[-1] and not (lang in cut and score(text) > cut[lang]) for _, text, lang in rows]
+
+
+def test_verdicts_against_the_plain_rule(spark):
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    want = dict(zip([r[0] for r in rows], plainly_kept(rows, [(r.doc_id, r.quality) for r in labels.collect()]), strict=True))
+    assert {r.doc_id: r.kept for r in quality.judged(docs, labels).collect()} == want
+    assert Counter(r.doc_id for r in quality.passing(docs, labels).collect()) == Counter(d for d, ok in want.items() if ok)
+
+
 def test_error_is_divided_over_strata(spark):
     """Strata of many sizes and false rejections against the plain step-down rule."""
     sizes = {"a": (400, 5), "b": (45, 0), "c": (35, 0), "d": (30, 0), "e": (60, 6)}
