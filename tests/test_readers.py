@@ -32,18 +32,6 @@ def test_isotonic_is_monotone_and_pools(spark):
     assert [r.p for r in learning.calibrated(scores, learning.isotonic(bins)).orderBy("score").collect()] == pytest.approx([0.2, 0.2, 0.4, 0.9])
 
 
-def test_compression_learns_a_repeated_vector(spark):
-    steps = spark.createDataFrame([(1, i, [0.5, -0.25, 0.75, 0.0]) for i in range(200)] + [(2, 0, [0.5, -0.25, 0.75, 0.0])], "session int, seq long, vector array<double>")
-    loss = {r.session: r.loss for r in learning.compressed(steps, rate=0.5).collect()}
-    assert loss[1] < 0.5 * loss[2]
-
-
-def test_annealing_follows_confidence(spark):
-    edges = spark.createDataFrame([("c", "a", "b", 0.95), ("c", "b", "d", 0.05)], "component string, src string, dst string, confidence double")
-    w = {r.src: r.weight for r in learning.annealed(edges, rounds=400).collect()}
-    assert w["a"] > 0.8 and w["b"] < 0.2
-
-
 def test_packing_takes_components_first(spark):
     rows = [(1, "x:a", "v" * 20, 0.9), (1, "x:b", "v" * 20, 0.8), (1, "y:a", "v" * 2000, 1.0), (2, "z:a", "v" * 5000, 0.1)]
     got = {(r.query_id, r.key) for r in consolidation.packed_components(spark.createDataFrame(rows, "query_id long, key string, value string, score double"), 100).collect()}
