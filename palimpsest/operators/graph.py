@@ -6,7 +6,7 @@ in the checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.steps import materialised
@@ -167,3 +167,31 @@ def walk_weights(edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     back = F.when(F.col("kind") == "relation", 0.5 * relation).otherwise(c)
     both = df.select("src", "dst", on.alias("weight")).unionByName(df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), back.alias("weight")))
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def expanded_seeds(edges: DataFrame, seeds: DataFrame, most: int = 24, widest: int = 16) -> DataFrame:
+    """``seeds`` (query_id, node, weight; each node once a query) and up to ``most`` further nodes within two hops, with their
+    weights. ``edges`` (src, dst, relation, confidence) are walked both ways from the ``widest`` strongest nodes of a hop;
+    weights fall with each hop and with the degree of what is reached. Superseded edges aren't walked, passages are
+    walked through but not returned. A null confidence counts as 1."""
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), "relation", "confidence").unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"), "relation", "confidence"))
+    degree = both.groupBy(F.col("node").alias("to")).agg(F.count("*").alias("degree"))
+    walked = both.where((F.coalesce("relation", F.lit("RELATED")) != "SUPERSEDED_BY") & (F.col("node") != F.col("to")))
+    strongest = Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "node")
+
+    def hop(start: DataFrame, damping: float, rule_boost: float, bridges: list[str], cap: float) -> DataFrame:
+        top = start.where("weight > 0").withColumn("_place", F.row_number().over(strongest)).where(F.col("_place") <= widest)
+        regulates = (F.coalesce("relation", F.lit("RELATED")) == "REGULATES") | F.lower("to").startswith("rule:") | F.lower("to").startswith("constraint:")
+        worth = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0)))) * (1.0 / F.sqrt(F.greatest(F.lit(1.0), F.col("degree") / 8.0)))
+        reached = F.col("weight") * damping * worth * F.when(regulates, rule_boost).otherwise(1.0) * F.when(F.col("relation").isin(bridges), 1.15).otherwise(1.0)
+        steps = top.select("query_id", "node", "weight").join(walked, "node").join(degree, "to")
+        return steps.groupBy("query_id", F.col("to").alias("node")).agg(F.least(F.lit(cap), F.max(reached)).alias("weight"))
+
+    first = hop(seeds, 0.42, 1.25, ["SYNONYM", "CONTAINS"], 0.95)
+    second = hop(first, 0.45, 1.35, ["SYNONYM", "CONTAINS", "REGULATES"], 0.85).join(seeds.select("query_id", "node"), ["query_id", "node"], "left_anti")
+    found = first.unionByName(second).groupBy("query_id", "node").agg(F.max("weight").alias("weight")).where(~F.col("node").startswith("passage:"))
+    known = seeds.select("query_id", "node", F.col("weight").alias("_seed"))
+    better = found.join(known, ["query_id", "node"], "left").where(F.col("_seed").isNull() | (F.col("weight") > F.col("_seed")))
+    before = F.coalesce(F.sum(F.col("_seed").isNull().cast("int")).over(strongest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = better.withColumn("_before", before).where(F.col("_before") < most).select("query_id", "node", (F.floor(F.col("weight") * 1e6 + 0.5) / 1e6).alias("weight"))
+    return seeds.select("query_id", "node", "weight").join(taken.select("query_id", "node"), ["query_id", "node"], "left_anti").unionByName(taken)

@@ -153,3 +153,28 @@ def walk_weights(spark: SparkSession, d: str) -> DataFrame:
     e = e.unionByName(suppliers.where("s_suppkey = 1").select(F.lit("relation").alias("kind"), F.lit("s1").alias("src"), F.lit("s1").alias("dst"), F.lit(1.0).alias("confidence")))
     hubs = suppliers.where("s_suppkey in (3, 4)").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"))
     return graph.walk_weights(e, hubs).withColumn("weight", F.round("weight", 8))
+
+
+_NODE = "CASE WHEN k % 9 = 0 THEN 'rule:p' WHEN k % 9 = 1 THEN 'passage:p' ELSE 'p' END || k"
+_WALKED = f"SELECT 's' || s AS src, {_NODE} AS dst, CASE k % 5 WHEN 0 THEN 'REGULATES' WHEN 1 THEN 'SYNONYM' WHEN 2 THEN 'SUPERSEDED_BY' WHEN 3 THEN 'RELATED' ELSE 'CONTAINS' END AS relation, confidence FROM (SELECT l_suppkey AS s, l_partkey AS k, 1e0 - max(CAST(l_discount AS DOUBLE)) AS confidence FROM lineitem GROUP BY 1, 2)"
+_SEEDS = "SELECT s_nationkey AS query_id, 's' || s_suppkey AS node, (3 + s_suppkey % 7) / 10e0 AS weight FROM supplier"
+_REGULATES = "(relation = 'REGULATES' OR starts_with(lower(b.dst), 'rule:') OR starts_with(lower(b.dst), 'constraint:'))"
+
+
+def _hop_sql(start: str, damping: str, boost: str, bridges: str, cap: str) -> str:
+    return f"""SELECT query_id, b.dst AS node, least({cap}, max(t.weight * {damping} * (greatest(0.05e0, least(1e0, confidence)) * (1e0 / sqrt(greatest(1e0, degree / 8e0)))) * CASE WHEN {_REGULATES} THEN {boost} ELSE 1e0 END * CASE WHEN relation IN ({bridges}) THEN 1.15e0 ELSE 1e0 END)) AS weight
+ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, node) AS place FROM {start}) t JOIN both_ways b ON b.src = t.node JOIN degrees g ON g.node = b.dst WHERE place <= 16 AND relation <> 'SUPERSEDED_BY' GROUP BY 1, 2"""
+
+
+@query(
+    f"""WITH walked AS ({_WALKED}), seeds AS ({_SEEDS}), both_ways AS (SELECT * FROM walked UNION ALL SELECT dst, src, relation, confidence FROM walked), degrees AS (SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY 1),
+h1 AS ({_hop_sql("seeds", "0.42e0", "1.25e0", "'SYNONYM', 'CONTAINS'", "0.95e0")}), h2 AS ({_hop_sql("h1", "0.45e0", "1.35e0", "'SYNONYM', 'CONTAINS', 'REGULATES'", "0.85e0")}),
+f AS (SELECT query_id, node, max(weight) AS weight FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 ANTI JOIN seeds USING (query_id, node)) WHERE NOT starts_with(node, 'passage:') GROUP BY 1, 2),
+n AS (SELECT f.*, s.node IS NULL AS fresh FROM f LEFT JOIN seeds s USING (query_id, node) WHERE s.node IS NULL OR f.weight > s.weight),
+t AS (SELECT query_id, node, round(weight, 6) AS weight FROM (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY query_id ORDER BY weight DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM n) WHERE earlier < 24)
+SELECT query_id, node, weight FROM seeds ANTI JOIN t USING (query_id, node) UNION ALL SELECT query_id, node, weight FROM t"""
+)
+def associative_expansion(spark: SparkSession, d: str) -> DataFrame:
+    lineitem, supplier = tables.read(spark, d, "lineitem"), tables.read(spark, d, "supplier")
+    walked = spark.sql(_WALKED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
+    return graph.expanded_seeds(walked, spark.sql(_SEEDS.replace("FROM supplier", "FROM {supplier}"), supplier=supplier))
