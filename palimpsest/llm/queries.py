@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, divergence, html, idfile, merkle, mixing, paragraphs, quality, secret_scan, sharding, simhash, sql, suffix
+from palimpsest.llm import decontam, divergence, html, idfile, merkle, mixing, paragraphs, quality, secret_scan, setsketch, sharding, simhash, sql, suffix
 from palimpsest.llm.common import table
 
 
@@ -64,5 +64,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_battery, op3_feistel_shards, op4_paragraph_clusters, op5_source_mix, op6_elias_fano_ids, op7_suffix_dedup, op8_site_templates, op9_wu_manber, op10_simhash_links, op11_source_audit, op12_merkle_manifest)}
+def op13_setsketch_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_battery, op3_feistel_shards, op4_paragraph_clusters, op5_source_mix, op6_elias_fano_ids, op7_suffix_dedup, op8_site_templates, op9_wu_manber, op10_simhash_links, op11_source_audit, op12_merkle_manifest, op13_setsketch_classes)}
 ORACLES = {"op1_quality_rules": sql.QUALITY, "op9_wu_manber": sql.DECONTAMINATION, "op11_source_audit": sql.DIVERGENCE, "op12_merkle_manifest": sql.MANIFEST}
