@@ -4,10 +4,12 @@ A page is read into blocks of text and the elements around them, inline ones too
 whatever its names say) is hashed and counted over the distinct pages of a host, and of a section of it (the first part
 of the path). Pages are told apart by their main text outside the subtree: its longest, second and third longest block,
 and the greatest of the three counts holds. So copies of an article count once, also where they differ in a date, and a
-long notice doesn't hide a menu. A subtree of ``LONG`` words or more is template from ``COPIES`` distinct pages on,
-however large the host and whatever its sections; any other, which may be a table's "yes" or a heading, from
-``MIN_PAGES`` distinct pages and ``SHARE`` of those of its host or section on, and in the main text only if it is counted
-there. Templates are deleted from all pages of the host.
+long notice doesn't hide a menu. What stands in an article or main element is the article's own, unless nearly all pages
+(``NEARLY``) of the host or section have it there. Elsewhere, also in pages without such an element, a subtree is template
+from ``MIN_PAGES`` distinct pages and ``SHARE`` of those of its host or section on. One of ``LONG`` words or more that is
+no main text (in a footer, say) on ``COPIES`` distinct pages or more is template by that alone, however large the host,
+and goes wherever it stands; a shorter one, which may be a table's "yes" or a heading, goes only in the place where it is
+counted. So a sentence that many articles of a host share stays. Templates are deleted from all pages of the host.
 
 Of what is left scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader comments go by
 their tags, roles and names (but not where they wrap the article or most of the page's text); if the page has an article
@@ -36,9 +38,11 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import as_long, bounded, materialise, shared_folder
 
-MIN_PAGES, SHARE = 3, 0.5
+MIN_PAGES, SHARE, NEARLY = 3, 0.5, 0.9
 LONG, COPIES = 8, 8
 OTHERS = 3
+#: Where a subtree stands: in an article; elsewhere; long and no main text.
+IN_ARTICLE, ELSEWHERE, LONG_OUTSIDE = 0, 1, 2
 MAX_TEMPLATES = 200_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -210,21 +214,24 @@ class Page:
                     keep[first:end] = bytes(end - first)
         inside = bytearray(len(self.parts))
         wanted = [e for e in mains if e[0] == "article" and any(keep[e[1] : e[2]])] or [e for e in mains if any(keep[e[1] : e[2]])]
+        #: Whether the main text is what an article or main element holds.
+        self.in_article = bool(wanted)
         for e in wanted:
             inside[e[1] : e[2]] = b"\x01" * (e[2] - e[1])
         return bytearray(a & b for a, b in zip(keep, inside, strict=True)) if wanted else keep
 
     def subtrees(self, keep: bytearray) -> list[tuple[int, int, int, int]]:
-        """(hash, first, end, words) of the elements that have text. Short ones within the main text (``keep``) and
+        """(hash, first, end, place) of the elements that have text. Short ones within the main text (``keep``) and
         elsewhere differ."""
         clean = [" ".join(t.split()) for _, t in self.parts]
         found = []
         for tag, first, end, *_ in self.elements:
             body = "\x1f".join(x for x in clean[first:end] if x)
             if body:
-                words = body.count(" ") + body.count("\x1f") + 1
-                zone = "" if words >= LONG else "\x1e1" if any(keep[first:end]) else "\x1e0"
-                found.append((as_long(xxhash.xxh64_intdigest(f"{tag}\x1e{body}{zone}")), first, end, words))
+                long, main = body.count(" ") + body.count("\x1f") + 1 >= LONG, any(keep[first:end])
+                place = LONG_OUTSIDE if long and not main else IN_ARTICLE if main and self.in_article else ELSEWHERE
+                zone = "" if long else "\x1e1" if main else "\x1e0"
+                found.append((as_long(xxhash.xxh64_intdigest(f"{tag}\x1e{body}{zone}")), first, end, place))
         return found
 
     def text(self, keep: bytearray) -> str:
@@ -263,8 +270,8 @@ def others(page: Page, keep: bytearray) -> list[tuple[int, int]]:
 
 
 def hashed(pages: DataFrame) -> DataFrame:
-    """``host``, ``section``, ``subtree`` (hash), ``long`` (has LONG words) and, in PAGES, what tells pages apart: each
-    subtree of a page once, and the page."""
+    """``host``, ``section``, ``subtree`` (hash), ``place`` and, in PAGES, what tells pages apart: each subtree of a page
+    once in each place, and the page."""
 
     def run(batches):
         for batch in batches:
@@ -273,12 +280,12 @@ def hashed(pages: DataFrame) -> DataFrame:
                 page = Page(html.as_py() or "")
                 keep = page.kept()
                 blocks = others(page, keep)
-                rows.append((name, part, WHOLE, False, *([h for h, _ in blocks[:OTHERS]] + [None] * OTHERS)[:OTHERS]))
+                rows.append((name, part, WHOLE, IN_ARTICLE, *([h for h, _ in blocks[:OTHERS]] + [None] * OTHERS)[:OTHERS]))
                 done = set()
-                for h, first, end, words in page.subtrees(keep):
-                    if h in done:
+                for h, first, end, place in page.subtrees(keep):
+                    if (h, place) in done:
                         continue
-                    done.add(h)
+                    done.add((h, place))
                     rest, inside = [], {block for block, _ in page.parts[first:end]}
                     for other, block in blocks:
                         if block not in inside:
@@ -286,12 +293,12 @@ def hashed(pages: DataFrame) -> DataFrame:
                             if len(rest) == OTHERS:
                                 break
                     if rest:
-                        rows.append((name, part, h, words >= LONG, *rest, *[None] * (OTHERS - len(rest))))
+                        rows.append((name, part, h, place, *rest, *[None] * (OTHERS - len(rest))))
             columns = zip(*rows, strict=True) if rows else [()] * (4 + OTHERS)
-            names = ["host", "section", "subtree", "long", *PAGES]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if n == "long" else pa.int64()) for n, x in zip(names, columns, strict=True)], names=names)
+            names = ["host", "section", "subtree", "place", *PAGES]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "place" else pa.int64()) for n, x in zip(names, columns, strict=True)], names=names)
 
-    types = "host long, section long, subtree long, long boolean, " + ", ".join(f"{x} long" for x in PAGES)
+    types = "host long, section long, subtree long, place int, " + ", ".join(f"{x} long" for x in PAGES)
     path = f"{shared_folder(pages.sparkSession)}/subtrees-{uuid.uuid4().hex}"
     pages.select(host(), section(), "html").mapInArrow(run, types).write.parquet(path)
     return pages.sparkSession.read.schema(types).parquet(path)
@@ -306,25 +313,27 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     # Most subtrees are on too few pages of their host or section, whatever these are, and go before the wider rows are
     # shuffled: a count of rows is never below one of distinct pages.
     trees = rows.where(~is_page)
-    plain = trees.groupBy("host", "section", "subtree").agg(F.count("*").alias("n"), F.max("long").alias("long"))
+    plain = trees.groupBy("host", "section", "subtree", "place").agg(F.count("*").alias("n"))
     whole = F.lit(WHOLE).cast("long").alias("section")
-    plain = plain.unionByName(plain.groupBy("host", whole, "subtree").agg(F.sum("n").alias("n"), F.max("long").alias("long")))
+    plain = plain.unionByName(plain.groupBy("host", whole, "subtree", "place").agg(F.sum("n").alias("n")))
     many = plain.where(F.col("n") >= min_pages).join(sizes, ["host", "section"]).where(template(share)).select("host", "subtree").distinct()
     counts = counted(trees.join(bounded(many, MAX_TEMPLATES), ["host", "subtree"])).where(F.col("n") >= min_pages)
     return counts.join(sizes, ["host", "section"]).where(template(share)).select("host", "subtree").distinct()
 
 
 def template(share: float) -> Column:
-    """Whether a subtree (``n`` pages, ``long``) of a host's ``section`` with ``pages`` in all is template."""
-    return (F.col("n") >= share * F.col("pages")) | (F.col("long") & (F.col("section") == WHOLE) & (F.col("n") >= COPIES))
+    """Whether a subtree (in a ``place`` of ``n`` pages) of a host's ``section`` with ``pages`` in all is template."""
+    least = F.when(F.col("place") == IN_ARTICLE, max(share, NEARLY)).otherwise(share)
+    return (F.col("n") >= least * F.col("pages")) | ((F.col("place") == LONG_OUTSIDE) & (F.col("section") == WHOLE) & (F.col("n") >= COPIES))
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """``n``, the distinct pages of each ``host``, ``section`` (WHOLE: all) and ``subtree``, and whether it is ``long``."""
+    """``n``, the distinct pages of each ``host``, ``section`` (WHOLE: all), ``subtree`` and ``place``."""
+    by = ["host", "section", "subtree", "place"]
     rows = rows.withColumn("section", F.explode(F.array(F.lit(WHOLE).cast("long"), "section")))
-    told = rows.select("host", "section", "subtree", "long", F.posexplode(F.array(*PAGES)).alias("k", "page")).where("page IS NOT NULL")
-    counts = told.distinct().groupBy("host", "section", "subtree", "k").agg(F.count("*").alias("n"), F.max("long").alias("long"))
-    return counts.groupBy("host", "section", "subtree").agg(F.max("n").alias("n"), F.max("long").alias("long"))
+    told = rows.select(*by, F.posexplode(F.array(*PAGES)).alias("k", "page")).where("page IS NOT NULL")
+    counts = told.distinct().groupBy(*by, "k").agg(F.count("*").alias("n"))
+    return counts.groupBy(*by).agg(F.max("n").alias("n"))
 
 
 def listed(batches):
