@@ -5,7 +5,7 @@ whatever its names say) is hashed and counted over the distinct pages of a host,
 of the path). Pages are told apart by their main text outside the subtree: its longest, second and third longest block,
 and the greatest of the three counts holds. So copies of an article count once, also where they differ in a date, and a
 long notice doesn't hide a menu. What stands in an article or main element is the article's own, unless nearly all pages
-(``NEARLY``) of the host or section have it there. Elsewhere, also in pages without such an element, a subtree is template
+(``NEARLY``, ``COPIES`` at least) of the host or section have it there. Elsewhere, also in pages without such an element, a subtree is template
 from ``MIN_PAGES`` distinct pages and ``SHARE`` of those of its host or section on. One of ``LONG`` words or more that is
 no main text (in a footer, say) on ``COPIES`` distinct pages or more is template by that alone, however large the host,
 and goes wherever it stands; a shorter one, which may be a table's "yes" or a heading, goes only in the place where it is
@@ -323,8 +323,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
 def template(share: float) -> Column:
     """Whether a subtree (in a ``place`` of ``n`` pages) of a host's ``section`` with ``pages`` in all is template."""
-    least = F.when(F.col("place") == IN_ARTICLE, max(share, NEARLY)).otherwise(share)
-    return (F.col("n") >= least * F.col("pages")) | ((F.col("place") == LONG_OUTSIDE) & (F.col("section") == WHOLE) & (F.col("n") >= COPIES))
+    least = F.when(F.col("place") == IN_ARTICLE, F.greatest(F.lit(COPIES), max(share, NEARLY) * F.col("pages"))).otherwise(share * F.col("pages"))
+    return (F.col("n") >= least) | ((F.col("place") == LONG_OUTSIDE) & (F.col("section") == WHOLE) & (F.col("n") >= COPIES))
 
 
 def counted(rows: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def brute_templates(pages):
     for (name, s, h, place), by in told.items():
         n = max(map(len, by.values()))
         pages_of = max(len(x) for (host, part, _), x in sizes.items() if (host, part) == (name, s))
-        if n >= html.MIN_PAGES and n >= (html.NEARLY if place == html.IN_ARTICLE else html.SHARE) * pages_of or place == html.LONG_OUTSIDE and s == "" and n >= html.COPIES:
+        if n >= html.MIN_PAGES and n >= (max(html.COPIES, html.NEARLY * pages_of) if place == html.IN_ARTICLE else html.SHARE * pages_of) or place == html.LONG_OUTSIDE and s == "" and n >= html.COPIES:
             found.add((name, h))
     return found
 

@@ -109,6 +109,12 @@ def test_planted_passages(spark):
             assert x.cluster_doc_id in ids and x.removed == (x.doc_id != x.cluster_doc_id)
             piece = texts[x.doc_id][x.start : x.end].lower().split()
             assert len(piece) == x.n_words >= paragraphs.PASSAGE and " ".join(piece) in " ".join(passages[k])
+            assert x.paragraph == texts[x.doc_id][: x.start].count("\n")
+        # Each copy is to be removed from its first word to its last.
+        for i in ids[1:]:
+            spans = sorted((x.start, x.end) for x in got if x.doc_id == i and x.removed)
+            assert all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))  # noqa: B905
+            assert texts[i][spans[0][0] : max(e for _, e in spans)].lower().split() == passages[k]
 
 
 def test_anchors_are_the_least_of_each_run():
