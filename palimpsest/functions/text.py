@@ -17,9 +17,12 @@ PERSISTENT = ["fact:", "rule:", "preference:", "constraint:", "config:", "system
 PROTECTED = ["hermes:", "fact:", "prompt-", "mnemosyne:", "rule:", "preference:", "constraint:", "config:"]
 NOT_PII = ["token", "tokens", "token_budget", "tokenizer", "max_tokens", "shared_secret"]
 STEM_SUFFIXES = ["ach", "ami", "owi", "em", "om", "ow", "a", "e", "i", "o", "u"]
-PROTECTED_ROOTS = (
-    "node code cache base pipeline cookie zombie calorie movie rookie queue state engine scope table file rule mode core type gate route service database message trace interface profile storage source module time rate device price space phase case size line site side name guideline outline baseline timeline share software hardware client server cluster vector tensor"
-).split()
+PROTECTED_ROOTS = [
+    "node", "code", "cache", "base", "pipeline", "cookie", "zombie", "calorie", "movie", "rookie", "queue", "state", "engine", "scope", "table", "file",
+    "rule", "mode", "core", "type", "gate", "route", "service", "database", "message", "trace", "interface", "profile", "storage", "source", "module",
+    "time", "rate", "device", "price", "space", "phase", "case", "size", "line", "site", "side", "name", "guideline", "outline", "baseline", "timeline",
+    "share", "software", "hardware", "client", "server", "cluster", "vector", "tensor",
+]
 
 RULE_PREFIXES = ["rule:", "user_rule:", "user:rule:", "preference:", "constraint:"]
 
@@ -112,12 +115,15 @@ def session_accessible(effective: Column, requested: Column) -> Column:
     return F.when(effective.isNull() | (effective == "global"), True).when(own.isin("default", ""), wanted.isin("default", "")).otherwise((wanted != "") & (wanted == own))
 
 
+# Patterns of personal data and secrets.
+PII_MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+PII_NAMED = r"(?i)(?:\b|_)(api[-_\s]?key|password|client[-_\s]?secret|app[-_\s]?secret|bearer[-_\s]?token|secret[-_\s]?token|secret[-_\s]?key)(?:\b|_)"
+PII_ASSIGNED = r"(?i)\bsecret\s*(?:\b|_)?\s*[:=]\s*\S"
+
+
 def is_pii(text: Column) -> Column:
     low = F.lower(F.trim(text))
-    mail = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-    named = r"(?i)(?:\b|_)(api[-_\s]?key|password|client[-_\s]?secret|app[-_\s]?secret|bearer[-_\s]?token|secret[-_\s]?token|secret[-_\s]?key)(?:\b|_)"
-    assigned = r"(?i)\bsecret\s*(?:\b|_)?\s*[:=]\s*\S"
-    found = F.regexp_like(text, F.lit(mail)) | F.regexp_like(text, F.lit(named)) | F.regexp_like(text, F.lit(assigned))
+    found = F.regexp_like(text, F.lit(PII_MAIL)) | F.regexp_like(text, F.lit(PII_NAMED)) | F.regexp_like(text, F.lit(PII_ASSIGNED))
     return F.when(text.isNull() | (text == "") | low.isin(NOT_PII), False).otherwise((low == "secret") | found)
 
 

@@ -194,9 +194,9 @@ def arbitrated(pairs: DataFrame, margin: float = 0.05) -> DataFrame:
 
 
 def compacted(turns: DataFrame, every: int = 8, shown: int = 4) -> DataFrame:
-    """Windows of ``every`` turns: their first lines and how many are left out."""
+    """Windows of ``every`` turns: the first ``shown`` of them, whole, and how many more there are."""
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    df = turns.withColumn("window", F.floor(n / every)).withColumn("_line", F.substring("text", 1, 80))
+    df = turns.withColumn("window", F.floor(n / every)).withColumn("_line", F.col("text"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "_line"))), lambda x: x["_line"])
     out = df.groupBy("conv_id", "window").agg(lines.alias("lines"))
     return out.select("conv_id", "window", F.array_join(F.slice("lines", 1, shown), "\n").alias("summary"), F.greatest(F.size("lines") - shown, F.lit(0)).alias("omitted"))

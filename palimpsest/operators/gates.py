@@ -11,18 +11,32 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import is_pii, starts_with_any, stem
 
 # Words that are no entities, questions and particles that are no subjects, and stems of such.
-NOISE_ENTITIES = (
-    "w z na do i o to nie się sie jest być byc dla oraz ale jak jaki jaka jakie gdzie kiedy czy że ze co po za od przez przy nad pod przed przecież przeciez ale_jak ma mam masz mają ten ta te tym tego tej tych tylko już juz jeszcze bardzo "
-    "fact working working_fact stated_memory episodic_event canonical_spec set is_set implemented is_implemented true false none null user assistant conversation default unknown test ok"
-).split()
-NOISE_TOKENS = (
-    "cztli czyli albo poniewaz ponieważ jakby oraz lecz wiec więc zeby żeby jezeli jeżeli jesli jeśli gdy wtedy dlaczego kiedy gdzie skad skąd dokad dokąd jak co kto czy oto otoz otóż takze także rowniez również chociaz chociaż choc choć jednak natomiast zatem przeciez przecież chyba moze może raczej tam tu tutaj teraz bądź badz ani zarówno zarowno aczkolwiek wszakże wszakze "
-    "which what where when why how who whom whose that this these those then than thus also and or but so because although since unless either neither nor if whether well actually basically"
-).split()
-QUESTION_WORDS = (
-    "jest są był była było byli będzie będą być gdzie kiedy dlaczego skąd dokąd jaki jaka jakie jakiego jakiej jakim jakich który która które którego czy oraz albo więc żeby gdyby gdybyś jeśli jeżeli mój moja moje moich moim twój twoja twoje twoich nasz nasza nasze naszych swój swoje swoich pamiętasz pamiętam wiadomo wiesz powiedz opisz wyjaśnij podaj pokaż znajdź sprawdź odnośnie dotyczące dotyczą kwestii temat ustalenia notatkach notatek"
-).split()
-QUESTION_STEMS = "bic gdzi kied dlacz skad jak ktor gdibi jesl moj twoj nasz swoj wiado wiedz powie opic wyjas nie czy cz obecni wart ktori ktory z".split()
+NOISE_ENTITIES = [
+    "w", "z", "na", "do", "i", "o", "to", "nie", "się", "sie", "jest", "być", "byc", "dla", "oraz", "ale", "jak", "jaki", "jaka", "jakie", "gdzie",
+    "kiedy", "czy", "że", "ze", "co", "po", "za", "od", "przez", "przy", "nad", "pod", "przed", "przecież", "przeciez", "ale_jak", "ma", "mam", "masz",
+    "mają", "ten", "ta", "te", "tym", "tego", "tej", "tych", "tylko", "już", "juz", "jeszcze", "bardzo", "fact", "working", "working_fact",
+    "stated_memory", "episodic_event", "canonical_spec", "set", "is_set", "implemented", "is_implemented", "true", "false", "none", "null", "user",
+    "assistant", "conversation", "default", "unknown", "test", "ok",
+]
+NOISE_TOKENS = [
+    "cztli", "czyli", "albo", "poniewaz", "ponieważ", "jakby", "oraz", "lecz", "wiec", "więc", "zeby", "żeby", "jezeli", "jeżeli", "jesli", "jeśli",
+    "gdy", "wtedy", "dlaczego", "kiedy", "gdzie", "skad", "skąd", "dokad", "dokąd", "jak", "co", "kto", "czy", "oto", "otoz", "otóż", "takze", "także",
+    "rowniez", "również", "chociaz", "chociaż", "choc", "choć", "jednak", "natomiast", "zatem", "przeciez", "przecież", "chyba", "moze", "może", "raczej",
+    "tam", "tu", "tutaj", "teraz", "bądź", "badz", "ani", "zarówno", "zarowno", "aczkolwiek", "wszakże", "wszakze", "which", "what", "where", "when",
+    "why", "how", "who", "whom", "whose", "that", "this", "these", "those", "then", "than", "thus", "also", "and", "or", "but", "so", "because",
+    "although", "since", "unless", "either", "neither", "nor", "if", "whether", "well", "actually", "basically",
+]
+QUESTION_WORDS = [
+    "jest", "są", "był", "była", "było", "byli", "będzie", "będą", "być", "gdzie", "kiedy", "dlaczego", "skąd", "dokąd", "jaki", "jaka", "jakie",
+    "jakiego", "jakiej", "jakim", "jakich", "który", "która", "które", "którego", "czy", "oraz", "albo", "więc", "żeby", "gdyby", "gdybyś", "jeśli",
+    "jeżeli", "mój", "moja", "moje", "moich", "moim", "twój", "twoja", "twoje", "twoich", "nasz", "nasza", "nasze", "naszych", "swój", "swoje", "swoich",
+    "pamiętasz", "pamiętam", "wiadomo", "wiesz", "powiedz", "opisz", "wyjaśnij", "podaj", "pokaż", "znajdź", "sprawdź", "odnośnie", "dotyczące",
+    "dotyczą", "kwestii", "temat", "ustalenia", "notatkach", "notatek",
+]
+QUESTION_STEMS = [
+    "bic", "gdzi", "kied", "dlacz", "skad", "jak", "ktor", "gdibi", "jesl", "moj", "twoj", "nasz", "swoj", "wiado", "wiedz", "powie", "opic", "wyjas",
+    "nie", "czy", "cz", "obecni", "wart", "ktori", "ktory", "z",
+]
 PROSE_PREDICATES = ["stated_memory", "raw_content", "documentation", "source_doc"]
 BARE_ANSWERS = ["nie", "tak", "no", "yes", "true", "false", "ok"]
 CONTROL_PREFIXES = ["sys:", "lock:", "checkpoint:"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
 from palimpsest.functions.text import authority, estimated_tokens, is_rule, stem, tokens
-from palimpsest.operators.steps import counted, materialised
+from palimpsest.operators.steps import counted, materialised, numbered
 
 SYSTEM_PREFIXES = ["[important: background process", "[system:", "<system_message>", "<system-reminder>", "[message] timestamp="]
 THRESHOLD_SYMBOLIC, THRESHOLD_PROSE, THRESHOLD_GRAPH = 0.50, 0.25, 0.20
@@ -139,10 +139,12 @@ def epistemic_rank(records: DataFrame, threshold: float) -> DataFrame:
     return records.withColumn("rank_score", F.round(F.coalesce(F.col("score") * F.when(weak, 0.40).otherwise(1.0), F.lit(0.0)), 6))
 
 
-def cache_prefix(facts: DataFrame, kinds: Column) -> DataFrame:
-    """The stable head of a prompt: rules, state and entities, each sorted by key, one line a record."""
-    lines = facts.select(kinds.alias("kind"), "key", F.concat("key", F.lit("="), F.substring("value", 1, 80)).alias("line")).where("kind is not null")
-    return lines.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n").alias("block"))
+def cache_prefix(facts: DataFrame, kinds: Column, lines_a_part: int = 100) -> DataFrame:
+    """The stable head of a prompt: rules, state and entities, each sorted by key, one line a record, in numbered parts:
+    ``kind``, ``part``, ``block``. A kind of any size is rendered part by part, no task holds more."""
+    lines = facts.select(kinds.alias("kind"), "key", F.concat("key", F.lit("="), F.coalesce("value", F.lit(""))).alias("line")).where("kind is not null")
+    parts = numbered(lines, "kind", ["key"]).withColumn("part", F.expr(f"_rank DIV {lines_a_part}"))
+    return parts.groupBy("kind", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "line"))), lambda x: x["line"]), "\n").alias("block"))
 
 
 def median_margin(scored: DataFrame) -> DataFrame:

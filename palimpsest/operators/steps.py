@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a side that travels to all executors; beyond, the same join is shuffled.
@@ -32,3 +32,17 @@ def counted(small: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
     """``small`` materialised, with a broadcast hint if it has at most ``rows`` rows."""
     small = materialised(small)
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df``, materialised, with ``_rank``: its place from 0 in its ``group`` by ``order``. Rows are dealt by ranges of
+    both and counted per part, so a group of any size is numbered without meeting in one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
+    # A row's place in its sorted partition is what the generated id counts.
+    at = materialised(at.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = at.groupBy(group, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
+    found = at.join(counted(base), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return found.withColumn("_rank", F.col("_place") + F.col("_base")).drop("_part", "_place", "_base", "_group", "_of")

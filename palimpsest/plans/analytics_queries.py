@@ -185,7 +185,7 @@ def precision_arbitration(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH n AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 8 AS w FROM conversations), m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, w ORDER BY turn) AS i FROM n)
-SELECT conv_id, w AS "window", string_agg(left(text, 80), chr(10) ORDER BY turn) FILTER (i <= 4) AS summary, CAST(greatest(count(*) - 4, 0) AS INTEGER) AS omitted FROM m GROUP BY 1, 2"""
+SELECT conv_id, w AS "window", string_agg(text, chr(10) ORDER BY turn) FILTER (i <= 4) AS summary, CAST(greatest(count(*) - 4, 0) AS INTEGER) AS omitted FROM m GROUP BY 1, 2"""
 )
 def turn_compaction(spark: SparkSession, d: str) -> DataFrame:
     return analytics.compacted(tables.read(spark, d, "conversations").select("conv_id", "turn", "text"))

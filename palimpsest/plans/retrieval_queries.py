@@ -36,12 +36,16 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COST = "CAST(greatest(1, ceil((length(key) + least(length(value), 1200) + 5) / 3.5e0) + 1) AS BIGINT)"
-_PACKED = f"{_TOP}, packed AS (SELECT query_id, key, value, rank, {_COST} AS cost, CAST(sum({_COST}) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS spent FROM top JOIN facts USING (key) WHERE rank <= 40)"
+_PACKED = f"{_TOP}, packed AS (SELECT query_id, key, value, rank, {_COST} AS cost, CAST(sum({_COST}) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS spent FROM top JOIN facts USING (key))"
+
+
+BUDGET = 1500
 
 
 def packed(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieval.top_k(scored(spark, d), "raw_bm25", 40)
-    return retrieval.within_budget(top.join(tables.facts(spark, d).select("key", "value"), "key"), 1500)
+    # A record costs three tokens or more, so none beyond this rank fits.
+    top = retrieval.top_k(scored(spark, d), "raw_bm25", BUDGET // 3)
+    return retrieval.within_budget(top.join(tables.facts(spark, d).select("key", "value"), "key"), BUDGET)
 
 
 @query(with_tables(f"{_PACKED} SELECT query_id, key, cost, spent FROM packed WHERE spent <= 1500", "facts", "questions"))
@@ -62,7 +66,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Lexical candidates with made-up dense and graph scores, so that every branch of the fusion is taken."""
     h = F.col("doc_id") * 7 + F.col("query_id") * 13
     facts = tables.facts(spark, d)
-    pool = retrieval.top_k(scored(spark, d), "raw_bm25", 60).join(facts, "key")
+    pool = scored(spark, d).join(facts, "key")
     vector = F.when(h % 3 == 0, 0.0).otherwise(h % 101 / 100.0)
     graph = F.when(h % 5 < 3, 0.0).otherwise(h % 97 / 100.0)
     return pool.withColumns({"vector_score": vector, "graph_score": graph, "symbolic": F.col("query_id") % 4 == 0, "trusted": F.col("matched") >= F.col("n_query") * 0.5})
@@ -100,11 +104,66 @@ fused AS (SELECT *, round(least(1e0, fs * (CASE WHEN starts_with(key, 'session:'
   + CASE WHEN auth >= 100 AND (vs >= 0.65e0 OR gs >= 0.7e0 OR (lex > 0 AND (vs > 0 OR gs > 0 OR trusted))) AND NOT (ung AND gs < 0.7e0) THEN 0.035e0 ELSE 0e0 END + 1e-9), 4) AS score FROM c9)"""
 _CANDIDATES = f"""{_TOP}, pool AS (
   SELECT l.query_id, l.key, l.n_query, l.matched, l.raw_bm25, l.lex, f.source_type, f.confidence, f.ts, f.value, f.doc_id * 7 + l.query_id * 13 AS h, l.query_id % 4 = 0 AS symbolic, l.matched >= l.n_query * 0.5e0 AS trusted
-  FROM top t JOIN lexical l ON t.query_id = l.query_id AND t.key = l.key JOIN facts f ON f.key = l.key WHERE rank <= 60),
+  FROM lexical l JOIN facts f ON f.key = l.key),
 c1 AS (SELECT *, CASE WHEN h % 3 = 0 THEN 0e0 ELSE (h % 101) / 100e0 END AS vs, CASE WHEN h % 5 < 3 THEN 0e0 ELSE (h % 97) / 100e0 END AS gs, CASE WHEN symbolic THEN 0.30e0 ELSE 0.35e0 END AS a FROM pool),
 {_CHAIN}"""
 
 
+_SEEDS = """facts_low AS (SELECT key, lower(value) AS body FROM facts),
+distinct_hits AS (SELECT query_id, key, count(*) AS found FROM hits GROUP BY 1, 2), n_terms AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
+seeded AS (SELECT h.query_id, h.key, found, n_terms, contains(body, phrase) AS holds, CASE WHEN trim(body) = phrase THEN 1e0 ELSE greatest(CASE WHEN contains(body, phrase) THEN 0.85e0 ELSE 0e0 END, CASE WHEN found >= 2 OR n_terms <= 2 THEN CAST(found AS DOUBLE) / n_terms ELSE 0e0 END) END AS s
+  FROM distinct_hits h JOIN n_terms USING (query_id) JOIN asked USING (query_id) JOIN facts_low USING (key)),
+seeds AS (SELECT query_id, key, round(s, 6) AS score FROM seeded WHERE round(s, 6) >= 0.34e0)"""
+
+
+@query(with_tables(f"WITH {_BM25}, {_SEEDS} SELECT * FROM seeds", "facts", "questions"))
+def passage_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.passage_seeds(tables.questions(spark, d), tables.facts(spark, d))
+
+
+_NEAR = """near AS (SELECT q.vec_id AS query_id, f.key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cos, f.doc_id
+  FROM embeddings q JOIN questions ON query_id = q.vec_id JOIN embeddings v ON v.vec_id <> q.vec_id JOIN facts f ON f.doc_id = v.vec_id),
+dense AS (SELECT query_id, key, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank FROM near QUALIFY rank <= 24)"""
+
+
+def dense(spark: SparkSession, d: str, k: int = 24) -> DataFrame:
+    """Per question the facts with the nearest vectors: a question's vector is that of its number."""
+    vectors = tables.read(spark, d, "embeddings")
+    asked = tables.questions(spark, d).join(vectors, F.col("query_id") == F.col("vec_id")).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
+    facts = tables.facts(spark, d).select("doc_id", "key")
+    known = vectors.join(facts.select("doc_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return analytics.dense_top_k(asked, known, k, -1.0).join(facts, F.col("id") == F.col("doc_id")).select("query_id", "key", F.col("cos").alias("score"))
+
+
+_REAL = f"""{_BM25}, {_SEEDS}, {_NEAR}, floor_ AS (SELECT query_id, key, cos FROM dense WHERE cos >= CASE WHEN query_id % 4 = 0 THEN 0.7e0 ELSE 0.35e0 END),
+names AS (SELECT query_id, key FROM lexical UNION SELECT query_id, key FROM floor_ UNION SELECT query_id, key FROM seeds),
+pool AS (SELECT n.query_id, n.key, len(a.q) AS n_query, coalesce(l.matched, 0) AS matched, coalesce(l.raw_bm25, 0e0) AS raw_bm25, coalesce(l.lex, 0e0) AS lex, f.source_type, f.confidence, f.ts, f.value, n.query_id % 4 = 0 AS symbolic,
+  coalesce(s.holds OR (n_terms = 1 AND found = 1) OR (n_terms >= 2 AND found >= 0.5e0 * n_terms), false) AS trusted, greatest(0e0, coalesce(v.cos, 0e0)) AS vs, coalesce(g.score, 0e0) AS gs, CASE WHEN n.query_id % 4 = 0 THEN 0.30e0 ELSE 0.35e0 END AS a
+  FROM names n JOIN asked a USING (query_id) JOIN facts f USING (key) LEFT JOIN lexical l USING (query_id, key) LEFT JOIN floor_ v USING (query_id, key) LEFT JOIN seeds g USING (query_id, key) LEFT JOIN seeded s USING (query_id, key)),
+c1 AS (SELECT * FROM pool), {_CHAIN}"""
+
+
+def recalled(spark: SparkSession, d: str) -> DataFrame:
+    """The union of lexical, dense and graph candidates with the scores of each channel (0 where it hasn't the fact)."""
+    questions, facts = tables.questions(spark, d), tables.facts(spark, d)
+    pairs = retrieval.matches(questions, facts)
+    lexical = retrieval.bm25(questions, facts, pairs).select("query_id", "key", "raw_bm25", "lex", "matched")
+    symbolic = F.col("query_id") % 4 == 0
+    near = retrieval.similarity_floor(dense(spark, d).withColumns({"symbolic": symbolic, "sparse": F.lit(False)})).select("query_id", "key", "score")
+    seeds = retrieval.passage_seeds(questions, facts, pairs)
+    pool = retrieval.merge_channels([("lexical", lexical.select("query_id", "key", F.col("lex").alias("score"))), ("vector", near), ("graph", seeds)]).drop("lexical_score")
+    told = pairs.select("query_id", "key", "n_terms", "found").join(retrieval.phrases(questions, facts, pairs), ["query_id", "key"], "left")
+    asked = questions.select("query_id", F.size(text.tokens(F.col("query"))).alias("n_query"))
+    rows = pool.join(lexical, ["query_id", "key"], "left").join(told, ["query_id", "key"], "left").join(asked, "query_id").join(facts, "key")
+    trust = retrieval.trusted(F.col("n_terms"), F.col("found"), F.col("equal").isNotNull(), F.lit("lexical"))
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("raw_bm25", "lex")}
+    return rows.withColumns({**zero, "matched": F.coalesce("matched", F.lit(0)), "trusted": F.coalesce(trust, F.lit(False)), "symbolic": symbolic, "vector_score": F.greatest(F.lit(0.0), F.col("vector_score"))})
+
+
+def recalled_scores(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fused(recalled(spark, d), tables.AS_OF)
+
+
 def fused(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fused(candidates(spark, d), tables.AS_OF)
 
@@ -119,7 +178,7 @@ _ASKED = "(SELECT query_id, query_id % 4 = 0 AS symbolic FROM questions)"
 
 @query(
     with_tables(
-        f"""{_CANDIDATES}, best AS (SELECT query_id, max(score) - 0.4e0 AS best, max(gs) AS graph FROM fused GROUP BY 1),
+        f"""WITH {_REAL}, best AS (SELECT query_id, max(score) - 0.4e0 AS best, max(gs) AS graph FROM fused GROUP BY 1),
 g AS (SELECT q.query_id, best, graph >= 0.7e0 AS strong, CASE WHEN symbolic THEN 0.5e0 ELSE 0.25e0 END AS base FROM {_ASKED} q LEFT JOIN best USING (query_id)),
 t AS (SELECT *, CASE WHEN strong THEN least(base, 0.2e0) ELSE base END AS threshold FROM g),
 r AS (SELECT *, CASE WHEN best IS NULL THEN 'empty_pool' WHEN best < threshold THEN 'below_threshold' WHEN strong AND best < base THEN 'graph_hit' ELSE 'accepted' END AS reason FROM t)
@@ -130,12 +189,12 @@ SELECT query_id, reason IN ('accepted', 'graph_hit') AS retrieve, reason, thresh
 )
 def retrieval_gate(spark: SparkSession, d: str) -> DataFrame:
     asked = tables.questions(spark, d).withColumn("symbolic", F.col("query_id") % 4 == 0)
-    return retrieval.gate(asked, fused(spark, d).withColumn("score", F.col("score") - 0.4))
+    return retrieval.gate(asked, recalled_scores(spark, d).withColumn("score", F.col("score") - 0.4))
 
 
 @query(
     with_tables(
-        f"""{_CANDIDATES}, e1 AS (SELECT *, sum(CASE WHEN score > 1e-6 THEN score END) OVER w AS total, sum(CASE WHEN score > 1e-6 THEN 1 ELSE 0 END) OVER w AS k, max(score) OVER w AS best FROM fused WINDOW w AS (PARTITION BY query_id)),
+        f"""WITH {_REAL}, e1 AS (SELECT *, sum(CASE WHEN score > 1e-6 THEN score END) OVER w AS total, sum(CASE WHEN score > 1e-6 THEN 1 ELSE 0 END) OVER w AS k, max(score) OVER w AS best FROM fused WINDOW w AS (PARTITION BY query_id)),
 e2 AS (SELECT *, -sum(CASE WHEN score > 1e-6 THEN score / total * ln(score / total) END) OVER (PARTITION BY query_id) / ln(CAST(k AS DOUBLE)) AS h0 FROM e1),
 e3 AS (SELECT *, CASE WHEN k < 2 THEN 0e0 ELSE least(1e0, greatest(0e0, h0)) END AS hh FROM e2),
 e4 AS (SELECT *, round(CASE WHEN k >= 4 THEN (1 - 3e0 / (k + 3)) * hh + 3e0 / (k + 3) * 0.5e0 ELSE hh END, 6) AS entropy FROM e3),
@@ -146,12 +205,12 @@ SELECT query_id, key, entropy, threshold FROM e5 WHERE score >= threshold AND (a
     )
 )
 def entropy_filter(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.entropy_filter(fused(spark, d)).select("query_id", "key", "entropy", "threshold")
+    return retrieval.entropy_filter(recalled_scores(spark, d)).select("query_id", "key", "entropy", "threshold")
 
 
 @query(
     with_tables(
-        f"""{_CANDIDATES}, r AS (SELECT query_id, key, vs, lex, trusted, row_number() OVER (PARTITION BY query_id ORDER BY vs DESC, key) AS rv, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, key) AS rl FROM c1)
+        f"""WITH {_REAL}, r AS (SELECT query_id, key, vs, lex, trusted, row_number() OVER (PARTITION BY query_id ORDER BY vs DESC, key) AS rv, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, key) AS rl FROM c1)
 SELECT query_id, key, round(CASE WHEN vs > 0 AND lex > 0 THEN 0.5e0 * (vs * (61e0 / (60 + rv)) + least(1e0, lex) * (61e0 / (60 + rl))) + 0.02e0 WHEN vs > 0 THEN vs * (61e0 / (60 + rv)) WHEN trusted THEN least(1e0, lex) * (61e0 / (60 + rl)) ELSE 0.15e0 * (least(1e0, lex) * (61e0 / (60 + rl))) END, 6) AS score FROM r""",
         "facts",
         "questions",
@@ -161,13 +220,13 @@ def rrf_score(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id")
-    ranked = candidates(spark, d).withColumns({"rv": F.row_number().over(w.orderBy(F.col("vector_score").desc(), "key")), "rl": F.row_number().over(w.orderBy(F.col("lex").desc(), "key"))})
+    ranked = recalled(spark, d).withColumns({"rv": F.row_number().over(w.orderBy(F.col("vector_score").desc(), "key")), "rl": F.row_number().over(w.orderBy(F.col("lex").desc(), "key"))})
     return ranked.select("query_id", "key", F.round(scoring.rrf(F.col("vector_score"), F.col("lex"), F.col("rv"), F.col("rl"), F.col("trusted")), 6).alias("score"))
 
 
 @query(
     with_tables(
-        f"""{_CANDIDATES}, k AS (SELECT *, CASE WHEN length(trim(value)) <= 16 OR len(regexp_split_to_array(trim(value), '\\s+')) <= 2 THEN key || '::' ELSE '' END || md5(lower(trim(regexp_replace(trim(value), '\\s+', ' ', 'g')))) AS fp FROM c9)
+        f"""WITH {_REAL}, k AS (SELECT *, CASE WHEN length(trim(value)) <= 16 OR len(regexp_split_to_array(trim(value), '\\s+')) <= 2 THEN key || '::' ELSE '' END || md5(lower(trim(regexp_replace(trim(value), '\\s+', ' ', 'g')))) AS fp FROM c9)
 SELECT query_id, key, max(vs) OVER w AS vector_score, max(gs) OVER w AS graph_score FROM k WINDOW w AS (PARTITION BY query_id, fp)
 QUALIFY row_number() OVER (PARTITION BY query_id, fp ORDER BY auth DESC, gs DESC, vs DESC, key) = 1""",
         "facts",
@@ -175,12 +234,12 @@ QUALIFY row_number() OVER (PARTITION BY query_id, fp ORDER BY auth DESC, gs DESC
     )
 )
 def candidate_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.deduplicated(candidates(spark, d).withColumn("pos", F.col("key"))).select("query_id", "key", "vector_score", "graph_score")
+    return retrieval.deduplicated(recalled(spark, d).withColumn("pos", F.col("key"))).select("query_id", "key", "vector_score", "graph_score")
 
 
 @query(
     with_tables(
-        f"""{_CANDIDATES}, ch AS (SELECT query_id, key, 'hot' AS n, 0 AS r, gs AS s FROM c1 WHERE gs > 0.5e0 UNION ALL SELECT query_id, key, 'kv', 1, lex FROM c1 WHERE lex > 0.3e0 UNION ALL SELECT query_id, key, 'vector', 2, vs FROM c1 WHERE vs > 0.2e0),
+        f"""WITH {_REAL}, ch AS (SELECT query_id, key, 'hot' AS n, 0 AS r, gs AS s FROM c1 WHERE gs > 0.5e0 UNION ALL SELECT query_id, key, 'kv', 1, lex FROM c1 WHERE lex > 0.3e0 UNION ALL SELECT query_id, key, 'vector', 2, vs FROM c1 WHERE vs > 0.2e0),
 m AS (SELECT query_id, key, arg_min(n, r) AS source, coalesce(max(s) FILTER (n = 'hot'), 0) AS hot_score, coalesce(max(s) FILTER (n = 'kv'), 0) AS kv_score, coalesce(max(s) FILTER (n = 'vector'), 0) AS vector_score FROM ch GROUP BY 1, 2)
 SELECT m.* FROM m JOIN facts f USING (key) WHERE NOT (f.doc_id % 11 = 0)""",
         "facts",
@@ -188,7 +247,7 @@ SELECT m.* FROM m JOIN facts f USING (key) WHERE NOT (f.doc_id % 11 = 0)""",
     )
 )
 def channel_merge(spark: SparkSession, d: str) -> DataFrame:
-    c = candidates(spark, d)
+    c = recalled(spark, d)
     channels = [(name, c.where(F.col(col) > least).select("query_id", "key", F.col(col).alias("score"))) for name, col, least in (("hot", "graph_score", 0.5), ("kv", "lex", 0.3), ("vector", "vector_score", 0.2))]
     store = tables.facts(spark, d).select("key", (F.col("doc_id") % 11 == 0).alias("superseded"))
     return retrieval.truth_gate(retrieval.merge_channels(channels), store)
@@ -234,60 +293,10 @@ def salience_decay(spark: SparkSession, d: str) -> DataFrame:
     return tables.facts(spark, d).withColumn("score", score).select("key", F.round("score", 6).alias("salience"), scoring.prunable(F.col("score"), F.col("importance"), F.col("doc_id") % 9 == 0).alias("prunable"))
 
 
-_SEEDS = """facts_low AS (SELECT key, lower(value) AS body FROM facts),
-distinct_hits AS (SELECT query_id, key, count(*) AS found FROM hits GROUP BY 1, 2), n_terms AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
-seeded AS (SELECT h.query_id, h.key, found, n_terms, contains(body, phrase) AS holds, CASE WHEN trim(body) = phrase THEN 1e0 ELSE greatest(CASE WHEN contains(body, phrase) THEN 0.85e0 ELSE 0e0 END, CASE WHEN found >= 2 OR n_terms <= 2 THEN CAST(found AS DOUBLE) / n_terms ELSE 0e0 END) END AS s
-  FROM distinct_hits h JOIN n_terms USING (query_id) JOIN asked USING (query_id) JOIN facts_low USING (key)),
-seeds AS (SELECT query_id, key, round(s, 6) AS score FROM seeded WHERE round(s, 6) >= 0.34e0)"""
-
-
-@query(with_tables(f"WITH {_BM25}, {_SEEDS} SELECT * FROM seeds", "facts", "questions"))
-def passage_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.passage_seeds(tables.questions(spark, d), tables.facts(spark, d))
-
-
-_NEAR = """near AS (SELECT q.vec_id AS query_id, f.key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS cos, f.doc_id
-  FROM embeddings q JOIN questions ON query_id = q.vec_id JOIN embeddings v ON v.vec_id <> q.vec_id JOIN facts f ON f.doc_id = v.vec_id),
-dense AS (SELECT query_id, key, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank FROM near QUALIFY rank <= 24)"""
-
-
-def dense(spark: SparkSession, d: str, k: int = 24) -> DataFrame:
-    """Per question the facts with the nearest vectors: a question's vector is that of its number."""
-    vectors = tables.read(spark, d, "embeddings")
-    asked = tables.questions(spark, d).join(vectors, F.col("query_id") == F.col("vec_id")).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
-    facts = tables.facts(spark, d).select("doc_id", "key")
-    known = vectors.join(facts.select("doc_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return analytics.dense_top_k(asked, known, k, -1.0).join(facts, F.col("id") == F.col("doc_id")).select("query_id", "key", F.col("cos").alias("score"))
-
-
-_REAL = f"""{_BM25}, {_SEEDS}, {_NEAR}, floor_ AS (SELECT query_id, key, cos FROM dense WHERE cos >= 0.35e0),
-names AS (SELECT query_id, key FROM lexical UNION SELECT query_id, key FROM floor_ UNION SELECT query_id, key FROM seeds),
-pool AS (SELECT n.query_id, n.key, len(a.q) AS n_query, coalesce(l.matched, 0) AS matched, coalesce(l.raw_bm25, 0e0) AS raw_bm25, coalesce(l.lex, 0e0) AS lex, f.source_type, f.confidence, f.ts, f.value, false AS symbolic,
-  coalesce(s.holds OR (n_terms = 1 AND found = 1) OR (n_terms >= 2 AND found >= 0.5e0 * n_terms), false) AS trusted, greatest(0e0, coalesce(v.cos, 0e0)) AS vs, coalesce(g.score, 0e0) AS gs, 0.35e0 AS a
-  FROM names n JOIN asked a USING (query_id) JOIN facts f USING (key) LEFT JOIN lexical l USING (query_id, key) LEFT JOIN floor_ v USING (query_id, key) LEFT JOIN seeds g USING (query_id, key) LEFT JOIN seeded s USING (query_id, key)),
-c1 AS (SELECT * FROM pool), {_CHAIN}"""
-
-
-def recalled(spark: SparkSession, d: str) -> DataFrame:
-    """The union of lexical, dense and graph candidates with the scores of each channel (0 where it hasn't the fact)."""
-    questions, facts = tables.questions(spark, d), tables.facts(spark, d)
-    pairs = retrieval.matches(questions, facts)
-    lexical = retrieval.bm25(questions, facts, pairs).select("query_id", "key", "raw_bm25", "lex", "matched")
-    near = retrieval.similarity_floor(dense(spark, d).withColumns({"symbolic": F.lit(False), "sparse": F.lit(False)})).select("query_id", "key", "score")
-    seeds = retrieval.passage_seeds(questions, facts, pairs)
-    pool = retrieval.merge_channels([("lexical", lexical.select("query_id", "key", F.col("lex").alias("score"))), ("vector", near), ("graph", seeds)]).drop("lexical_score")
-    told = pairs.select("query_id", "key", "n_terms", "found").join(retrieval.phrases(questions, facts, pairs), ["query_id", "key"], "left")
-    asked = questions.select("query_id", F.size(text.tokens(F.col("query"))).alias("n_query"))
-    rows = pool.join(lexical, ["query_id", "key"], "left").join(told, ["query_id", "key"], "left").join(asked, "query_id").join(facts, "key")
-    trust = retrieval.trusted(F.col("n_terms"), F.col("found"), F.col("equal").isNotNull(), F.lit("lexical"))
-    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("raw_bm25", "lex")}
-    return rows.withColumns({**zero, "matched": F.coalesce("matched", F.lit(0)), "trusted": F.coalesce(trust, F.lit(False)), "symbolic": F.lit(False), "vector_score": F.greatest(F.lit(0.0), F.col("vector_score"))})
-
-
 @query(with_tables(f"WITH {_REAL} SELECT query_id, key, score FROM fused", "facts", "questions"))
 def recall_score(spark: SparkSession, d: str) -> DataFrame:
     """The fused score over real channels: words, vectors and seeds of the graph."""
-    return retrieval.fused(recalled(spark, d), tables.AS_OF).select("query_id", "key", "score")
+    return recalled_scores(spark, d).select("query_id", "key", "score")
 
 
 @query(with_tables(f"WITH {_REAL} SELECT query_id, count(*) FILTER (vs > 0) AS vector, count(*) FILTER (vs <= 0 AND gs > 0) AS graph, 0 AS hot, count(*) FILTER (vs <= 0 AND gs <= 0) AS store, count(*) AS pool FROM pool GROUP BY 1", "facts", "questions"))
@@ -323,9 +332,9 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables(f"""WITH {_SPARSE}, {_NEAR}, b AS (SELECT query_id, key, cos AS score, 0 AS branch FROM dense UNION ALL SELECT query_id, key, score, 1 FROM sparse),
 w AS (SELECT *, avg(score) OVER q - 3 * stddev_pop(score) OVER q AS lo, avg(score) OVER q + 3 * stddev_pop(score) OVER q AS hi FROM b WINDOW q AS (PARTITION BY query_id, branch)),
 t AS (SELECT query_id, key, round(sum(CASE WHEN hi > lo THEN greatest(0e0, least(1e0, (score - lo) / (hi - lo))) ELSE 0.5e0 END), 6) AS score, count(*) AS branches FROM w GROUP BY 1, 2)
-SELECT query_id, branches, score FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 10""", "facts", "questions"))
+SELECT query_id, key, branches, score FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 10""", "facts", "questions"))
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_branches([dense(spark, d), sparse(spark, d)], 10).select("query_id", "branches", "score")
+    return retrieval.fused_branches([dense(spark, d), sparse(spark, d)], 10).select("query_id", "key", "branches", "score")
 
 
 @query(with_tables("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 4 = 1 THEN 's' || doc_id WHEN doc_id % 4 = 2 THEN regexp_replace(key, '^kv:', '') ELSE 'x' END AS key FROM facts", "facts"))
@@ -335,11 +344,18 @@ def hit_keys(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.normalised_hits(hits).select("doc_id", "key")
 
 
-@query(with_tables("SELECT CASE WHEN starts_with(key, 'rule:') THEN 'rules' WHEN starts_with(key, 'fact:') THEN 'state' WHEN starts_with(key, 'hermes:') THEN 'entities' END AS kind, string_agg(key || '=' || left(value, 80), chr(10) ORDER BY key) AS block FROM facts WHERE doc_id % 10 < 3 AND regexp_matches(key, '^(rule|fact|hermes):') GROUP BY 1", "facts"))
+@query(
+    with_tables(
+        """WITH k AS (SELECT CASE WHEN starts_with(key, 'rule:') THEN 'rules' WHEN starts_with(key, 'fact:') THEN 'state' WHEN starts_with(key, 'hermes:') THEN 'entities' END AS kind, key, value FROM facts),
+n AS (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY key) - 1) // 100 AS part FROM k WHERE kind IS NOT NULL)
+SELECT kind, part, string_agg(key || '=' || coalesce(value, ''), chr(10) ORDER BY key) AS block FROM n GROUP BY 1, 2""",
+        "facts",
+    )
+)
 def cache_prefix(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("key")
     kinds = F.when(key.startswith("rule:"), "rules").when(key.startswith("fact:"), "state").when(key.startswith("hermes:"), "entities")
-    return retrieval.cache_prefix(tables.facts(spark, d).where("doc_id % 10 < 3"), kinds)
+    return retrieval.cache_prefix(tables.facts(spark, d), kinds)
 
 
 @query(with_tables("SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 0e0 ELSE importance * CASE WHEN confidence < 0.7e0 AND doc_id % 3 = 0 THEN 0.4e0 ELSE 1e0 END END, 6) AS rank_score, CASE WHEN doc_id % 2 = 0 AND doc_id % 7 > 0 THEN 0.5e0 ELSE (doc_id % 7) / 10e0 END AS graph_score FROM facts", "facts"))
