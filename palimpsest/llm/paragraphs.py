@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NULL_ID, as_long, bounded, connected_components, identified, materialise, partitions, shared_folder, union_all
+from palimpsest.llm.common import NULL_ID, bounded, connected_components, identified, materialise, partitions, shared_folder, union_all
 
 SHINGLE = 5
 LINE, WINDOW = 0, 1
@@ -317,47 +317,48 @@ def members(docs: DataFrame) -> DataFrame:
 
 def beside(batches):
     """What stands beside the windows listed with each text: left of those of side 0, right of those of side 1, the next
-    SPREAD - 1 words outward, each with a hash of all words so far, where it begins or ends, and its line."""
-    names = ["rid", "tag", "side", "at", "hashes", "points", "lines"]
+    SPREAD - 1 words outward, as hashes of all words so far; of own windows also where each begins or ends, and its line."""
+    names = ["node", "side", "own", "rid", "tag", "at", "hashes", "points", "lines"]
     for batch in batches:
         rows = []
         for rid, tag, value, listed in zip(batch.column("rid").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), batch.column("listed"), strict=True):
             w = Words(value.as_py() or "")
             for x in listed.as_py():
                 k = int(np.searchsorted(w.start, x["at"]))
-                here = range(k - 1, max(-1, k - SPREAD), -1) if x["side"] == 0 else range(k + PASSAGE, min(len(w.words), k + PASSAGE + SPREAD - 1))
+                here = list(range(k - 1, max(-1, k - SPREAD), -1) if x["side"] == 0 else range(k + PASSAGE, min(len(w.words), k + PASSAGE + SPREAD - 1)))
                 digest, hashes = xxhash.xxh3_64(), []
                 for i in here:
                     digest.update(w.words[i] + b" ")
-                    hashes.append(as_long(digest.intdigest()))
-                here = list(here)
-                rows.append((rid, tag, x["side"], x["at"], hashes, (w.end if x["side"] else w.start)[here].tolist(), w.line[here].tolist()))
-        columns = zip(*rows, strict=True) if rows else [()] * 7
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    hashes.append((digest.intdigest() & 0xFFFFFFFF) - 0x80000000)
+                points, lines = ((w.end if x["side"] else w.start)[here].tolist(), w.line[here].tolist()) if x["own"] else (None, None)
+                rows.append((x["node"], x["side"], x["own"], rid, tag, x["at"], hashes, points, lines))
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def widened(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """``passages`` that are to be removed, word by word as long as the first of their cluster goes on alike.
 
-    An end of what two texts have in common is at most SPREAD - 1 words from its last window, so these are all."""
+    An end of what two texts have in common is at most SPREAD - 1 words from its last window, so these are all. Words are
+    compared by 32 bits of a hash of all so far. The window at an end, its node, leads to the first that has it."""
     ends = ((0, "head"), (1, "tail"))
-    asked = [passages.select("rid", "tag", F.lit(side).alias("side"), F.col(f"{name}.start").cast("long").alias("at")) for side, name in ends]
-    asked += [passages.select(F.col(f"{name}.first.rid").alias("rid"), F.col(f"{name}.first.tag").alias("tag"), F.lit(side).alias("side"), F.col(f"{name}.first.start").cast("long").alias("at")) for side, name in ends]
-    listed = union_all(asked).distinct().groupBy("rid", "tag").agg(F.collect_list(F.struct("side", "at")).alias("listed"))
+    own = union_all([passages.select("rid", "tag", F.lit(side).alias("side"), F.col(f"{name}.start").alias("at"), F.col(f"{name}.node").alias("node"), F.lit(True).alias("own")) for side, name in ends])
+    first = union_all([passages.select(F.col(f"{name}.first.rid").alias("rid"), F.col(f"{name}.first.tag").alias("tag"), F.lit(side).alias("side"), F.col(f"{name}.first.start").alias("at"), F.col(f"{name}.node").alias("node"), F.lit(False).alias("own")) for side, name in ends])
+    listed = own.unionByName(first.distinct()).groupBy("rid", "tag").agg(F.collect_list(F.struct("node", "side", "own", "at")).alias("listed"))
     found = texts.join(bounded(listed, MAX_BROADCAST), ["rid", "tag"]).select("rid", "tag", "text", "listed")
-    found = materialise(found.mapInArrow(beside, "rid long, tag long, side int, at long, hashes array<bigint>, points array<bigint>, lines array<bigint>").dropDuplicates(["rid", "tag", "side", "at"]))
-    out = passages
-    for side, name in ends:
-        part = found.where(F.col("side") == side)
-        own = part.select("rid", "tag", F.col("at").alias("_at"), F.col("hashes").alias("_own"), F.col("points").alias(f"_points{side}"), F.col("lines").alias(f"_lines{side}"))
-        other = part.select(F.col("rid").alias("_rid"), F.col("tag").alias("_tag"), F.col("at").alias("_there"), F.col("hashes").alias("_other"))
-        out = out.withColumns({"_at": F.col(f"{name}.start").cast("long"), "_rid": F.col(f"{name}.first.rid"), "_tag": F.col(f"{name}.first.tag"), "_there": F.col(f"{name}.first.start").cast("long")})
-        out = out.join(own, ["rid", "tag", "_at"], "left").join(other, ["_rid", "_tag", "_there"], "left")
-        alike = F.size(F.filter(F.zip_with("_own", "_other", lambda x, y: x == y), lambda x: x))
-        out = out.withColumn(f"_more{side}", F.coalesce(F.greatest(alike, F.lit(0)), F.lit(0))).drop("_at", "_rid", "_tag", "_there", "_own", "_other")
-    moved = lambda what, side, old: F.coalesce(F.get(f"_{what}{side}", F.col(f"_more{side}") - 1), F.col(old))
-    return out.withColumns({"start": moved("points", 0, "start").cast("int"), "end": moved("points", 1, "end").cast("int"), "paragraph": moved("lines", 0, "paragraph").cast("int"), "n_words": F.col("n_words") + F.col("_more0") + F.col("_more1")}).select(passages.columns)
+    found = materialise(found.mapInArrow(beside, "node long, side int, own boolean, rid long, tag long, at int, hashes array<int>, points array<int>, lines array<int>"))
+    other = found.where(~F.col("own")).select("node", "side", F.col("hashes").alias("other"))
+    alike = F.size(F.filter(F.zip_with("hashes", "other", lambda x, y: x == y), lambda x: x))
+    more = found.where("own").join(other, ["node", "side"]).withColumn("more", alike).where("more > 0")
+    more = more.select("rid", "tag", "side", "at", "more", F.get("points", F.col("more") - 1).alias("point"), F.get("lines", F.col("more") - 1).alias("line"))
+    # Rows equal in id and text were read, and answered, more than once.
+    more = materialise(more.dropDuplicates(["rid", "tag", "side", "at"]))
+    left = more.where("side = 0").select("rid", "tag", F.col("at").alias("_head"), F.col("more").alias("_more0"), F.col("point").alias("_point0"), F.col("line").alias("_line0"))
+    right = more.where("side = 1").select("rid", "tag", F.col("at").alias("_tail"), F.col("more").alias("_more1"), F.col("point").alias("_point1"))
+    out = passages.withColumns({"_head": F.col("head.start"), "_tail": F.col("tail.start")}).join(left, ["rid", "tag", "_head"], "left").join(right, ["rid", "tag", "_tail"], "left")
+    n_words = F.col("n_words") + F.coalesce("_more0", F.lit(0)) + F.coalesce("_more1", F.lit(0))
+    return out.withColumns({"start": F.coalesce("_point0", "start"), "end": F.coalesce("_point1", "end"), "paragraph": F.coalesce("_line0", "paragraph"), "n_words": n_words}).select(passages.columns)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -368,11 +369,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     lines = rows.where(F.col("kind") == LINE).select("kind", "rid", "tag", "paragraph", "start", "end", "n_words", "first", "removed").distinct()
     ordered = Window.partitionBy("rid", "tag").orderBy("start")
     goes = F.struct("removed", "first.rid", "first.tag")
-    windows = rows.where(F.col("kind") == WINDOW).select("kind", "rid", "tag", "paragraph", "word", "start", "end", "n_words", "first", "removed").distinct()
+    windows = rows.where(F.col("kind") == WINDOW).select("kind", "node", "rid", "tag", "paragraph", "word", "start", "end", "n_words", "first", "removed").distinct()
     new = F.coalesce((F.lag("end").over(ordered) < F.col("start")) | (F.lag(goes).over(ordered) != goes), F.lit(True))
     windows = windows.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(ordered))
     n_words = (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words")
-    at = F.struct("word", "start", "first")
+    at = F.struct("word", "start", "node", "first")
     passages = windows.groupBy("kind", "rid", "tag", "island").agg(
         F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"), n_words, F.min("first").alias("first"), F.max("removed").alias("removed"), F.min(at).alias("head"), F.max(at).alias("tail")).drop("island")
     passages = materialise(passages)
