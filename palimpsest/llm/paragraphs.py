@@ -23,6 +23,7 @@ extra columns aren't read.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -47,6 +48,7 @@ REMEMBERED = 500_000
 #: Rows of a partition that a task holds at once, and nodes with so many paragraphs that they are joined by themselves.
 AT_ONCE, HOT = 1_000_000, 10_000
 MAX_BROADCAST = 200_000
+WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
 def constants() -> tuple[np.ndarray, np.ndarray]:
@@ -315,6 +317,19 @@ def members(docs: DataFrame) -> DataFrame:
     return out.withColumn("removed", place != F.col("first"))
 
 
+def outward(text: str, at: int, side: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, lower-cased word) of the SPREAD - 1 words outward of the window that begins at ``at``, nearest first."""
+    n, size = SPREAD - 1 + (PASSAGE if side else 0), 512
+    while True:
+        first, last = (at, min(len(text), at + size)) if side else (max(0, at - size), at)
+        found = list(WORD.finditer(text, first, last))
+        # A word at the chunk's far end may be cut, unless the text ends there.
+        found = found[: len(found) - (last < len(text))] if side else found[first > 0 :][::-1]
+        if len(found) >= n or (last == len(text) if side else first == 0):
+            return [(m.start(), m.end(), m[0].encode().lower()) for m in found[PASSAGE if side else 0 : n]]
+        size *= 4
+
+
 def beside(batches):
     """What stands beside the windows listed with each text: left of those of side 0, right of those of side 1, the next
     SPREAD - 1 words outward, as hashes of all words so far; of own windows also where each begins or ends, and its line."""
@@ -322,16 +337,20 @@ def beside(batches):
     for batch in batches:
         rows = []
         for rid, tag, value, listed in zip(batch.column("rid").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), batch.column("listed"), strict=True):
-            w = Words(value.as_py() or "")
+            text = value.as_py() or ""
             for x in listed.as_py():
-                k = int(np.searchsorted(w.start, x["at"]))
-                here = list(range(k - 1, max(-1, k - SPREAD), -1) if x["side"] == 0 else range(k + PASSAGE, min(len(w.words), k + PASSAGE + SPREAD - 1)))
+                side, at = x["side"], x["at"]
+                words = outward(text, at, side)
                 digest, hashes = xxhash.xxh3_64(), []
-                for i in here:
-                    digest.update(w.words[i] + b" ")
+                for _, _, word in words:
+                    digest.update(word + b" ")
                     hashes.append((digest.intdigest() & 0xFFFFFFFF) - 0x80000000)
-                points, lines = ((w.end if x["side"] else w.start)[here].tolist(), w.line[here].tolist()) if x["own"] else (None, None)
-                rows.append((x["node"], x["side"], x["own"], rid, tag, x["at"], hashes, points, lines))
+                points = [end if side else start for start, end, _ in words] if x["own"] else None
+                lines = None
+                if x["own"] and side == 0:
+                    line = text.count("\n", 0, at)
+                    lines = [line - text.count("\n", start, at) for start, _, _ in words]
+                rows.append((x["node"], side, x["own"], rid, tag, at, hashes, points, lines))
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
         types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
