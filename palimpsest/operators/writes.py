@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import PROTECTED, starts_with_any, tokens
 from palimpsest.operators.arbitration import root
+from palimpsest.operators.conflicts import arbitrated, conflicts
 from palimpsest.operators.gates import discourse_subject, grounding, speech_act, valid_entity
-from palimpsest.operators.steps import counted
+from palimpsest.operators.steps import counted, materialised
 from palimpsest.operators.store import beginnings
 
 FUNCTIONAL_PREDICATE = r"^(is_|has_)|(^|_)(status|state|version|port)(_|$)"
@@ -44,23 +45,27 @@ def conflict_candidates(incoming: DataFrame, stored: DataFrame, terms: int = 6,
 
 
 def writes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """What becomes of each incoming claim (id, subject, predicate, object, confidence, source): the first gate that stops
-    it, or accept, supersede, warn_conflict or replay. ``stored`` has key, value and confidence."""
-    key = F.concat_ws(":", F.lit("fact"), "subject", "predicate")
-    rows = incoming.withColumn("key", key).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan("confidence"), 0.0).otherwise(F.col("confidence")))))
-    rows = rows.join(stored.select("key", F.col("value").alias("_old"), F.col("confidence").alias("_conf")), "key", "left")
-    act, why = speech_act(F.col("subject"), F.col("predicate"), F.col("object")), grounding(F.col("subject"), F.col("object"), F.col("predicate") != "")
-    user = (F.col("source") == "user_explicit") & (F.col("confidence") >= F.col("_conf"))
-    action = (
+    """What becomes of each incoming record: in_key, action, and of a conflict that decides its key, reason and score.
+
+    Questions and talk about them are no assertions, names that are noise aren't grounded, and a value that its key has
+    already is a replay. What passes is clamped in confidence and arbitrated with the stored records that may contradict
+    it: accept, supersede or warn_conflict. ``incoming``: in_key, in_value, in_predicate, in_confidence, in_source and
+    supersedes; ``stored``: key, value, confidence, source, critical. Keys are unique on either side.
+    """
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan("in_confidence"), 0.0).otherwise(F.col("in_confidence"))))
+    rows = incoming.withColumn("in_confidence", sure).join(stored.select(F.col("key").alias("in_key"), F.col("value").alias("_old")), "in_key", "left")
+    act, why = speech_act(F.col("in_key"), F.col("in_predicate"), F.col("in_value")), grounding(F.col("in_key"), F.col("in_value"), F.col("in_predicate") != "")
+    stopped = (
         F.when(act == "conversational_turn", "not_an_assertion")
         .when(~why.isin("grounded", "namespaced_entity"), "ungrounded")
-        .when(F.col("_old").isNull(), "accept")
-        .when(F.lower(F.trim("_old")) == F.lower(F.trim("object")), "replay")
-        .when(user, "supersede")
-        .when(F.col("confidence") < F.col("_conf"), "warn_conflict")
-        .otherwise("accept")
+        .when(F.lower(F.trim("_old")) == F.lower(F.trim("in_value")), "replay")
     )
-    return rows.withColumn("action", action).drop("_old", "_conf")
+    rows = materialised(rows.withColumn("action", stopped).drop("_old"))
+    passed = rows.where("action IS NULL").drop("action")
+    found = conflicts(passed, stored, conflict_candidates(passed.select("in_key", "in_value"), stored))
+    settled = arbitrated(passed, found).select("in_key", "action", "key", "reason", "score")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("reason", "string"), ("score", "double"))]
+    return rows.where("action IS NOT NULL").select("in_key", "action", *nothing).unionByName(settled)
 
 
 def superseded(stored: DataFrame, losers: DataFrame, at: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import writes
 from palimpsest.operators.steps import shared_folder
 from palimpsest.plans import tables
-from palimpsest.plans.gate_queries import _DISCOURSE, _HEADS, _ground, valid_sql
+from palimpsest.plans.gate_queries import _DISCOURSE, _HEADS, valid_sql
 from palimpsest.plans.registry import query
 from palimpsest.plans.tables import with_tables
 
@@ -37,20 +37,6 @@ def conflict_candidates(spark: SparkSession, d: str) -> DataFrame:
     return writes.conflict_candidates(asked, tables.facts(spark, d).select("key", "value"))
 
 
-_STORED = "stored AS (SELECT 'fact:' || subject || ':' || predicate AS key, arg_max(object, id) AS value, arg_max(confidence, id) AS confidence FROM triples WHERE id % 2 = 0 GROUP BY 1)"
-_GROUND = _ground("subject", "object", "predicate = ''")
-
-
-@query(with_tables(f"""WITH {_HEADS}, {_STORED}, j AS (SELECT h.*, s.value AS old, s.confidence AS oc FROM heads h LEFT JOIN stored s ON s.key = 'fact:' || subject || ':' || predicate WHERE id % 2 = 1)
-SELECT id, CASE WHEN {_DISCOURSE} OR contains(object, '?') OR contains(predicate, '?') THEN 'not_an_assertion' WHEN {_GROUND} NOT IN ('grounded', 'namespaced_entity') THEN 'ungrounded' WHEN old IS NULL THEN 'accept'
-  WHEN lower(trim(old)) = lower(trim(object)) THEN 'replay' WHEN source = 'user_explicit' AND confidence >= oc THEN 'supersede' WHEN confidence < oc THEN 'warn_conflict' ELSE 'accept' END AS action FROM j""", "triples"))
-def epistemic_writes(spark: SparkSession, d: str) -> DataFrame:
-    claims = tables.triples(spark, d)
-    key = F.concat_ws(":", F.lit("fact"), "subject", "predicate")
-    stored = claims.where("id % 2 = 0").groupBy(key.alias("key")).agg(F.max_by("object", "id").alias("value"), F.max_by("confidence", "id").alias("confidence"))
-    return writes.writes(claims.where("id % 2 = 1"), stored).select("id", "action")
-
-
 @query(with_tables("""SELECT f.key, importance > 0.7 AS superseded, CASE WHEN importance > 0.7 THEN 'w' || doc_id END AS winner, 'k' AS kind FROM facts f""", "facts"))
 def superseded_marks(spark: SparkSession, d: str) -> DataFrame:
     facts = tables.facts(spark, d)
