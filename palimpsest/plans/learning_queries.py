@@ -139,3 +139,16 @@ def collectable_facts(spark: SparkSession, d: str) -> DataFrame:
 def packed_components(spark: SparkSession, d: str) -> DataFrame:
     top = retrieval.top_k(scored(spark, d), "raw_bm25", 60).join(tables.facts(spark, d).select("key", "value"), "key")
     return consolidation.packed_components(top.select("query_id", "key", "value", F.col("lex").alias("score")), 1500)
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT event_id, event_type, abs(value - 20e0) / 20e0 AS error, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+p AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 1e0 AS x FROM events
+  UNION ALL SELECT p.event_type, o.n, o.event_id, CASE WHEN error IS NULL THEN x ELSE greatest(0.05e0, least(10e0, 0.85e0 * x + 0.15e0 / (error * error + 0.04e0))) END FROM p JOIN o ON o.event_type = p.event_type AND o.n = p.n + 1)
+SELECT event_id, round(x, 8) AS precision FROM p WHERE n > 0"""
+)
+def channel_precision(spark: SparkSession, d: str) -> DataFrame:
+    """How far each kind of event is to be trusted after each observation of its value."""
+    events = tables.read(spark, d, "events")
+    observed = events.select(F.col("event_type").alias("channel"), F.col("event_id").alias("seq"), (F.abs(F.col("value") - 20.0) / 20.0).alias("error"))
+    return learning.precisions(observed).select(F.col("seq").alias("event_id"), F.round("precision", 8).alias("precision"))

@@ -1,10 +1,12 @@
 """Small cases of operators, their edges included."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring, text
-from palimpsest.operators import analytics, graph, retrieval, store
+from palimpsest.operators import analytics, graph, learning, retrieval, store
 
 
 def one(spark, column):
@@ -103,3 +105,18 @@ def test_ledger_chain_finds_the_first_bad_entry(spark):
     bad = good.withColumn("value", F.when(F.col("seq") == 4, "forged").otherwise(F.col("value")))
     assert store.verify_chain(bad, ["user"]).first()[1:] == (7, 1, 4)
     assert store.verify_chain(good.where("seq <> 3"), ["user"]).first()[1:] == (6, 1, 4)
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_precision_is_that_of_a_plain_loop(spark, monkeypatch, chunk):
+    monkeypatch.setattr(learning, "CHUNK", chunk)
+    r = random.Random(4)
+    rows = [(f"c{i % 3}", i, r.choice([None, 0.0, 0.01, 0.3, 2.0, 9.0, -1.0])) for i in range(90)] + [("one", 0, 0.0)]
+    want, now = {}, {}
+    for channel, seq, error in rows:
+        x = now.get(channel, 1.0)
+        if error is not None:
+            x = max(0.05, min(10.0, 0.85 * x + 0.15 / (max(0.0, error) ** 2 + 0.04)))
+        want[channel, seq] = now[channel] = x
+    got = {(x.channel, x.seq): x.precision for x in learning.precisions(spark.createDataFrame(rows, "channel string, seq long, error double")).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
