@@ -195,3 +195,37 @@ def expanded_seeds(edges: DataFrame, seeds: DataFrame, most: int = 24, widest: i
     before = F.coalesce(F.sum(F.col("_seed").isNull().cast("int")).over(strongest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = better.withColumn("_before", before).where(F.col("_before") < most).select("query_id", "node", (F.floor(F.col("weight") * 1e6 + 0.5) / 1e6).alias("weight"))
     return seeds.select("query_id", "node", "weight").join(taken.select("query_id", "node"), ["query_id", "node"], "left_anti").unionByName(taken)
+
+
+# From which risk on a path has a level.
+RISK_LEVELS = [(0.70, "CRITICAL"), (0.40, "HIGH"), (0.15, "MODERATE")]
+# Predicates whose steps are critical.
+CRITICAL = ["depends_on", "relies_on", "hosted_on", "hosts", "powers", "routes_to", "critical_for", "requires", "authenticates", "mounts", "databases", "causes", "breaks", "blocks", "restricted_by", "requires_condition"]
+
+
+def path_risks(paths: DataFrame, edges: DataFrame, critical: list[str] = CRITICAL, severities: DataFrame | None = None) -> DataFrame:
+    """``paths`` (start, path, conf) with ``risk`` and ``level``: over its steps the mean of confidence x severity of where it
+    leads (``severities``: node, severity; else 0.5 after a critical predicate, 0.2 after others), times the path's own
+    confidence. A path with a critical step has 0.72 at least if it is sure (0.70), 0.45 if its risk is below 0.20 and its
+    confidence 0.40 or more. ``edges``: src, dst, predicate, confidence, each pair once. Paths of no step are at no risk."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda k: F.struct(F.element_at("path", k).alias("src"), F.try_element_at("path", k + 1).alias("dst")))
+    steps = paths.select("start", "path", F.explode(pairs).alias("s")).select("start", "path", "s.*").join(edges.select("src", "dst", "predicate", "confidence"), ["src", "dst"])
+    bad = F.col("predicate").isin(critical)
+    usual = F.when(bad, 0.5).otherwise(0.2)
+    steps = steps.withColumn("severity", usual) if severities is None else steps.join(severities.select(F.col("node").alias("dst"), "severity"), "dst", "left").withColumn("severity", F.coalesce("severity", usual))
+    sums = steps.groupBy("start", "path").agg((F.sum(F.col("confidence") * F.col("severity")) / F.count("*")).alias("mean"), F.max(bad.cast("int")).alias("bad"))
+    found = paths.join(sums, ["start", "path"], "left").withColumn("plain", F.coalesce(F.col("mean") * F.col("conf"), F.lit(0.0)))
+    floor = F.when((F.col("bad") == 1) & (F.col("plain") < 0.40) & (F.col("conf") >= 0.70), 0.72).when((F.col("bad") == 1) & (F.col("plain") < 0.20) & (F.col("conf") >= 0.40), 0.45).otherwise(0.0)
+    risk = found.withColumn("risk", F.round(F.greatest("plain", floor), 6))
+    level = F.lit("LOW")
+    for least, name in reversed(RISK_LEVELS):
+        level = F.when(F.col("risk") >= least, name).otherwise(level)
+    return risk.withColumn("level", level).drop("mean", "bad", "plain")
+
+
+def passage_coverage(passages: DataFrame, edges: DataFrame) -> DataFrame:
+    """``passages``, ``covered`` and ``coverage`` (4 places): how many of the passages (node) hold an entity by an edge of
+    relation CONTAINS; 0 without passages."""
+    own = edges.where("relation = 'CONTAINS'").select(F.col("src").alias("node")).distinct().withColumn("_held", F.lit(1))
+    counts = passages.select("node").distinct().join(own, "node", "left").agg(F.count("*").alias("passages"), F.count("_held").alias("covered"))
+    return counts.withColumn("coverage", F.round(F.col("covered") / F.greatest(F.col("passages"), F.lit(1)), 4))

@@ -178,3 +178,33 @@ def associative_expansion(spark: SparkSession, d: str) -> DataFrame:
     lineitem, supplier = tables.read(spark, d, "lineitem"), tables.read(spark, d, "supplier")
     walked = spark.sql(_WALKED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
     return graph.expanded_seeds(walked, spark.sql(_SEEDS.replace("FROM supplier", "FROM {supplier}"), supplier=supplier))
+
+
+_RISKY = "CASE WHEN dst LIKE 'n%' THEN 'blocks' WHEN src LIKE 'n%' THEN 'leads_to' ELSE 'relates' END"
+
+
+@query(
+    with_tables(
+        f"""WITH {_PATHS}, q AS (SELECT start, target, path, conf FROM p WHERE depth > 0), s AS (SELECT start, path, path[i] AS src, path[i + 1] AS dst FROM q, unnest(range(1, len(path))) AS t(i)),
+v AS (SELECT s.start, s.path, avg(confidence * CASE WHEN s.dst = 'r1' THEN 0.9e0 WHEN {_RISKY.replace("dst", "s.dst").replace("src", "s.src")} IN ('blocks') THEN 0.5e0 ELSE 0.2e0 END) AS mean, max(CASE WHEN {_RISKY.replace("dst", "s.dst").replace("src", "s.src")} IN ('blocks') THEN 1 ELSE 0 END) AS bad FROM s JOIN hops h ON h.src = s.src AND h.dst = s.dst GROUP BY 1, 2),
+w AS (SELECT q.start, q.target, array_to_string(q.path, '>') AS path, mean * conf AS plain, bad, conf FROM q JOIN v ON v.start = q.start AND v.path = q.path),
+x AS (SELECT start, target, path, round(greatest(plain, CASE WHEN bad = 1 AND plain < 0.4e0 AND conf >= 0.7e0 THEN 0.72e0 WHEN bad = 1 AND plain < 0.2e0 AND conf >= 0.4e0 THEN 0.45e0 ELSE 0e0 END), 6) AS risk FROM w)
+SELECT *, CASE WHEN risk >= 0.7e0 THEN 'CRITICAL' WHEN risk >= 0.4e0 THEN 'HIGH' WHEN risk >= 0.15e0 THEN 'MODERATE' ELSE 'LOW' END AS level FROM x""",
+        "hops",
+    )
+)
+def path_risk(spark: SparkSession, d: str) -> DataFrame:
+    """How much is at risk on each path of what-if, where steps down to a nation are critical."""
+    hops = tables.hops(spark, d)
+    paths = graph.simple_paths(hops, starts(spark, d), 4)
+    severe = tables.read(spark, d, "region").where("r_regionkey = 1").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(0.9).alias("severity"))
+    return graph.path_risks(paths, hops.withColumn("predicate", F.expr(_RISKY)), severities=severe).select("start", "target", F.array_join("path", ">").alias("path"), "risk", "level")
+
+
+@query("SELECT count(*) AS passages, count(o) AS covered, round(count(o) / CAST(greatest(count(*), 1) AS DOUBLE), 4) AS coverage FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS o FROM orders JOIN lineitem ON l_orderkey = o_orderkey) ON o = c_custkey")
+def dual_node_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The share of customers, as passages, that hold a part that they have ordered."""
+    read = lambda name: tables.read(spark, d, name)
+    passage = lambda c: F.concat(F.lit("passage:"), F.col(c).cast("string"))
+    edges = read("orders").join(read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(passage("o_custkey").alias("src"), F.lit("CONTAINS").alias("relation"))
+    return graph.passage_coverage(read("customer").select(passage("c_custkey").alias("node")), edges)
