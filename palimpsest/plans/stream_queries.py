@@ -47,3 +47,20 @@ def stream_expectations(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select(F.concat(F.lit("u"), F.col("user_id")).alias("entity"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
     found = state.finished(state.expectations(rows), "update", folder(spark))
     return found.groupBy("entity").agg(F.max_by("expected", "_batch").alias("expected"), F.max_by("updates", "_batch").alias("updates"))
+
+
+_MESSAGE = "'u' || user_id AS peer, event_id AS place, event_id + 400 - CASE WHEN event_id % 4 = 0 THEN 400 ELSE 0 END AS seq, CAST(event_id AS BIGINT) * 60 AS sent, CAST(event_id AS BIGINT) * 60 + event_id * 37 % 261 - 130 AS got, event_id % 5 > 0 AS ok"
+
+
+@query(
+    f"""WITH m AS (SELECT {_MESSAGE} FROM events), c AS (SELECT *, abs(sent - got) > 120 AS drifted FROM m),
+d AS (SELECT *, coalesce(max(CASE WHEN NOT drifted THEN seq END) OVER (PARTITION BY peer ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM c),
+v AS (SELECT *, CASE WHEN drifted THEN 'drifted' WHEN seq <= before THEN 'replayed' ELSE 'applied' END AS verdict FROM d),
+t AS (SELECT *, count(*) FILTER (verdict = 'applied') OVER w AS applied, count(*) FILTER (verdict = 'applied' AND ok) OVER w AS confirmed, max(CASE WHEN verdict = 'applied' AND NOT ok THEN place END) OVER w AS bad FROM v WINDOW w AS (PARTITION BY peer ORDER BY place)),
+s AS (SELECT t.*, (SELECT count(*) FROM v x WHERE x.peer = t.peer AND x.verdict = 'applied' AND x.place > t.bad AND x.place <= t.place) AS streak FROM t)
+SELECT peer, place, verdict, CASE WHEN verdict = 'applied' THEN seq ELSE before END AS cursor, round(CASE WHEN applied > 0 THEN CAST(confirmed AS DOUBLE) / applied ELSE 0e0 END, 9) AS trust, bad IS NOT NULL AND streak < 3 AS attention FROM s"""
+)
+def stream_peer_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of each user as a peer: drifted, replayed or applied, with the peer's cursor, trust and attention."""
+    messages = state.source(spark, d, "events").selectExpr(*_MESSAGE.split(", "))
+    return state.finished(state.received(messages), "append", folder(spark)).select("peer", "place", "verdict", "cursor", F.round("trust", 9).alias("trust"), "attention")

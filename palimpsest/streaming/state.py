@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def source(spark: SparkSession, folder: str, name: str, files_a_batch: int | None = None) -> DataFrame:
     """The Parquet table ``name`` in ``folder`` as a stream, with its schema."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
+    return reader.parquet(f"{folder}/{name}.parquet*")
 
 
 def finished(stream: DataFrame, mode: str, folder: str) -> DataFrame:
@@ -69,3 +71,37 @@ def expectations(observed: DataFrame) -> DataFrame:
         yield pd.DataFrame({"entity": [key[0]], "expected": [expected], "updates": [updates]})
 
     return observed.groupBy("entity").applyInPandasWithState(step, "entity string, expected string, updates long", "expected string, pending string, updates long", "update", GroupStateTimeout.NoTimeout)
+
+
+#: Seconds that a message's clock may differ from ours, and successes running after which an entity has cooled down.
+DRIFT, COOL_AFTER = 120, 3
+
+
+def received(messages: DataFrame, drift: int = DRIFT, cool_after: int = COOL_AFTER) -> DataFrame:
+    """What becomes of each message of a peer: ``peer``, ``place``, ``verdict``, ``cursor``, ``trust`` and ``attention``.
+
+    ``messages`` has peer, place (order of arrival), seq, sent, got (seconds) and ok (whether what it says was confirmed).
+    A message whose clock is off by more than ``drift`` is drifted, one at or before the peer's cursor replayed; others are
+    applied and move the cursor. Applied ones that are confirmed count for the peer's trust (their share of all applied
+    ones). One that isn't asks for attention, until ``cool_after`` in a row have been confirmed. Cursor and counters are
+    state of the peer and survive restarts.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cursor, confirmed, applied, hot, streak = state.get if state.exists else (-1, 0, 0, False, 0)
+        out = []
+        for m in pd.concat(list(batches)).sort_values("place").itertuples():
+            if abs(m.sent - m.got) > drift:
+                verdict = "drifted"
+            elif m.seq <= cursor:
+                verdict = "replayed"
+            else:
+                verdict, cursor, applied = "applied", int(m.seq), applied + 1
+                confirmed, streak = (confirmed + 1, streak + 1) if m.ok else (confirmed, 0)
+                hot = not m.ok or (hot and streak < cool_after)
+            out.append((key[0], m.place, verdict, cursor, confirmed / applied if applied else 0.0, hot))
+        state.update((cursor, confirmed, applied, hot, streak))
+        yield pd.DataFrame(out, columns=["peer", "place", "verdict", "cursor", "trust", "attention"])
+
+    rows, kept = "peer string, place long, verdict string, cursor long, trust double, attention boolean", "cursor long, confirmed long, applied long, hot boolean, streak long"
+    return messages.groupBy("peer").applyInPandasWithState(step, rows, kept, "append", GroupStateTimeout.NoTimeout)
