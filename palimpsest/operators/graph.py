@@ -124,11 +124,10 @@ def components(links: DataFrame) -> DataFrame:
 def cut_points(edges: DataFrame, start: str, hops: int, least: float = 0.5) -> DataFrame:
     """Nodes without which at least ``least`` of what ``start`` reaches in ``hops`` steps is out of reach: node, cut off,
     reachable and severity. One reachability with the left-out node as a column, not one run per node."""
-    reach = reachable(edges.withColumn("without", F.lit("")), edges.sparkSession.createDataFrame([("", start)], "without string, node string"), hops).where(F.col("node") != start).select("node")
+    reach = reachable(edges, edges.sparkSession.createDataFrame([("", start)], "without string, node string"), hops).where(F.col("node") != start).select("node")
     reach = materialised(reach)
     cases = reach.select(F.col("node").alias("without"), F.lit(start).alias("node"))
-    left = edges.join(reach.select(F.col("node").alias("without")), F.col("dst") != F.col("without"))
-    still = reachable(left, cases, hops).where(F.col("node") != start).groupBy("without").agg(F.count("*").alias("still"))
+    still = reachable(edges, cases, hops).where(F.col("node") != start).groupBy("without").agg(F.count("*").alias("still"))
     total = reach.agg(F.count("*").alias("reachable"))
     out = reach.withColumnRenamed("node", "without").join(still, "without", "left").join(F.broadcast(total))
     lost = F.col("reachable") - 1 - F.coalesce("still", F.lit(0))
@@ -136,10 +135,11 @@ def cut_points(edges: DataFrame, start: str, hops: int, least: float = 0.5) -> D
 
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """``without``, ``node`` reached in at most ``hops`` steps of the edges of the same case."""
+    """``without``, ``node``: what each case reaches in at most ``hops`` steps that don't enter the node it goes without."""
     seen = frontier = starts.select("without", "node")
+    ways = edges.select(F.col("src").alias("node"), "dst").distinct()
     for _ in range(hops):
-        step = frontier.join(edges.select("without", F.col("src").alias("node"), "dst"), ["without", "node"]).select("without", F.col("dst").alias("node")).distinct()
+        step = frontier.join(ways, "node").where(F.col("dst") != F.col("without")).select("without", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen, ["without", "node"], "left_anti")
         seen = seen.unionByName(frontier)
     return seen
