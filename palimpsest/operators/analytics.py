@@ -119,18 +119,57 @@ def blocked_pairs(vectors: DataFrame, block: str, least: float) -> DataFrame:
     return a.join(b, block).where("a < b").withColumn("cos", F.round(cosine("va", "vb"), 6)).where(F.col("cos") >= least).select(block, "a", "b", "cos")
 
 
+#: Query vectors that travel to all vectors, and vectors of a part, about, where they are more.
+MOST_ASKED, VECTORS_A_PART = 10_000, 50_000
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float, block: int = 1_000) -> DataFrame:
     """The k nearest vectors (id, vector) of each query vector (query_id, query) with a cosine of at least ``least``, but
-    for the one with its own id. The queries are a stated set that travels to the vectors in blocks of ``block``; each
-    task multiplies them with its vectors and hands on its best k of each, so that vectors stay where they lie. Vectors
-    of another length, and those of zeros, have cosine 0."""
+    for the one with its own id. Up to MOST_ASKED queries travel to the vectors in blocks of ``block``; each task
+    multiplies them with its vectors and hands on its best k of each, so that vectors stay where they lie. More of them
+    are dealt in blocks, and each block meets each part of the vectors in a task of its own. Vectors of another length
+    than the query's, and those of zeros, are no hits."""
+    if queries.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        return top_of_each(paired(queries.where("query is not null"), vectors, k, least, block), k)
     asked = sorted((r.query_id, r.query) for r in queries.select("query_id", "query").where("query is not null").toLocalIterator())
     found = [nearest(asked[at : at + block], vectors, k, least) for at in range(0, len(asked), block)] or [nearest([], vectors, k, least)]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
+    return top_of_each(out, k)
+
+
+def top_of_each(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cos").desc(), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "cos", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "cos", "rank")
+
+
+def paired(queries: DataFrame, vectors: DataFrame, k: int, least: float, block: int) -> DataFrame:
+    """``query_id``, ``id`` and ``cos`` of the best k of each query in each part of the vectors."""
+    spark = queries.sparkSession
+    n = max(1, -(-queries.count() // block))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // VECTORS_A_PART))
+    every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("b"), every(parts, "p"))
+    known = vectors.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), every(n, "b"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        a, b = (list(zip(t.column(x).to_pylist(), t.column(y).to_pylist(), strict=True)) for t, x, y in ((left, "query_id", "query"), (right, "id", "vector")))
+        for size in {len(v) for _, v in a}:
+            some, others = [x for x in a if len(x[1]) == size], [x for x in b if len(x[1]) == size]
+            if not others:
+                continue
+            ids = np.array([i for i, _ in others], np.int64)
+            cosines = np.round(unit(np.array([v for _, v in some], np.float64)) @ unit(np.array([v for _, v in others], np.float64)).T, 6)
+            for (name, _), row in zip(some, cosines, strict=True):
+                ok = np.flatnonzero((row >= least) & (ids != name))
+                ok = ok[np.lexsort([ids[ok], -row[ok]])[:k]]
+                out += [(name, int(ids[i]), float(row[i])) for i in ok]
+        q, i, c = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "cos": pa.array(c, pa.float64())})
+
+    return asked.groupBy("b", "p").cogroup(known.groupBy("b", "p")).applyInArrow(best, "query_id long, id long, cos double")
 
 
 def nearest(asked: list, vectors: DataFrame, k: int, least: float) -> DataFrame:

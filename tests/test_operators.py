@@ -120,3 +120,14 @@ def test_precision_is_that_of_a_plain_loop(spark, monkeypatch, chunk):
         want[channel, seq] = now[channel] = x
     got = {(x.channel, x.seq): x.precision for x in learning.precisions(spark.createDataFrame(rows, "channel string, seq long, error double")).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_many_query_vectors_meet_the_vectors_by_parts(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)] if i % 9 else None if i % 2 else [0.0] * 6) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = vectors.where("id < 40").selectExpr("id AS query_id", "vector AS query")
+    few = {tuple(x) for x in analytics.dense_top_k(queries, vectors, 4, 0.1, block=7).collect()}
+    monkeypatch.setattr(analytics, "MOST_ASKED", 0)
+    many = {tuple(x) for x in analytics.dense_top_k(queries, vectors, 4, 0.1, block=7).collect()}
+    assert many == few and len(few) > 100
