@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.steps import summed
+
 
 def trajectories(steps: DataFrame) -> DataFrame:
     """Per (session, day): the ordered signature of tools, its length and success (no step named error)."""
@@ -81,8 +83,7 @@ def calibration_metrics(sample: DataFrame, bins: int = 10) -> DataFrame:
     ece = binned.agg(F.sum(F.col("k") * F.abs(F.col("acc") - F.col("conf"))).alias("_e"))
     # Rank sums over distinct scores: ties share the mean rank, so one row a score is enough.
     by_score = sample.groupBy("score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auc = by_score.withColumn("_w", F.col("pos") * (below + 0.5 * F.col("neg"))).agg(F.sum("_w").alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    auc = summed(by_score, "score", ["neg"]).withColumn("_w", F.col("pos") * (F.col("_before_neg") + 0.5 * F.col("neg"))).agg(F.sum("_w").alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     rows = F.broadcast(brier).join(F.broadcast(ece)).join(F.broadcast(auc))
     area = F.when((F.col("_p") == 0) | (F.col("_n") == 0), 1.0).otherwise(F.col("_u") / (F.col("_p") * F.col("_n")))
     return rows.select("n", F.round("brier", 6).alias("brier"), F.round(F.col("_e") / F.col("n"), 6).alias("ece"), F.round(area, 6).alias("auc"))

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.steps import materialised, numbered
+from palimpsest.operators.steps import materialised, numbered, summed
 
 
 def quantile_bins(sample: DataFrame, bins: int = 12) -> DataFrame:
     """``bin``, ``n``, ``x`` (mean score), ``y`` (mean label) of a sample by ranks of its distinct scores.
 
-    Scores are counted first, so the window holds one row per distinct score.
+    Scores are counted first, so there is one row per distinct score.
     """
-    counts = sample.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    binned = counts.withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * before / total)))
+    counts = summed(sample.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos")), "score", ["n"])
+    total = counts.agg(F.sum("n").alias("_total"))
+    binned = counts.join(F.broadcast(total)).withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * F.col("_before_n") / F.col("_total"))))
     return binned.groupBy("bin").agg(F.sum("n").alias("n"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("x"), (F.sum("pos") / F.sum("n")).alias("y"))
 
 
@@ -45,9 +44,10 @@ def calibrated(scores: DataFrame, knots: DataFrame) -> DataFrame:
 def ks_statistic(sample: DataFrame) -> DataFrame:
     """The greatest gap between the score distributions of label 1 and label 0; one row."""
     counts = sample.groupBy("score").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    so_far, whole = Window.orderBy("score"), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(so_far) / F.sum("a").over(whole) - F.sum("b").over(so_far) / F.sum("b").over(whole))
-    return counts.select(gap.alias("g")).agg(F.round(F.max("g"), 6).alias("ks"))
+    counts = summed(counts, "score", ["a", "b"])
+    total = counts.agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    gap = F.abs((F.col("_before_a") + F.col("a")) / F.col("_a") - (F.col("_before_b") + F.col("b")) / F.col("_b"))
+    return counts.join(F.broadcast(total)).select(gap.alias("g")).agg(F.round(F.max("g"), 6).alias("ks"))
 
 
 def calinski_harabasz(vectors: DataFrame) -> DataFrame:

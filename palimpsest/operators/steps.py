@@ -46,3 +46,17 @@ def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     base = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
     found = at.join(counted(base), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
     return found.withColumn("_rank", F.col("_place") + F.col("_base")).drop("_part", "_place", "_base", "_group", "_of")
+
+
+def summed(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``df``, materialised, with ``_before_<column>``: the sum of each column over all rows before, by ``order`` (which tells
+    the rows apart). Rows are dealt by ranges and their sums added per part, so no task holds them all."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = materialised(df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
+    totals = at.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{c}") for c in columns])
+    # A row a part: as many as there are partitions.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("_part", *[F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_base_{c}") for c in columns])
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = at.join(F.broadcast(base), "_part")
+    return found.withColumns({f"_before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_base_{c}") for c in columns}).drop("_part", *[f"_base_{c}" for c in columns])

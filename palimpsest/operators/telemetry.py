@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import entity_root, is_rule
 from palimpsest.operators.arbitration import FUNCTIONAL_SLOTS, multi_valued, slot
-from palimpsest.operators.steps import counted
+from palimpsest.operators.steps import counted, summed
 
 SHELLS = ["bash", "shell", "terminal", "execute", "run_command"]
 #: What each invariant of a healthy store may be at most (and at least).
@@ -99,9 +99,8 @@ def judged(verdicts: DataFrame) -> DataFrame:
 def publishable(sample: DataFrame, threshold: Column, z: float = 1.96, least_negatives: int = 30) -> DataFrame:
     """Whether a calibration may be published: the lower bound of its AUC (Hanley and McNeil's deviation) is above one
     half, it saw enough negatives, and a threshold was learned."""
-    by_score = sample.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = by_score.withColumn("_u", F.col("pos") * (below + 0.5 * F.col("neg"))).agg(F.sum("_u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    by_score = summed(sample.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")), "score", ["neg"])
+    u = by_score.withColumn("_u", F.col("pos") * (F.col("_before_neg") + 0.5 * F.col("neg"))).agg(F.sum("_u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     auc = F.col("u") / (F.col("p") * F.col("n"))
     q1, q2 = F.col("auc") / (2 - F.col("auc")), 2 * F.col("auc") * F.col("auc") / (1 + F.col("auc"))
     var = (F.col("auc") * (1 - F.col("auc")) + (F.col("p") - 1) * (q1 - F.col("auc") * F.col("auc")) + (F.col("n") - 1) * (q2 - F.col("auc") * F.col("auc"))) / (F.col("p") * F.col("n"))
