@@ -176,9 +176,13 @@ def bullet_relations(texts: DataFrame) -> DataFrame:
 
 def hydrated(edges: DataFrame) -> DataFrame:
     """A graph read back (subject, predicate, object, confidence, ts): invalid entities go, of parallel edges the greatest
-    confidence and time stay, and ``partial`` tells whether any row was left out for that edge's ends."""
-    good = edges.where(valid_entity(F.col("subject")) & valid_entity(F.col("object")) & ~discourse_subject(F.col("subject")))
-    return good.groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.max("ts").alias("ts"))
+    confidence and time stay, and ``partial`` tells whether a row that went names one of the edge's ends."""
+    good = valid_entity(F.col("subject")) & valid_entity(F.col("object")) & ~discourse_subject(F.col("subject"))
+    kept = edges.where(good).groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.max("ts").alias("ts"))
+    gone = materialised(edges.where(~good).select(F.explode(F.array("subject", "object")).alias("_name")).where("_name IS NOT NULL").distinct().withColumn("_gone", F.lit(True)))
+    for end in ("subject", "object"):
+        kept = kept.join(gone.withColumnsRenamed({"_name": end, "_gone": f"_{end}"}), end, "left")
+    return kept.withColumn("partial", F.col("_subject").isNotNull() | F.col("_object").isNotNull()).select("subject", "predicate", "object", "confidence", "ts", "partial")
 
 
 def collected_tombstones(adds: DataFrame, removes: DataFrame, now: Column, ttl: Column) -> tuple[DataFrame, DataFrame]:

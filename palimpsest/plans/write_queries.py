@@ -11,6 +11,7 @@ from palimpsest.plans import tables
 from palimpsest.plans.gate_queries import _DISCOURSE, _HEADS, valid_sql
 from palimpsest.plans.registry import query
 from palimpsest.plans.tables import with_tables
+from palimpsest.sources import vectors
 
 
 @query("SELECT c_name AS key FROM customer WHERE c_custkey % 4 = 0 AND c_acctbal > 0")
@@ -133,7 +134,16 @@ def bullet_relations(spark: SparkSession, d: str) -> DataFrame:
     return writes.bullet_relations(tables.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("subject"), text.alias("text")))
 
 
-@query(with_tables(f"WITH {_HEADS} SELECT subject, predicate, object, max(confidence) AS confidence, max(ts) AS ts FROM heads WHERE {valid_sql('subject')} AND {valid_sql('object')} AND NOT {_DISCOURSE} GROUP BY 1, 2, 3", "triples"))
+_KEPT = f"({valid_sql('subject')} AND {valid_sql('object')} AND NOT {_DISCOURSE})"
+
+
+@query(
+    with_tables(
+        f"""WITH {_HEADS}, gone AS (SELECT subject AS name FROM heads WHERE NOT {_KEPT} UNION SELECT object FROM heads WHERE NOT {_KEPT}), kept AS (SELECT subject, predicate, object, max(confidence) AS confidence, max(ts) AS ts FROM heads WHERE {_KEPT} GROUP BY 1, 2, 3)
+SELECT *, subject IN (SELECT name FROM gone) OR object IN (SELECT name FROM gone) AS partial FROM kept""",
+        "triples",
+    )
+)
 def hydrated_graph(spark: SparkSession, d: str) -> DataFrame:
     return writes.hydrated(tables.triples(spark, d))
 
@@ -199,3 +209,25 @@ def buffer_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_folder(spark)}/buffer-{uuid.uuid4().hex}"
     writes.dump_buffer(steps, path)
     return writes.load_buffer(spark, path).select("step_id", "session_id", "reward", "uncertainty")
+
+
+@query(
+    """WITH d AS (SELECT 'v' || vec_id AS key, 'text ' || vec_id % 50 AS text, embedding, 1 AS ts FROM embeddings), u AS (SELECT key, CASE WHEN i % 3 = 0 THEN 'new' ELSE text END AS text, CASE WHEN i % 3 = 0 THEN 2 ELSE ts END AS ts, i FROM (SELECT *, CAST(substr(key, 2) AS BIGINT) AS i FROM d))
+SELECT key, text, CAST(ts AS BIGINT) AS ts FROM u WHERE NOT (i % 7 = 0 OR starts_with(key, 'v1') OR text = 'text 20')"""
+)
+def merged_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A table of vectors after upserts, and deletes by key, prefix and text, each applied twice."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    i = F.col("vec_id")
+    e = tables.read(spark, d, "embeddings").select("vec_id", F.concat(F.lit("v"), i).alias("key"), F.concat(F.lit("text "), i % 50).alias("text"), F.col("embedding").alias("vector"), F.lit(1).cast("long").alias("ts"))
+    vectors.created(e, path)
+    upserts = e.where("vec_id % 3 = 0").withColumns({"text": F.lit("new"), "ts": F.lit(2).cast("long")})
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    at = F.lit(3).cast("long").alias("ts")
+    deletes = e.where("vec_id % 7 = 0").select("key", none("prefix"), none("text"), at)
+    some = e.where("vec_id = 20").select(none("key"), F.lit("v1").alias("prefix"), none("text"), at)
+    deletes = deletes.unionByName(some).unionByName(e.where("vec_id = 20").select(none("key"), none("prefix"), "text", at))
+    for _ in range(2):
+        vectors.merged(spark, path, upserts)
+        vectors.merged(spark, path, deletes=deletes)
+    return vectors.stored(spark, path).select("key", "text", "ts")

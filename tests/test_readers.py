@@ -42,3 +42,29 @@ def test_consolidation_keeps_the_most_trusted(spark):
     rows = [("fact:r:1", "editor is nvim today here", 0.6, 1, "r"), ("fact:r:2", "editor is nvim today here", 0.9, 1, "r"), ("fact:q:3", "editor is nvim today here", 0.99, 1, "q"), ("fact:r:4", None, 0.5, 1, "r")]
     facts = spark.createDataFrame(rows, "key string, value string, confidence double, ts long, root string")
     assert {(r.key, r.canonical) for r in consolidation.consolidated(facts, 0.88).collect()} == {("fact:r:1", "fact:r:2"), ("fact:r:2", "fact:r:2")}
+
+
+def test_vectors_rewrite_only_what_changes(spark):
+    import pathlib
+    import uuid
+
+    from palimpsest.operators.steps import shared_folder
+    from palimpsest.sources import vectors
+
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    schema = "key string, text string, vector array<double>, ts long"
+    vectors.created(spark.createDataFrame([(f"k{i}", f"t{i % 4}", [1.0 * i], 1) for i in range(300)], schema), path)
+    files = lambda: {str(f) for f in pathlib.Path(path.removeprefix("file:")).rglob("*.parquet")}
+    before = files()
+    change = spark.createDataFrame([("k7", "x", [0.5], 2), ("new", "y", [0.1], 2), ("k8", "late", [0.0], 0)], schema)
+    assert vectors.merged(spark, path, change) == len({r.bucket for r in change.select(vectors.bucket()).collect()})
+    after = files()
+    assert len(before & after) >= len(before) - 3 and before != after
+    rows = {r.key: (r.text, r.ts) for r in vectors.stored(spark, path).collect()}
+    assert len(rows) == 301 and rows["k7"] == ("x", 2) and rows["new"] == ("y", 2) and rows["k8"] == ("t0", 1)
+    gone = spark.createDataFrame([("k7", None, None, 3), (None, "k29", None, 3), (None, None, "t2", 3), ("nobody", None, None, 3)], "key string, prefix string, text string, ts long")
+    for _ in range(2):
+        vectors.merged(spark, path, deletes=gone)
+        vectors.merged(spark, path, change)
+    left = {r.key for r in vectors.stored(spark, path).collect()}
+    assert left == {k for k in rows if k != "k7" and not k.startswith("k29") and rows[k][0] != "t2"}
