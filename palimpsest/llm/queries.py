@@ -15,7 +15,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"), F.col("tested").alias("n_tested"), F.col("random").alias("n_random"))
 
 

@@ -47,6 +47,18 @@ def test_digest_columns(spark, tmp_path):
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
+def test_counts_of_each_kind(spark, tmp_path):
+    """Spans of one kind are counted for that kind alone, wherever they stand in their text."""
+    key, run = "AKIA" + "B" * 16, "0123456789abcdef" * 2
+    texts = ["token=abcdef", key, run, f"{run} {key} token=abcdef secret: 'ABCDEF'", f"token=abcdef {key} {run} {key}", "no span", None, "secret=short api_key=abcde", f"password=abcdef {run} {run} {run}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in queries.op2_secret_battery(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        base = brute(text)
+        assert got[i] == (*(base.count(k) for k in ("assign:", "access:", "hex:")), hashlib.sha256(base.encode()).hexdigest())
+    assert got[3][:3] == (2, 1, 1) and got[4][:3] == (1, 2, 1) and got[8][:3] == (1, 0, 3)
+
+
 def test_chi_squared_tail_by_integration():
     for df in (1, 2, 5, 6, 15):
         for x in (0.5, 3.0, 20.0):
