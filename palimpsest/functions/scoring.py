@@ -17,6 +17,12 @@ K1 = 1.2
 TIES_UP = 1e-9
 
 
+def scaled_round(x: Column, places: int) -> Column:
+    """``x`` to so many places by scaling it, as DuckDB's round does, halves away from zero. Spark's round goes by the
+    digits that print ``x``: 0.0039345 is a half there, while a million times it, as a double, falls below one."""
+    return F.round(x * 10.0**places, 0) / 10.0**places
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

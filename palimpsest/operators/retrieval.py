@@ -59,7 +59,7 @@ def bm25(queries: DataFrame, facts: DataFrame, pairs: DataFrame | None = None) -
     whole = phrases(queries, facts, pairs).select("query_id", "key", F.lit(1.0).alias("_bonus"))
     found = scored.join(whole, ["query_id", "key"], "left")
     best = F.max("raw_bm25").over(Window.partitionBy("query_id"))
-    return found.withColumn("raw_bm25", F.round(F.col("raw") + F.coalesce("_bonus", F.lit(0.0)), 6)).select("query_id", "key", "n_query", "matched", "raw_bm25", F.round(F.col("raw_bm25") / best, 4).alias("lex"))
+    return found.withColumn("raw_bm25", F.round(F.col("raw") + F.coalesce("_bonus", F.lit(0.0)), 6)).select("query_id", "key", "n_query", "matched", "raw_bm25", scoring.scaled_round(F.col("raw_bm25") / best, 4).alias("lex"))
 
 
 def passage_seeds(queries: DataFrame, facts: DataFrame, pairs: DataFrame | None = None, least: float = 0.34) -> DataFrame:

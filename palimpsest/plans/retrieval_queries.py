@@ -221,7 +221,7 @@ def rrf_score(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("query_id")
     ranked = recalled(spark, d).withColumns({"rv": F.row_number().over(w.orderBy(F.col("vector_score").desc(), "key")), "rl": F.row_number().over(w.orderBy(F.col("lex").desc(), "key"))})
-    return ranked.select("query_id", "key", F.round(scoring.rrf(F.col("vector_score"), F.col("lex"), F.col("rv"), F.col("rl"), F.col("trusted")), 6).alias("score"))
+    return ranked.select("query_id", "key", scoring.scaled_round(scoring.rrf(F.col("vector_score"), F.col("lex"), F.col("rv"), F.col("rl"), F.col("trusted")), 6).alias("score"))
 
 
 @query(
