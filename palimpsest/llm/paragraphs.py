@@ -42,7 +42,7 @@ PASSAGE, SPREAD = 25, 24
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 SEED = 11
-WORDS_AT_ONCE = 200_000
+CHARS_AT_ONCE = 1_000_000
 #: Equal lines of a task have bands once, as long as the task remembers this many.
 REMEMBERED = 500_000
 #: Rows of a partition that a task holds at once, and nodes with so many paragraphs that they are joined by themselves.
@@ -64,8 +64,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each run of five words; none of fewer words."""
-    hash_of = xxhash.xxh64_intdigest
-    h = np.array([hash_of(w) for w in words], np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     out = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         out = mixed(out + h[k : k + len(out)] * np.uint64(2 * k + 3))
@@ -73,19 +72,26 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 
 class Words:
-    """The words of a text in order: lower-cased bytes, first and end code point, line number."""
+    """The words of texts in order: lower-cased bytes, number of their text, first and end code point and line number in it."""
 
-    def __init__(self, text: str):
-        body = text.encode()
+    def __init__(self, texts: list[str]):
+        bodies = [t.encode() for t in texts]
+        # A line ends between two texts, so that no line has words of both.
+        body = b"\n".join(bodies)
         self.words = body.lower().split()
         data = np.frombuffer(body, np.uint8)
         inside = np.r_[False, (data != 32) & ((data < 9) | (data > 13)), False]
         first, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-        points = np.cumsum((data & 0xC0) != 0x80)
-        self.start, self.end = points[first] - 1, points[end - 1]
-        self.line = np.cumsum(data == 10)[first]
+        begins = np.cumsum([0, *(len(b) + 1 for b in bodies)])[:-1]
+        self.text = np.searchsorted(begins, first, "right") - 1
+        points, lines = np.r_[0, np.cumsum((data & 0xC0) != 0x80)], np.flatnonzero(data == 10)
+        self.start, self.end = points[first] - points[begins][self.text], points[end] - points[begins][self.text]
+        line = np.searchsorted(lines, first)
+        self.line = line - np.searchsorted(lines, begins)[self.text]
         #: First word of each line with words, and the number of words after all.
-        self.lines = np.flatnonzero(np.r_[True, self.line[1:] != self.line[:-1], True]) if len(first) else np.zeros(1, np.int64)
+        self.lines = np.flatnonzero(np.r_[True, line[1:] != line[:-1], True]) if len(first) else np.zeros(1, np.int64)
+        #: First word of each text, and the number of words after all.
+        self.texts = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
 
 def rolled(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -97,14 +103,17 @@ def rolled(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(out[: len(x) - width + 1], out[width - size :]) if size < width else out
 
 
-def anchors(x: np.ndarray, n_words: int) -> np.ndarray:
-    """Where windows begin: at shingles that are the least of SPREAD in a row, with PASSAGE words from there on."""
+def anchors(x: np.ndarray, n_words: int, text: np.ndarray | None = None) -> np.ndarray:
+    """Where windows begin: at shingles that are the least of SPREAD in a row, with PASSAGE words from there on. ``text``,
+    the number of each word's text, keeps both within a text."""
     if len(x) < SPREAD:
         return np.zeros(0, np.int64)
-    none = np.zeros(SPREAD - 1, np.uint64)
-    highest = rolled(np.concatenate([none, rolled(x, SPREAD, np.minimum), none]), SPREAD, np.maximum)
-    at = np.flatnonzero(highest == x)
-    return at[at + PASSAGE <= n_words]
+    least, none = rolled(x, SPREAD, np.minimum), np.zeros(SPREAD - 1, np.uint64)
+    if text is not None:
+        least[text[-len(least) :] != text[: len(least)]] = 0
+    at = np.flatnonzero(rolled(np.concatenate([none, least, none]), SPREAD, np.maximum) == x)
+    at = at[at + PASSAGE <= n_words]
+    return at if text is None else at[text[at + PASSAGE - 1] == text[at]]
 
 
 def node_of(words: list[bytes]) -> int:
@@ -130,30 +139,28 @@ def measured(batches):
         return keys
 
     def flush(held):
-        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
-        has, sets = [], []
-        for rid, tag, w in held:
-            n, x = len(w.words), shingles(w.words)
-            first, end = w.lines[:-1], w.lines[1:]
-            nodes = [node_of(w.words[i:j]) for i, j in zip(first.tolist(), end.tolist(), strict=True)]
-            for node, i, j in zip(nodes, first.tolist(), end.tolist(), strict=True):
-                fresh = j - i >= SHINGLE and node not in seen
-                has.append(fresh)
-                if fresh:
-                    seen.add(node)
-                    sets.append(x[i : j - SHINGLE + 1])
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            at = anchors(x, n)
-            windows = np.full(len(at), WINDOW, np.uint64)
-            for k in range(0, PASSAGE, SHINGLE):
-                windows = mixed(windows + x[at + k] * np.uint64(2 * k + 3))
-            has += [False] * len(at)
-            begin, last = np.r_[first, at], np.r_[end, at + PASSAGE] - 1
-            values = (np.repeat([LINE, WINDOW], [len(first), len(at)]), np.r_[np.array(nodes, np.uint64), windows], np.full(len(begin), rid), np.full(len(begin), tag), w.line[begin], begin, w.start[begin], w.end[last], last - begin + 1)
-            for column, value in zip(columns, values, strict=True):
-                column.append(value)
-        kind, node, *rest = (np.concatenate(c) for c in columns)
+        rids, tags, texts = zip(*held, strict=True)
+        w = Words(texts)
+        x = shingles(w.words)
+        first, end = w.lines[:-1], w.lines[1:]
+        nodes, has, sets = [], [], []
+        for i, j in zip(first.tolist(), end.tolist(), strict=True):
+            nodes.append(node := node_of(w.words[i:j]))
+            has.append(fresh := j - i >= SHINGLE and node not in seen)
+            if fresh:
+                seen.add(node)
+                sets.append(x[i : j - SHINGLE + 1])
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        at = anchors(x, len(w.words), w.text)
+        windows = np.full(len(at), WINDOW, np.uint64)
+        for k in range(0, PASSAGE, SHINGLE):
+            windows = mixed(windows + x[at + k] * np.uint64(2 * k + 3))
+        has += [False] * len(at)
+        begin, last = np.r_[first, at], np.r_[end, at + PASSAGE] - 1
+        text = w.text[begin]
+        kind, node = np.repeat([LINE, WINDOW], [len(first), len(at)]), np.r_[np.array(nodes, np.uint64), windows]
+        rest = np.array(rids, np.int64)[text], np.array(tags, np.int64)[text], w.line[begin], begin - w.texts[text], w.start[begin], w.end[last], last - begin + 1
         ends = np.concatenate([[0], np.cumsum(np.array(has, bool) * BANDS)])
         bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(banded(sets).reshape(-1).view(np.int64)))
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
@@ -163,11 +170,10 @@ def measured(batches):
     held, size = [], 0
     for batch in batches:
         for rid, tag, value in zip(batch.column("rid").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
-            w = Words(value.as_py() or "")
-            if w.words:
-                held.append((rid, tag, w))
-                size += len(w.words)
-                if size >= WORDS_AT_ONCE:
+            if text := value.as_py():
+                held.append((rid, tag, text))
+                size += len(text)
+                if size >= CHARS_AT_ONCE:
                     yield flush(held)
                     held, size = [], 0
     if held:
@@ -195,14 +201,16 @@ def collided(batches):
 def sets_of(batches):
     """``node`` and ``shingles`` (distinct, sorted) of the lines listed with each text by their first code points."""
     for batch in batches:
-        nodes, sets = [], []
+        nodes, words, cuts = [], [], [0]
         for value, listed in zip(batch.column("text"), batch.column("listed"), strict=True):
-            w = Words(value.as_py() or "")
-            wanted = {x["start"]: x["node"] for x in listed.as_py()}
-            for i, j in zip(w.lines[:-1].tolist(), w.lines[1:].tolist(), strict=True):
-                if (node := wanted.get(int(w.start[i]))) is not None:
-                    nodes.append(node)
-                    sets.append(np.unique(shingles(w.words[i:j])).view(np.int64))
+            text = value.as_py() or ""
+            for x in listed.as_py():
+                end = text.find("\n", x["start"])
+                words += text[x["start"] : end if end >= 0 else len(text)].encode().lower().split()
+                nodes.append(x["node"])
+                cuts.append(len(words))
+        h = shingles(words)
+        sets = [np.unique(h[i : j - SHINGLE + 1]).view(np.int64) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         ends = np.cumsum([0, *map(len, sets)])
         values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["node", "shingles"])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from llm_cases import documents
 
 from palimpsest.llm import paragraphs
@@ -124,6 +125,27 @@ def test_anchors_are_the_least_of_each_run():
     assert paragraphs.anchors(x, 504).tolist() == [i for i in want if i + paragraphs.PASSAGE <= 504]
 
 
+def test_texts_are_measured_together(monkeypatch):
+    """Many texts are hashed at once, and each gives what it gives alone: no line, shingle or window has words of two."""
+    r, calls, shingles = np.random.default_rng(5), [], paragraphs.shingles
+    words = ["ab", "Cd", "é", "日本", "🙂", "x\ny", "z\n\n", "\x0b", "q\r\n"]
+    texts = [" ".join(words[i] for i in r.integers(0, len(words), n)) for n in [*range(80), 300, 3000]] + [None, "", "\n", "a b c d e", "a b c d e\n", "\nabc"]
+
+    def measured(numbers):
+        batch = pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([7] * len(numbers), pa.int64()), pa.array([texts[i] for i in numbers], pa.string())], names=["rid", "tag", "text"])
+        return [x for found in paragraphs.measured(iter([batch])) for x in found.to_pylist()]
+
+    plain = lambda rows: sorted(tuple(v for k, v in x.items() if k != "bands") for x in rows)
+    banded = lambda rows: {(x["node"], tuple(x["bands"])) for x in rows if x["bands"]}
+    alone = [x for i in range(len(texts)) for x in measured([i])]
+    monkeypatch.setattr(paragraphs, "shingles", lambda *a: calls.append(1) or shingles(*a))
+    together = measured(range(len(texts)))
+    assert len(calls) == 1 and plain(together) == plain(alone) and banded(together) == banded(alone) != set()
+    for x in together:
+        assert len(texts[x["rid"]][x["start"] : x["end"]].split()) == x["n_words"] and (x["kind"] or "\n" not in texts[x["rid"]][x["start"] : x["end"]])
+        assert texts[x["rid"]][: x["start"]].count("\n") == x["paragraph"] and len(texts[x["rid"]][: x["start"]].split()) == x["word"]
+
+
 def test_removal():
     assert paragraphs.without("a\nb\nc", [(2, 3)]) == "a\nc" and paragraphs.without("a", [(0, 1)]) == ""
     assert paragraphs.without("one two three\n\nfour five\nsix", [(4, 7), (6, 19)]) == "one \n five\nsix"
