@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.steps import summed
+from palimpsest.operators.steps import counted, summed
 
 
 def trajectories(steps: DataFrame) -> DataFrame:
@@ -113,11 +115,73 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-def blocked_pairs(vectors: DataFrame, block: str, least: float) -> DataFrame:
-    """Pairs within a block with a cosine of at least ``least``: an equi-join on the block, never all against all."""
-    a = vectors.select(block, F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = vectors.select(block, F.col("id").alias("b"), F.col("vector").alias("vb"))
-    return a.join(b, block).where("a < b").withColumn("cos", F.round(cosine("va", "vb"), 6)).where(F.col("cos") >= least).select(block, "a", "b", "cos")
+#: Vectors of a block that meet others in one task, about, and rows of them that are multiplied at once.
+MEET, TILE = 2_048, 256
+
+
+def blocked_pairs(vectors: DataFrame, block: str, least: float, meet: int = MEET) -> DataFrame:
+    """Pairs within a block with a cosine of at least ``least``, never all against all. Each block is dealt in parts of some
+    ``meet`` vectors, and each two parts are multiplied in a task of their own, a tile at a time; pairs near enough are
+    added up again in order, so that the last bit is that of ``cosine``."""
+    known = vectors.where("vector is not null").where(F.forall("vector", lambda x: x.isNotNull())).select(F.col(block).alias("_block"), "id", "vector")
+    sizes = counted(known.groupBy("_block").agg(F.ceil(F.count("*") / meet).cast("int").alias("_parts")))
+    part = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
+    dealt = known.join(sizes, "_block").withColumn("p", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select("_block", "id", "vector", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema}
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        if not len(rows):
+            return
+        kinds = rows.schema
+        own, i, j = (rows.column(c).to_numpy() for c in ("p", "i", "j"))
+        ids, lists = rows.column("id").to_numpy(), rows.column("vector").combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        sides = []
+        for place in (i, j):
+            side = {}
+            for size in np.unique(lengths[own == place]):
+                at = np.flatnonzero((own == place) & (lengths == size))
+                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+                square = np.zeros(len(at))
+                for n in range(size):
+                    square += x[:, n] * x[:, n]
+                side[size] = ids[at], x, np.sqrt(square)
+            sides.append(side)
+        for size, (a, x, nx) in sides[0].items():
+            for other, (b, y, ny) in sides[1].items():
+                for at in range(0, len(a), TILE):
+                    r = slice(at, at + TILE)
+                    if size == other:
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            near = x[r] @ y.T / (nx[r, None] * ny)
+                        near[nx[r, None] * ny == 0] = 0.0
+                    else:
+                        near = np.zeros((len(a[r]), len(b)))
+                    # A part that meets itself has each pair twice. What isn't a number is greater than any, as in Spark.
+                    ok = ~(near < least - 2e-6)
+                    if i[0] == j[0]:
+                        ok &= a[r, None] < b
+                    left, right = np.nonzero(ok)
+                    left += at
+                    cos = np.zeros(len(left))
+                    if size == other:
+                        for n in range(size):
+                            cos += x[left, n] * y[right, n]
+                        norm = nx[left] * ny[right]
+                        cos = np.where(norm == 0, 0.0, cos / np.where(norm == 0, 1.0, norm))
+                    # To six places by scaling, halves away from zero.
+                    scaled = cos * 1e6
+                    whole = np.trunc(scaled)
+                    cos = (whole + np.where(np.abs(scaled - whole) >= 0.5, np.sign(scaled), 0.0)) / 1e6
+                    kept = ~(cos < least)
+                    one, two, cos = a[left[kept]], b[right[kept]], cos[kept]
+                    if len(cos):
+                        first = pa.repeat(rows.column("_block")[0], len(cos))
+                        yield pa.RecordBatch.from_arrays([first, pa.array(np.where(one < two, one, two), kinds.field("id").type), pa.array(np.where(one < two, two, one), kinds.field("id").type), pa.array(cos)], names=[block, "a", "b", "cos"])
+
+    return dealt.groupBy("_block", "i", "j").applyInArrow(pairs, f"`{block}` {types['_block']}, a {types['id']}, b {types['id']}, cos double")
 
 
 #: Query vectors that travel to all vectors, and vectors of a part, about, where they are more.
