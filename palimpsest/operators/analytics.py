@@ -33,10 +33,18 @@ def distribution(values: DataFrame, by: str, value: str) -> DataFrame:
     return values.groupBy(by).agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.var_pop(c), 4).alias("variance"), F.round(F.stddev_pop(c), 6).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("greatest"))
 
 
+#: Sums of rewards up to this are nothing but rounding.
+NOTHING = 1e-9
+
+
 def session_success(steps: DataFrame) -> DataFrame:
-    """Success of a session: its mean reward and its last are not negative, or its total is positive."""
-    last = F.max_by("reward", "seq")
-    return steps.groupBy("session").agg(F.count("*").alias("steps"), F.round(F.sum("reward"), 4).alias("total"), (((F.avg("reward") >= 0) & (last >= 0)) | (F.sum("reward") > 0)).alias("success"))
+    """Success of a session: its mean reward and its last are not negative, or its total is positive. Rewards are added up
+    in order of ``seq``, however rows are dealt, so that a total of zero has the same last bit everywhere."""
+    so_far = F.sum("reward").over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last, total = F.max_by("reward", "seq"), F.max_by("_so_far", "seq")
+    summed_up = steps.withColumn("_so_far", so_far).groupBy("session").agg(F.count("*").alias("steps"), total.alias("_total"), last.alias("_last"))
+    good = ((F.col("_total") >= 0) & (F.col("_last") >= 0)) | (F.col("_total") > NOTHING)
+    return summed_up.select("session", "steps", F.round("_total", 4).alias("total"), good.alias("success"))
 
 
 def discrepancy(expected: DataFrame, observed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small cases of operators, their edges included."""
 
+import functools
 import random
 import time
 
@@ -148,3 +149,16 @@ def test_blocked_pairs_of_a_large_block(spark):
     want = {(1, int(a), int(b)) for a, b in zip(*np.nonzero(np.round(near, 6) >= 0.8), strict=True) if a < b} | {(2, 1, 2)}
     assert set(got) == want
     assert all(abs(got[k] - near[k[1], k[2]]) < 1e-6 for k in want if k[0] == 1)
+
+
+def test_session_whose_rewards_cancel_out(spark):
+    """Three tenths and six times -0.05 leave 5e-17, which is no success after a last step below zero; rows come in any order."""
+    rewards = [0.1] * 3 + [-0.05] * 6
+    rows = [(name, n, r) for name, order in (("down", rewards), ("up", rewards[::-1]), ("more", [*rewards, 0.1, -0.05])) for n, r in enumerate(order)]
+    random.Random(5).shuffle(rows)
+    steps = spark.createDataFrame(rows, "session string, seq int, reward double").repartition(7)
+    got = {r.session: (r.steps, r.total, r.success) for r in analytics.session_success(steps).collect()}
+    add = lambda xs: functools.reduce(float.__add__, xs, 0.0)
+    up = add(rewards[::-1])
+    assert add(rewards) > 0
+    assert got == {"down": (9, 0.0, False), "up": (9, 0.0, up >= 0), "more": (11, 0.05, True)}
